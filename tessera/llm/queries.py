@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import url_reputation
+from tessera.llm import substring_dedup, suffix_dedup, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +16,22 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_verdicts(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_dedup.remove_repeated_bytes(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_repeated_passages(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {
+        "op8_suffix_dedup": op8_suffix_dedup,
+        "op9_substring_dedup": op9_substring_dedup,
         "op6_url_reputation": op6_url_reputation,
     }
 
