@@ -5,17 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import substring_dedup, suffix_dedup, url_reputation
+from tessera.llm import packing, substring_dedup, suffix_dedup, token_counts, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path())
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_verdicts(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack_documents(docs, tokenizer_path())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.remove_repeated_bytes(docs)
@@ -30,9 +47,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_token_counts": op3_token_counts,
+        "op6_url_reputation": op6_url_reputation,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_substring_dedup": op9_substring_dedup,
-        "op6_url_reputation": op6_url_reputation,
     }
 
 
