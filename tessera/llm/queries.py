@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, substring_dedup, suffix_dedup, token_counts, url_reputation
+from tessera.llm import html_text, packing, substring_dedup, suffix_dedup, token_counts, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    weights = html_text.fit(html_text.labelled_pages(pages, _read(spark, sf_dir, "documents").select("doc_id", "text")))
+    return html_text.extract_text(pages, weights).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {
         "op3_token_counts": op3_token_counts,
@@ -52,6 +58,7 @@ def queries() -> dict:
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_html_text": op10_html_text,
     }
 
 
