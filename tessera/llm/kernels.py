@@ -86,7 +86,11 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: All ASCII that is neither letter nor digit.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def segment(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends and, per document, its first word's number.
 
     Words are maximal runs of bytes other than separators, cut at documents.
@@ -94,7 +98,7 @@ def segment(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SEPARATOR[data]
+    word = ~separator[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, packing, substring_dedup, suffix_dedup, token_counts, url_reputation
+from tessera.llm import decontaminate, html_text, packing, quality, substring_dedup, suffix_dedup, token_counts, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents, with their grades."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, keep_text=False).where("kept")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the items they contain."""
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.url_verdicts(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
 
@@ -54,6 +66,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_token_counts": op3_token_counts,
+        "op4_quality": op4_quality,
+        "op5_decontaminate": op5_decontaminate,
         "op6_url_reputation": op6_url_reputation,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
