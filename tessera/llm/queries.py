@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_reputation
+from tessera.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_reputation
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), ngram_join.Similarity(3, 90, 100))
 
@@ -69,6 +73,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_ngram_join": op2_ngram_join,
         "op3_token_counts": op3_token_counts,
         "op4_quality": op4_quality,
