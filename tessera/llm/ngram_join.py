@@ -14,9 +14,10 @@ every part twice, so linked sets share a signature: no link is lost.
    the larger groups are kept.
 3. Candidates are verified on their sets, which are rebuilt from the texts of
    one document per class and meet in cells of bounded size.
-4. Links give components.  Larger groups whose members are not yet all in one
-   component go through further rounds with their next members until they are
-   or until all pairs were compared, so the result is exact.
+4. Links give components.  In larger groups whose members are not yet all in
+   one component, all pairs across components are filtered by size and sketch,
+   inside the tasks, and those that may link are verified as well.  Both
+   filters are bounds, so the result is exact.
 
 Defined results: null or empty text, or one without words, has an empty set,
 which links with nothing; fewer words than a shingle make one shingle; a null
@@ -46,13 +47,15 @@ SLICE = 3 << 20
 _ELEMENT = np.uint64(54)
 _LOW = (np.uint64(1) << _ELEMENT) - np.uint64(1)
 #: Groups of at most so many classes give all their pairs at once.
-SMALL = 48
-#: Members of a larger group that are compared with the rest in a round.
-HUBS = 8
+SMALL = 8
+#: Members of a larger group that are compared with the rest at first.
+HUBS = 2
+#: Buckets of a sketch.
+SKETCH = 256
 #: Up to so many ids the documents to rebuild are told to all tasks (8 bytes each); beyond, they are joined.
 TOLD = 1_000_000
-#: Classes that meet in a cell of verification.
-CELL = 4096
+#: Classes of one group that meet in a cell of verification.
+CELL = 1024
 
 
 class Similarity(NamedTuple):
@@ -97,6 +100,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Sets:
     return Sets(elements, bounds, np.where(size > 0, np.maximum(hashes, np.uint64(1)), np.uint64(0)))
 
 
+def sketches(sets: Sets) -> np.ndarray:
+    """Elements of each set by hash bucket.  Sets differ in at least as many elements as their sketches do."""
+    n = len(sets.bounds) - 1
+    doc = np.repeat(np.arange(n), np.diff(sets.bounds))
+    counts = np.bincount(doc * SKETCH + (sets.elements % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH)
+    return np.minimum(counts, 0x7FFF).astype(np.int16).reshape(n, SKETCH)
+
+
 def bands(largest: int, how: Similarity) -> np.ndarray:
     """The smallest size of each band; the last is above ``largest``."""
     edges = [1]
@@ -199,7 +210,11 @@ def _found(kind: int, x, y, z) -> pa.Table:
 
 
 def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how: Similarity) -> list[pa.Table]:
-    """Pairs of classes that share a signature, and the larger groups."""
+    """Pairs of classes that share a signature, each with the place where to verify it; the larger groups.
+
+    The place is named by the group's first class, so that classes which are
+    candidates of each other meet in few places.
+    """
     order = np.lexsort((owner, signature))
     signature, owner, size = signature[order], owner[order], size[order].astype(np.int64)
     once = K.group_starts(signature, owner)
@@ -207,9 +222,10 @@ def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how:
     start = K.group_starts(signature)
     many = np.diff(np.append(start, len(signature)))
     group = np.repeat(np.arange(len(start)), many)
-    left, right = [], []
+    left, right, homes = [], [], []
     small = np.repeat((many > 1) & (many <= SMALL), many)
     s_owner, s_size, s_group = owner[small], size[small], group[small]
+    s_home = owner[start[s_group]]
     for d in range(1, min(SMALL, len(s_owner))):
         i = np.flatnonzero(s_group[:-d] == s_group[d:])
         if not len(i):
@@ -218,6 +234,7 @@ def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how:
         i = i[low * how.whole >= high * how.part]
         left.append(s_owner[i])
         right.append(s_owner[i + d])
+        homes.append(s_home[i])
     out, seen = [], set()
     for g in np.flatnonzero(many > SMALL).tolist():
         own = owner[start[g] : start[g] + many[g]]
@@ -231,14 +248,15 @@ def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how:
             fits = np.flatnonzero(np.minimum(sizes[h], sizes[h + 1 :]) * how.whole >= np.maximum(sizes[h], sizes[h + 1 :]) * how.part) + h + 1
             left.append(np.full(len(fits), own[h]))
             right.append(own[fits])
+            homes.append(K.mix(np.full(len(fits), own[h]) + K.mix(own[fits]) % np.uint64(-(-len(own) // CELL))))
         out.append(_found(GROUP, np.full(len(own), np.uint64(name)), own, np.arange(len(own))))
     if left:
-        a, b = np.concatenate(left), np.concatenate(right)
+        a, b, home = np.concatenate(left), np.concatenate(right), np.concatenate(homes)
         a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
+        order = np.lexsort((home, b, a))
+        a, b, home = a[order], b[order], home[order]
         once = K.group_starts(a, b)
-        out.append(_found(PAIR, a[once], b[once], np.zeros(len(once), np.int64)))
+        out.append(_found(PAIR, a[once], b[once], home[once]))
     return out
 
 
@@ -265,7 +283,8 @@ def _rebuild(how: Similarity, wanted_ids: np.ndarray | None):
             for batch in _parts(whole):
                 sets = shingle_sets(*K.text_buffer(batch.column("text")), how.words)
                 packed = [sets.elements[a:b].tobytes() for a, b in zip(sets.bounds[:-1], sets.bounds[1:], strict=True)]
-                yield pa.record_batch({"node": pa.array(sets.hashes.view(np.int64)), "elements": pa.array(packed, pa.binary())})
+                sketch = [x.tobytes() for x in sketches(sets)]
+                yield pa.record_batch({"node": pa.array(sets.hashes.view(np.int64)), "elements": pa.array(packed, pa.binary()), "sketch": pa.array(sketch, pa.binary())})
 
     return rebuild
 
@@ -304,16 +323,42 @@ def _verifier(how: Similarity):
     return verify
 
 
+def _remaining(how: Similarity):
+    """Pairs of a bin's cells that are in different components and whose sketches allow a link."""
+
+    def remain(table: pa.Table) -> pa.Table:
+        column = lambda name: table[name].to_numpy()
+        order = np.lexsort((column("high"), column("low"), column("g")))
+        table = table.combine_chunks().take(pa.array(order))
+        node, component, block, low, high = (column(x) for x in ("node", "c", "block", "low", "high"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.int16).reshape(-1, SKETCH).astype(np.int32)
+        size = sketch.sum(axis=1, dtype=np.int64)
+        start = K.group_starts(column("g"), low, high)
+        left, right, homes = [], [], []
+        place = column("g") ^ (low << 20) ^ high
+        for first, stop in zip(start.tolist(), [*start[1:].tolist(), len(node)], strict=True):
+            for i in range(first, stop):
+                j = np.arange(i + 1, stop)
+                j = j[(component[j] != component[i]) & ((low[i] == high[i]) | (block[j] != block[i]))]
+                j = j[np.minimum(size[i], size[j]) * how.whole >= np.maximum(size[i], size[j]) * how.part]
+                if not len(j):
+                    continue
+                apart = np.abs(sketch[j] - sketch[i]).sum(axis=1)
+                j = j[apart * (how.whole + how.part) <= (size[i] + size[j]) * (how.whole - how.part)]
+                left.append(np.full(len(j), node[i]))
+                right.append(node[j])
+                homes.append(place[j])
+        a = np.concatenate(left) if left else node[:0]
+        b = np.concatenate(right) if right else node[:0]
+        home = np.concatenate(homes) if homes else node[:0]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "home": pa.array(home)})
+
+    return remain
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, cells: int) -> DataFrame:
-    """Links among pairs (a, b) of nodes; sets has node, elements."""
-    groups = checkpointed(connected_components(pairs))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    placed = groups.join(sizes, "component", "left").select("node", "component", F.ceil(F.coalesce("n", F.lit(1)) / CELL).alias("blocks"))
-    placed = placed.select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    left = placed.select(F.col("node").alias("a"), "component", "blocks", F.col("block").alias("i"))
-    right = placed.select(F.col("node").alias("b"), F.col("block").alias("j"))
-    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(cells)).cast("long")).otherwise(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")))
-    dealt = pairs.join(left, "a").join(right, "b").select(cell.alias("cell"), "a", "b")
+    """Links among pairs (a, b, home) of nodes; sets has node, elements."""
+    dealt = pairs.select(F.pmod(F.xxhash64("home"), F.lit(cells)).alias("cell"), "a", "b")
     needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
     told = needed.join(sets, "node").select(F.col("cell").alias("at"), "node", "elements")
     return dealt.groupBy("cell").cogroup(told.groupBy("at")).applyInArrow(_verifier(how), "a long, b long")
@@ -331,7 +376,7 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), told: in
     found = checkpointed(sent.groupBy("bucket").applyInArrow(_bucket(how), _FOUND))
     profiles = found.where(F.col("kind") == PROFILE).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("node"))
     classes = profiles.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    pairs = found.where(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = found.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.min("z").alias("home"))
     groups = found.where(F.col("kind") == GROUP).select(F.col("x").alias("g"), F.col("y").alias("node"), F.col("z").alias("pos")).distinct()
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct()
     needed = checkpointed(needed.join(classes, "node"))
@@ -340,27 +385,23 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), told: in
         ids = needed.select(F.col("least").alias("doc_id")).distinct()
         if n <= told:
             wanted = np.array(sorted(r[0] for r in ids.collect()), np.int64)  # at most 8 MB
-            rebuilt = texts.mapInArrow(_rebuild(how, wanted), "node long, elements binary")
+            rebuilt = texts.mapInArrow(_rebuild(how, wanted), "node long, elements binary, sketch binary")
         else:
-            rebuilt = texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how, None), "node long, elements binary")
+            rebuilt = texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how, None), "node long, elements binary, sketch binary")
         # rows may share an id or a set: each needed set counts once
-        sets = checkpointed(rebuilt.join(needed, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements")))
-        links = checkpointed(_verified(checkpointed(pairs), sets, how, 4 * buckets))
-        longest = groups.agg(F.max("pos")).first()[0]
-        turn = HUBS
-        while True:
-            components = checkpointed(connected_components(links))
-            if longest is None or turn > longest:
-                break
-            now = groups.join(components, "node", "left").select("g", "node", "pos", F.coalesce("component", "node").alias("c"))
-            active = now.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("pos").alias("last")).where(f"low <> high AND last >= {turn}").select("g")
-            now = checkpointed(now.join(active, "g", "left_semi"))
-            if now.isEmpty():
-                break
-            hubs = now.where(f"pos >= {turn} AND pos < {turn + HUBS}").select("g", F.col("node").alias("a"), F.col("pos").alias("at"), F.col("c").alias("ca"))
-            more = hubs.join(now.withColumnRenamed("node", "b"), "g").where("pos > at AND c <> ca").select("a", "b").distinct()
-            links = checkpointed(links.union(_verified(checkpointed(more), sets, how, 4 * buckets)))
-            turn += HUBS
+        sets = checkpointed(rebuilt.join(needed, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")))
+        links = _verified(pairs, sets.select("node", "elements"), how, 4 * buckets)
+        components = checkpointed(connected_components(links))
+        now = groups.join(components, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+        active = now.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).where("least <> most")
+        placed = now.join(active.select("g", F.ceil(F.col("n") / CELL).alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        cells = F.expr("transform(sequence(0L, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))")
+        placed = placed.select("g", "node", "c", "block", F.explode(cells).alias("cell")).select("g", "node", "c", "block", "cell.low", "cell.high")
+        placed = placed.join(sets.select("node", "sketch"), "node").withColumn("bin", F.pmod(F.xxhash64("g", "low", "high"), F.lit(4 * buckets)))
+        more = checkpointed(placed.groupBy("bin").applyInArrow(_remaining(how), "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home")))
+        if not more.isEmpty():
+            known = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = checkpointed(connected_components(known.union(_verified(more, sets.select("node", "elements"), how, 4 * buckets))))
     names = classes.join(components, "node").groupBy("component").agg(F.min("least").alias("name"))
     linked = components.join(names, "component").select("node", "name")
     clean = lambda c: F.when(c != NO_ID, c)
