@@ -418,8 +418,11 @@ def one_of_each(docs: DataFrame, how: Similarity) -> DataFrame:
 
     Of rows that repeat an id in one component one stays; rows without an id stay.
     """
-    found = jaccard_components(docs, how)
+    found = checkpointed(jaccard_components(docs, how))
     drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(drop, "doc_id", "left_anti")
-    first = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return first.unionByName(rest.where("doc_id IS NULL")).select(docs.columns)
+    rest = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
