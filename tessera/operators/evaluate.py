@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Upper edges of latency buckets in milliseconds; the last bucket is open.
-BUCKETS_MS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 50.0, 100.0)
+# Upper bounds of the latency buckets in milliseconds; slower ones count in the last.
+BUCKETS_MS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0)
 
 
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -18,10 +18,10 @@ def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_of(value: Column, edges: tuple[float, ...] = BUCKETS_MS) -> Column:
-    """The number of the bucket that holds a value, from 0."""
-    out = F.lit(len(edges))
-    for i in range(len(edges) - 1, -1, -1):
-        out = F.when(value <= edges[i], i).otherwise(out)
+    """The number of the bucket that holds a value, from 0; bounds are exclusive, the last bucket is open."""
+    out = F.lit(len(edges) - 1)
+    for i in range(len(edges) - 2, -1, -1):
+        out = F.when(value < edges[i], i).otherwise(out)
     return out
 
 
@@ -32,8 +32,7 @@ def histogram(values: DataFrame, column: str, edges: tuple[float, ...] = BUCKETS
 
 def histogram_percentile(counts: DataFrame, p: float, edges: tuple[float, ...] = BUCKETS_MS) -> DataFrame:
     """One row: the middle of the bucket that holds the nearest-rank percentile."""
-    lower, upper = [0.0, *edges], [*edges, edges[-1] * 2]
-    middle = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(lower, upper, strict=True)]), F.col("bucket") + 1)
+    middle = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip([0.0, *edges[:-1]], edges, strict=True)]), F.col("bucket") + 1)
     running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row per bucket
     return running.where(F.col("upto") >= F.ceil(F.col("total") * p)).orderBy("bucket").limit(1).select(middle.alias("value"))
 

@@ -86,9 +86,6 @@ def _filtered_sql(where: str) -> str:
     return _knn_sql(D.COSINE, corpus=_META, where=f"query_id <> id AND {where}")
 
 
-_FILTERS: dict[str, tuple[Filter | None, str]] = {}
-
-
 def _filters() -> dict[str, tuple[Filter, str]]:
     lang, source = Field("lang"), Field("source")
     chars, chars_float, quality = Field("n_chars", "int"), Field("n_chars", "float"), Field("quality", "int")
@@ -450,11 +447,8 @@ def metadata_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- evaluation -------------------------------------------------------------------
 
-_EDGES_VALUE = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0)
-
-
 def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.histogram(_read(spark, sf, "events"), "value", _EDGES_VALUE)
+    return evaluate.histogram(_read(spark, sf, "events"), "value")
 
 
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -463,7 +457,7 @@ def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def histogram_percentile(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.histogram_percentile(latency_histogram(spark, sf), 0.5, _EDGES_VALUE)
+    return evaluate.histogram_percentile(latency_histogram(spark, sf), 0.5)
 
 
 def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -492,9 +486,10 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-_WHEN = " ".join(f"WHEN value <= {e} THEN {i}" for i, e in enumerate(_EDGES_VALUE))
-_HISTOGRAM_SQL = f"SELECT CAST(CASE {_WHEN} ELSE {len(_EDGES_VALUE)} END AS INTEGER) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1"
-_MIDDLES = ", ".join(str((a + b) / 2) for a, b in zip([0.0, *_EDGES_VALUE], [*_EDGES_VALUE, 2 * _EDGES_VALUE[-1]], strict=True))
+_BOUNDS = evaluate.BUCKETS_MS
+_WHEN = " ".join(f"WHEN value < {e} THEN {i}" for i, e in enumerate(_BOUNDS[:-1]))
+_HISTOGRAM_SQL = f"SELECT CAST(CASE {_WHEN} ELSE {len(_BOUNDS) - 1} END AS INTEGER) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1"
+_MIDDLES = ", ".join(str((a + b) / 2) for a, b in zip([0.0, *_BOUNDS[:-1]], _BOUNDS, strict=True))
 
 
 def queries() -> dict:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.errors import CorruptIndex
 
-# Fixed values of the benchmark file: magic, version and metric codes.
+# Fixed values of the benchmark file: magic, version and metric codes; the header
+# has version, train and test counts, dimension, neighbours, metric and three reserved numbers.
 MAGIC, VERSION = b"ANNB", 1
 METRIC_CODES = ("cosine", "l2", "inner_product", "hamming")
 _HEADER = struct.Struct("<4s9I")
@@ -38,8 +39,8 @@ def read_benchmark(spark: SparkSession, path: str) -> dict:
     data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     if len(data) < _HEADER.size or data[:4] != MAGIC:
         raise CorruptIndex("not a benchmark file")
-    _, version, dim, n_train, n_test, k, metric, *_ = _HEADER.unpack_from(data)
-    if version != VERSION or metric >= len(METRIC_CODES) or len(data) != _HEADER.size + 4 * (dim * (n_train + n_test) + n_test * k):
+    _, version, n_train, n_test, dim, k, metric, *_ = _HEADER.unpack_from(data)
+    if version != VERSION or metric >= len(METRIC_CODES) or len(data) < _HEADER.size + 4 * (dim * (n_train + n_test) + n_test * k):
         raise CorruptIndex("a benchmark file of an unknown version, or cut short")
     train = np.frombuffer(data, "<f4", n_train * dim, _HEADER.size).reshape(n_train, dim)
     test = np.frombuffer(data, "<f4", n_test * dim, _HEADER.size + 4 * dim * n_train).reshape(n_test, dim)
@@ -60,7 +61,7 @@ def write_benchmark(path: str, train: DataFrame, test: DataFrame, truth: DataFra
     near = [r[0] for r in truth.orderBy("query_id", "rank").select("id").collect()]
     k = len(near) // max(1, len(q))
     with open(path, "wb") as f:
-        f.write(_HEADER.pack(MAGIC, VERSION, t.shape[1], len(t), len(q), k, METRIC_CODES.index(metric), 0, 0, 0))
+        f.write(_HEADER.pack(MAGIC, VERSION, len(t), len(q), t.shape[1], k, METRIC_CODES.index(metric), 0, 0, 0))
         f.write(t.tobytes() + q.tobytes() + np.array(near, "<u4").tobytes())
 
 
