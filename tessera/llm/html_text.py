@@ -206,23 +206,25 @@ def fit(labelled: Iterable[tuple[str, str]]) -> Weights:
         lines = {" ".join(x.split()) for x in text.split("\n")}
         whole = " ".join(text.split())
         found = pieces(html or "")
-        hits = []
+        seen, hits = [], []
         for i, x in enumerate(found):
+            if x.apart:
+                apart_kinds.add(x.kind)
             if x.words > 0:
                 own = " ".join(x.text.split())
                 hit = own in lines or len(own) >= 20 and whole.startswith(own)
-                words[x.kind] += x.words
-                good[x.kind] += x.words * hit
-                if x.apart:
-                    apart_kinds.add(x.kind)
-                elif hit:
+                seen.append((x, hit))
+                if hit and not x.apart:
                     hits.append(i)
+        if not hits:
+            continue  # the text is not this page's
+        for x, hit in seen:
+            words[x.kind] += x.words
+            good[x.kind] += x.words * hit
         for i, x in enumerate(found):
             if x.words < 0:
                 tags[x.kind] += 1
-                inside[x.kind] += bool(hits) and hits[0] <= i <= hits[-1]
-                if x.apart:
-                    apart_kinds.add(x.kind)
+                inside[x.kind] += hits[0] <= i <= hits[-1]
     prior = lambda kind: 0.0 if kind in apart_kinds else PRIOR
     return Weights(
         {k: (good[k] + prior(k)) / (n + PRIOR) for k, n in words.items() if k not in apart_kinds},

@@ -26,6 +26,10 @@ def test_edges(html, text):
     assert main_text(html, PLAIN) == text
 
 
+def test_texts_of_other_pages_teach_nothing():
+    assert fit([(PAGE, "Words of quite another page."), ("<p>x</p>", "y"), (None, "z")]) == PLAIN
+
+
 def test_region_is_the_best_run():
     found = pieces(PAGE)
     score = [PLAIN.of(x) for x in found]
