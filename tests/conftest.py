@@ -1,6 +1,13 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from tessera.session import importable  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -14,5 +21,5 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield importable(session)
     session.stop()
