@@ -3,17 +3,22 @@
 Two sets link when their similarity is at least ``part / whole``.  Sets fall
 into bands of about equal size; linked sets lie in the same or in neighbouring
 bands and differ in at most K elements, K known per band.  The domain of
-elements is split by hash into n1 parts of n2 subparts, and a signature is
-what a set has in all but one subpart of a part.  K differences cannot spoil
-every part twice, so linked sets share a signature: no link is lost.
+elements is split by hash into parts of two subparts, more than K // 2 parts,
+and a signature is what a set has in all but one subpart of a part.  It takes
+two differences to spoil both signatures of a part, so linked sets share one in
+each of the other parts.  A set that has fewer parts with an empty subpart than
+it must share parts needs no empty signature; only other sets send them.  Then
+either one shared signature is not empty, or both sets send empty ones: no link
+is lost, and sets without a common element hardly ever share a signature.
 
 1. One pass over the texts makes the sets and sends signatures, packed, to
    buckets; equal sets send theirs once per batch and count as one *class*.
 2. A bucket sorts its signatures.  Classes that share one are candidates: all
    pairs of a small group, and of a larger group those with its first members;
    the larger groups are kept.
-3. Candidates are verified on their sets, which are rebuilt from the texts of
-   one document per class and meet in cells of bounded size.
+3. Sketches of candidates (elements by hash bucket, 260 bytes) drop pairs that
+   differ too much; the others are verified on their sets.  Sketches and sets
+   are rebuilt from the texts of one document per class, and meet in cells.
 4. Links give components.  In larger groups whose members are not yet all in
    one component, all pairs across components are filtered by size and sketch,
    inside the tasks, and those that may link are verified as well.  Both
@@ -43,7 +48,7 @@ from tessera.llm.windows import NO_ID
 
 #: Documents of a kernel call; element keys hold their number in ten bits.
 DOCS = 1000
-SLICE = 3 << 20
+SLICE = 1 << 20
 _ELEMENT = np.uint64(54)
 _LOW = (np.uint64(1) << _ELEMENT) - np.uint64(1)
 #: Groups of at most so many classes give all their pairs at once.
@@ -52,7 +57,7 @@ SMALL = 8
 HUBS = 2
 #: Buckets of a sketch.
 SKETCH = 256
-#: Up to so many ids the documents to rebuild are told to all tasks (8 bytes each); beyond, they are joined.
+#: Up to so many classes the sets to rebuild are told to all tasks (16 bytes each); beyond, they are joined.
 TOLD = 1_000_000
 #: Classes of one group that meet in a cell of verification.
 CELL = 1024
@@ -101,11 +106,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Sets:
 
 
 def sketches(sets: Sets) -> np.ndarray:
-    """Elements of each set by hash bucket.  Sets differ in at least as many elements as their sketches do."""
-    n = len(sets.bounds) - 1
-    doc = np.repeat(np.arange(n), np.diff(sets.bounds))
+    """Size of each set (four bytes) and its elements by hash bucket, up to 255 (a byte each).
+
+    Sets differ in at least as many elements as their sketches do.
+    """
+    n, size = len(sets.bounds) - 1, np.diff(sets.bounds)
+    doc = np.repeat(np.arange(n), size)
     counts = np.bincount(doc * SKETCH + (sets.elements % np.uint64(SKETCH)).astype(np.int64), minlength=n * SKETCH)
-    return np.minimum(counts, 0x7FFF).astype(np.int16).reshape(n, SKETCH)
+    return np.hstack([size.astype("<u4").view(np.uint8).reshape(n, 4), np.minimum(counts, 255).astype(np.uint8).reshape(n, SKETCH)])
+
+
+def read_sketches(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and counts."""
+    rows = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 4 + SKETCH)
+    return np.ascontiguousarray(rows[:, :4]).view("<u4").ravel().astype(np.int64), rows[:, 4:].astype(np.int16)
 
 
 def bands(largest: int, how: Similarity) -> np.ndarray:
@@ -132,30 +146,32 @@ def signatures(sets: Sets, how: Similarity) -> tuple[np.ndarray, np.ndarray]:
     out, who = [], []
     for step in (0, 1):
         instance = band + step
-        most = differences(edges[np.minimum(instance + 1, len(edges) - 1)] - 1, how)
-        for n2 in (2, 3):
-            use = (size > 0) & (most > 0) & ((most > 8) == (n2 == 2))
-            if not use.any():
-                continue
-            n1 = np.where(use, (most + 2) // 2, 0)
-            base = np.append(0, np.cumsum(n1 * n2))
-            chosen = use[doc_of]
-            cells = (n1 * n2)[doc_of[chosen]].astype(np.uint64)
-            sub = ((sets.elements[chosen] >> np.uint64(22)) * cells) >> np.uint64(32)
-            count = np.bincount(base[doc_of[chosen]] + sub.astype(np.int64), minlength=base[-1])
-            ends = np.cumsum(count)
-            # elements are sorted by document and value, so those of a subpart are neighbours
-            total = np.append(np.uint64(0), np.cumsum(mixed[chosen]))
-            values = total[ends] - total[ends - count]
-            part = np.arange(base[-1] // n2)
-            doc = np.repeat(np.arange(len(size)), n1)
-            own_part = part - base[doc] // n2
-            values = values.reshape(-1, n2)
-            salt = K.mix(instance[doc].astype(np.uint64) << np.uint64(32) | own_part.astype(np.uint64))
-            for left_out in range(n2):
-                rest = values.sum(axis=1, dtype=np.uint64) - values[:, left_out]
-                out.append(K.mix(rest ^ K.mix(salt + np.uint64(left_out + 1))))
-                who.append(doc)
+        top = edges[np.minimum(instance + 1, len(edges) - 1)] - 1
+        most = differences(top, how)
+        own_most = (size + np.minimum(top, size * how.whole // how.part)) * (how.whole - how.part) // (how.whole + how.part)
+        use = (size > 0) & (most > 0)
+        if not use.any():
+            continue
+        spare = 2 + most // 12
+        n1 = np.where(use, most // 2 + 1 + spare, 0)
+        base = np.append(0, np.cumsum(n1 * 2))
+        chosen = use[doc_of]
+        cells = (n1 * 2)[doc_of[chosen]].astype(np.uint64)
+        sub = ((sets.elements[chosen] >> np.uint64(22)) * cells) >> np.uint64(32)
+        count = np.bincount(base[doc_of[chosen]] + sub.astype(np.int64), minlength=base[-1])
+        ends = np.cumsum(count)
+        # elements are sorted by document and value, so those of a subpart are neighbours
+        total = np.append(np.uint64(0), np.cumsum(mixed[chosen]))
+        values = (total[ends] - total[ends - count]).reshape(-1, 2)
+        count = count.reshape(-1, 2)
+        doc = np.repeat(np.arange(len(size)), n1)
+        part = np.arange(len(doc)) - base[doc] // 2
+        bare = np.bincount(doc, weights=(count == 0).any(axis=1), minlength=len(size)) >= n1 - own_most // 2
+        salt = K.mix(instance[doc].astype(np.uint64) << np.uint64(32) | part.astype(np.uint64))
+        for left_out in (0, 1):
+            told = (count[:, 1 - left_out] > 0) | bare[doc]
+            out.append(K.mix(values[told, 1 - left_out] ^ K.mix(salt[told] + np.uint64(left_out + 1))))
+            who.append(doc[told])
     none = np.zeros(0, np.int64)
     return (np.concatenate(out), np.concatenate(who)) if out else (none.astype(np.uint64), none)
 
@@ -271,8 +287,8 @@ def _bucket(how: Similarity):
     return find
 
 
-def _rebuild(how: Similarity, wanted_ids: np.ndarray | None):
-    """Sets of documents; of those told, if any were told."""
+def _rebuild(how: Similarity, wanted_ids: np.ndarray | None, wanted_sets: np.ndarray | None, with_elements: bool):
+    """Elements, or else sketches, of the sets of documents; of those told, if any were told."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -282,19 +298,36 @@ def _rebuild(how: Similarity, wanted_ids: np.ndarray | None):
                 whole = whole.filter(pa.array(wanted_ids[at] == ids))
             for batch in _parts(whole):
                 sets = shingle_sets(*K.text_buffer(batch.column("text")), how.words)
-                packed = [sets.elements[a:b].tobytes() for a, b in zip(sets.bounds[:-1], sets.bounds[1:], strict=True)]
-                sketch = [x.tobytes() for x in sketches(sets)]
-                yield pa.record_batch({"node": pa.array(sets.hashes.view(np.int64)), "elements": pa.array(packed, pa.binary()), "sketch": pa.array(sketch, pa.binary())})
+                node = sets.hashes.view(np.int64)
+                keep = np.arange(len(node))
+                if wanted_sets is not None:
+                    at = np.minimum(np.searchsorted(wanted_sets, node), len(wanted_sets) - 1)
+                    keep = np.flatnonzero(wanted_sets[at] == node)
+                packed = [sets.elements[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in keep] if with_elements else [x.tobytes() for x in sketches(sets)[keep]]
+                yield pa.record_batch({"node": pa.array(node[keep]), "packed": pa.array(packed, pa.binary())})
 
     return rebuild
 
 
+def _sets_of(texts: DataFrame, nodes: DataFrame, how: Similarity, told: int, with_elements: bool = True) -> DataFrame:
+    """node, packed for each of nodes (node, least), from the texts of one document each; rows may repeat."""
+    n = nodes.count()
+    if not n:
+        return texts.sparkSession.createDataFrame([], "node long, packed binary")
+    if n <= told:
+        rows = nodes.select("least", "node").collect()  # 16 bytes each
+        wanted = [np.unique(np.array([r[i] for r in rows], np.int64)) for i in (0, 1)]
+        return texts.mapInArrow(_rebuild(how, *wanted, with_elements), "node long, packed binary")
+    ids = nodes.select(F.col("least").alias("doc_id")).distinct()
+    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how, None, None, with_elements), "node long, packed binary").join(nodes.select("node"), "node", "left_semi")
+
+
 def _verifier(how: Similarity):
     """Links of a cell that join what its other links have not joined."""
 
     def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
-        elements = {n: np.frombuffer(x, np.uint64) for n, x in zip(sets["node"].to_pylist(), sets["elements"].to_pylist(), strict=True)}
+        elements = {n: np.frombuffer(x, np.uint64) for n, x in zip(sets["node"].to_pylist(), sets["packed"].to_pylist(), strict=True)}
         parent = {n: n for n in elements}
 
         def root(x: int) -> int:
@@ -331,8 +364,7 @@ def _remaining(how: Similarity):
         order = np.lexsort((column("high"), column("low"), column("g")))
         table = table.combine_chunks().take(pa.array(order))
         node, component, block, low, high = (column(x) for x in ("node", "c", "block", "low", "high"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.int16).reshape(-1, SKETCH).astype(np.int32)
-        size = sketch.sum(axis=1, dtype=np.int64)
+        size, sketch = read_sketches(table["packed"].to_pylist())
         start = K.group_starts(column("g"), low, high)
         left, right, homes = [], [], []
         place = column("g") ^ (low << 20) ^ high
@@ -343,7 +375,7 @@ def _remaining(how: Similarity):
                 j = j[np.minimum(size[i], size[j]) * how.whole >= np.maximum(size[i], size[j]) * how.part]
                 if not len(j):
                     continue
-                apart = np.abs(sketch[j] - sketch[i]).sum(axis=1)
+                apart = np.abs(sketch[j] - sketch[i]).sum(axis=1, dtype=np.int64)
                 j = j[apart * (how.whole + how.part) <= (size[i] + size[j]) * (how.whole - how.part)]
                 left.append(np.full(len(j), node[i]))
                 right.append(node[j])
@@ -356,12 +388,37 @@ def _remaining(how: Similarity):
     return remain
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, cells: int) -> DataFrame:
-    """Links among pairs (a, b, home) of nodes; sets has node, elements."""
-    dealt = pairs.select(F.pmod(F.xxhash64("home"), F.lit(cells)).alias("cell"), "a", "b")
+def _sifter(how: Similarity):
+    """Pairs of a cell whose sketches allow a link."""
+
+    def sift(pairs: pa.Table, sketched: pa.Table) -> pa.Table:
+        pairs = pairs.combine_chunks()
+        node = sketched["node"].to_numpy()
+        order = np.argsort(node, kind="stable")
+        size, sketch = read_sketches(sketched["packed"].to_pylist())
+        size, sketch, node = size[order], sketch[order], node[order]
+        a, b = (np.searchsorted(node, pairs[c].to_numpy()) for c in ("a", "b"))
+        keep = np.zeros(len(a), bool)
+        for i in range(0, len(a), 4096):
+            x, y = a[i : i + 4096], b[i : i + 4096]
+            apart = np.abs(sketch[x] - sketch[y]).sum(axis=1, dtype=np.int64)
+            keep[i : i + 4096] = apart * (how.whole + how.part) <= (size[x] + size[y]) * (how.whole - how.part)
+        return pairs.filter(pa.array(keep)).select(["a", "b", "home"])
+
+    return sift
+
+
+def _in_cells(pairs: DataFrame, rows: DataFrame, cells: int, run, schema: str) -> DataFrame:
+    """``run`` of the pairs (a, b, home) of each cell and the rows (node, packed) that they name."""
+    dealt = pairs.select(F.pmod(F.xxhash64("home"), F.lit(cells)).alias("cell"), "a", "b", "home")
     needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = needed.join(sets, "node").select(F.col("cell").alias("at"), "node", "elements")
-    return dealt.groupBy("cell").cogroup(told.groupBy("at")).applyInArrow(_verifier(how), "a long, b long")
+    told = needed.join(rows, "node").select(F.col("cell").alias("at"), "node", "packed")
+    return dealt.groupBy("cell").cogroup(told.groupBy("at")).applyInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, cells: int) -> DataFrame:
+    """Links among pairs of nodes; sets has node, packed elements."""
+    return _in_cells(pairs, sets, cells, _verifier(how), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), told: int = TOLD) -> DataFrame:
@@ -378,30 +435,23 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), told: in
     classes = profiles.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     pairs = found.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.min("z").alias("home"))
     groups = found.where(F.col("kind") == GROUP).select(F.col("x").alias("g"), F.col("y").alias("node"), F.col("z").alias("pos")).distinct()
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct()
-    needed = checkpointed(needed.join(classes, "node"))
     components = spark.createDataFrame([], "node long, component long")
-    if n := needed.count():
-        ids = needed.select(F.col("least").alias("doc_id")).distinct()
-        if n <= told:
-            wanted = np.array(sorted(r[0] for r in ids.collect()), np.int64)  # at most 8 MB
-            rebuilt = texts.mapInArrow(_rebuild(how, wanted), "node long, elements binary, sketch binary")
-        else:
-            rebuilt = texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how, None), "node long, elements binary, sketch binary")
-        # rows may share an id or a set: each needed set counts once
-        sets = checkpointed(rebuilt.join(needed, "node", "left_semi").groupBy("node").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch")))
-        links = _verified(pairs, sets.select("node", "elements"), how, 4 * buckets)
-        components = checkpointed(connected_components(links))
+    ends = lambda pairs: checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"))
+    if not pairs.isEmpty() or not groups.isEmpty():
+        nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct().join(classes, "node"))
+        sketched = checkpointed(_sets_of(texts, nodes, how, told, with_elements=False).dropDuplicates(["node"]))
+        pairs = checkpointed(_in_cells(pairs, sketched, 4 * buckets, _sifter(how), "a long, b long, home long"))
+        components = checkpointed(connected_components(_verified(pairs, _sets_of(texts, ends(pairs), how, told), how, 4 * buckets)))
         now = groups.join(components, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
         active = now.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).where("least <> most")
         placed = now.join(active.select("g", F.ceil(F.col("n") / CELL).alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         cells = F.expr("transform(sequence(0L, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))")
         placed = placed.select("g", "node", "c", "block", F.explode(cells).alias("cell")).select("g", "node", "c", "block", "cell.low", "cell.high")
-        placed = placed.join(sets.select("node", "sketch"), "node").withColumn("bin", F.pmod(F.xxhash64("g", "low", "high"), F.lit(4 * buckets)))
+        placed = placed.join(sketched, "node").withColumn("bin", F.pmod(F.xxhash64("g", "low", "high"), F.lit(4 * buckets)))
         more = checkpointed(placed.groupBy("bin").applyInArrow(_remaining(how), "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home")))
         if not more.isEmpty():
             known = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            components = checkpointed(connected_components(known.union(_verified(more, sets.select("node", "elements"), how, 4 * buckets))))
+            components = checkpointed(connected_components(known.union(_verified(more, _sets_of(texts, ends(more), how, told), how, 4 * buckets))))
     names = classes.join(components, "node").groupBy("component").agg(F.min("least").alias("name"))
     linked = components.join(names, "component").select("node", "name")
     clean = lambda c: F.when(c != NO_ID, c)
