@@ -53,7 +53,6 @@ RIDGE = 5e-4
 STEPS = 200
 
 _SYMBOL = np.array([chr(i) in "*$#%&|@~^=+<>{}[]\\_!" for i in range(128)] + [False] * 128)
-_SPACE = np.array([i == 0x20 or 0x09 <= i <= 0x0D for i in range(256)])
 
 
 def _bins(part: np.ndarray, whole: np.ndarray) -> np.ndarray:

@@ -36,9 +36,9 @@ from tessera.llm.suffix_dedup import result_schema, with_columns
 #: Documents longer than this are over the limit.
 LIMIT = 2048
 #: Pre-tokens remembered by a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of text handled at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 
@@ -63,13 +63,11 @@ class Bpe:
     """A byte-level BPE with word ends, read from a tokenizer's JSON file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         vocab, names = model["vocab"], _byte_names()
-        self.library = Tokenizer.from_file(path)
         self.bytes_of = {name: b for b, name in enumerate(names)}
         self.inner = np.array([vocab[x] for x in names], np.int32)
         self.final = np.array([vocab[x + end] for x in names], np.int32)
@@ -81,6 +79,13 @@ class Bpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.is_special = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizer library's object, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens of a text, as words; special tokens as their ids."""
         if self.is_special and (found := self.is_special.search(text)):
@@ -201,6 +206,7 @@ def batches_of(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE)
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for a, b in K.slices(np.append(0, np.cumsum(size)), limit):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 RESULT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])

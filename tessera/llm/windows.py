@@ -42,7 +42,7 @@ CHUNK = "__chunk"
 #: Chunks of documents per shuffle partition.
 CHUNKS_PER_PARTITION = 4
 #: Symbols that a kernel holds at once, unless one document has more.
-SLICE = 3 << 20
+SLICE = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
