@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,29 +80,30 @@ def _knn(metric: str, kernel: str = "arrow", **options):
     return lambda spark, sf: _rounded(search.knn(_queries(spark, sf), _corpus(spark, sf), K, metric, exclude_self=True, kernel=kernel, **options))
 
 
-def _filtered(where: Filter, mode: str = "pre"):
-    return lambda spark, sf: _rounded(search.knn(_queries(spark, sf), _with_metadata(spark, sf), K, D.COSINE, where, exclude_self=True, kernel="expr", mode=mode))
+def _filtered(where: Callable[[], Filter], mode: str = "pre"):
+    return lambda spark, sf: _rounded(search.knn(_queries(spark, sf), _with_metadata(spark, sf), K, D.COSINE, where(), exclude_self=True, kernel="expr", mode=mode))
 
 
 def _filtered_sql(where: str) -> str:
     return _knn_sql(D.COSINE, corpus=_META, where=f"query_id <> id AND {where}")
 
 
-def _filters() -> dict[str, tuple[Filter, str]]:
+def _filters() -> dict[str, tuple[Callable[[], Filter], str]]:
+    """Filters, made when a session is there, and their SQL."""
     lang, source = Field("lang"), Field("source")
     chars, chars_float, quality = Field("n_chars", "int"), Field("n_chars", "float"), Field("quality", "int")
     return {
-        "knn_filter_eq": (lang == "en", "coalesce(lang = 'en', false)"),
-        "knn_filter_gt_float": (chars_float > 1500.5, "coalesce(CAST(n_chars AS FLOAT) > CAST(1500.5 AS FLOAT), false)"),
-        "knn_filter_lt_float": (chars_float < 1500.5, "coalesce(CAST(n_chars AS FLOAT) < CAST(1500.5 AS FLOAT), false)"),
-        "knn_filter_gt_int": (chars > 1500, "coalesce(n_chars > 1500, false)"),
-        "knn_filter_lt_int": (chars < 1500, "coalesce(n_chars < 1500, false)"),
-        "knn_filter_in": (source.one_of({"src1", "src2", "src3"}), "coalesce(source IN ('src1', 'src2', 'src3'), false)"),
-        "knn_filter_and": ((lang == "en") & (chars > 1000), "coalesce(lang = 'en', false) AND coalesce(n_chars > 1000, false)"),
-        "knn_filter_or": ((lang == "de") | (quality > 0), "(coalesce(lang = 'de', false) OR coalesce(quality > 0, false))"),
-        "knn_filter_not_missing": (~(quality > 0), "NOT coalesce(quality > 0, false)"),
-        "knn_filter_empty_and": (filters.all_of(), "true"),
-        "knn_filter_empty_or": (filters.any_of(), "false"),
+        "knn_filter_eq": (lambda: lang == "en", "coalesce(lang = 'en', false)"),
+        "knn_filter_gt_float": (lambda: chars_float > 1500.5, "coalesce(CAST(n_chars AS FLOAT) > CAST(1500.5 AS FLOAT), false)"),
+        "knn_filter_lt_float": (lambda: chars_float < 1500.5, "coalesce(CAST(n_chars AS FLOAT) < CAST(1500.5 AS FLOAT), false)"),
+        "knn_filter_gt_int": (lambda: chars > 1500, "coalesce(n_chars > 1500, false)"),
+        "knn_filter_lt_int": (lambda: chars < 1500, "coalesce(n_chars < 1500, false)"),
+        "knn_filter_in": (lambda: source.one_of({"src1", "src2", "src3"}), "coalesce(source IN ('src1', 'src2', 'src3'), false)"),
+        "knn_filter_and": (lambda: (lang == "en") & (chars > 1000), "coalesce(lang = 'en', false) AND coalesce(n_chars > 1000, false)"),
+        "knn_filter_or": (lambda: (lang == "de") | (quality > 0), "(coalesce(lang = 'de', false) OR coalesce(quality > 0, false))"),
+        "knn_filter_not_missing": (lambda: ~(quality > 0), "NOT coalesce(quality > 0, false)"),
+        "knn_filter_empty_and": (lambda: filters.all_of(), "true"),
+        "knn_filter_empty_or": (lambda: filters.any_of(), "false"),
     }
 
 
@@ -110,7 +113,7 @@ def _deleted(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_post_filter(spark: SparkSession, sf: str) -> DataFrame:
     """The 4k nearest, filtered afterwards: may find fewer than k."""
-    return _filtered(Field("lang") == "en", "post")(spark, sf)
+    return _filtered(lambda: Field("lang") == "en", "post")(spark, sf)
 
 
 def knn_soft_delete(spark: SparkSession, sf: str) -> DataFrame:

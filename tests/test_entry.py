@@ -1,5 +1,9 @@
 """Every core query gives the rows of its SQL."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -38,6 +42,11 @@ def test_queries(spark, tables):
     assert not wrong
 
 
+def test_names_need_no_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 50"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__spark_entry__.__file__).parent, check=True)
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.columns == ["query_id", "id", "score", "rank"] and rows.count() == 100
