@@ -44,16 +44,22 @@ def best(scored: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank", *keep)
 
 
+def against(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row with every query; about ``QUERY_BLOCK`` queries are broadcast at once, however many there are."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, (rows.crossJoin(F.broadcast(queries if blocks == 1 else queries.where(block == b))) for b in range(blocks)))
+
+
 def pairs(queries: DataFrame, corpus: DataFrame, metric: str, exclude_self: bool = False) -> DataFrame:
-    """query_id, id and score of every query with every row; queries are broadcast by the caller's bound."""
+    """query_id, id and score of every query with every row; queries are broadcast in blocks."""
     q = queries.select("query_id", F.col("embedding").alias("__q"))
     columns = [c for c in corpus.columns if c not in ("id", "embedding")]
     if metric == D.COSINE:  # norms once per row, not once per pair
-        q = q.withColumn("__nq", D.norm(F.col("__q")))
-        joined = corpus.withColumn("__n", D.norm(F.col("embedding"))).crossJoin(F.broadcast(q))
+        joined = against(corpus.withColumn("__n", D.norm(F.col("embedding"))), q.withColumn("__nq", D.norm(F.col("__q"))))
         score = D.cosine(F.col("__q"), F.col("embedding"), F.col("__nq"), F.col("__n"))
     else:
-        joined = corpus.crossJoin(F.broadcast(q))
+        joined = against(corpus, q)
         score = D.distance(metric, F.col("__q"), F.col("embedding"))
     joined = joined.where("query_id <> id") if exclude_self else joined
     return joined.select("query_id", "id", score.alias("score"), *columns)

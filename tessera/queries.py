@@ -149,14 +149,14 @@ def range_inner_product(spark: SparkSession, sf: str) -> DataFrame:
 def distances_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every metric for all pairs of a few queries."""
     q, v = F.col("q"), F.col("embedding")
-    pairs = _corpus(spark, sf).crossJoin(F.broadcast(_queries(spark, sf).where("query_id < 3").withColumnRenamed("embedding", "q")))
+    pairs = search.against(_corpus(spark, sf), _queries(spark, sf).where("query_id < 3").withColumnRenamed("embedding", "q"))
     return pairs.select("query_id", "id", *[F.round(D.distance(m, q, v), 6).alias(m) for m in D.METRICS])
 
 
 def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     """The same distances by the registered SQL functions."""
     D.register(spark)
-    pairs = _corpus(spark, sf).crossJoin(F.broadcast(_queries(spark, sf).where("query_id < 3").withColumnRenamed("embedding", "q")))
+    pairs = search.against(_corpus(spark, sf), _queries(spark, sf).where("query_id < 3").withColumnRenamed("embedding", "q"))
     call = lambda m: f"round({m}_distance(cast(q AS array<double>), cast(embedding AS array<double>)), 6) AS {m}"
     return pairs.selectExpr("query_id", "id", *map(call, D.METRICS))
 
@@ -183,7 +183,7 @@ def binary_unpack(spark: SparkSession, sf: str) -> DataFrame:
 def hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
     packed = _corpus(spark, sf).select("id", codecs.pack_signs(F.col("embedding")).alias("w"))
     q = packed.where("id < 5").select(F.col("id").alias("query_id"), F.col("w").alias("q"))
-    return packed.crossJoin(F.broadcast(q)).where("query_id <> id").select("query_id", "id", D.packed_hamming(F.col("q"), F.col("w")).alias("score"))
+    return search.against(packed, q).where("query_id <> id").select("query_id", "id", D.packed_hamming(F.col("q"), F.col("w")).alias("score"))
 
 
 def f16_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

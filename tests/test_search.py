@@ -106,3 +106,16 @@ def test_post_filter_may_find_fewer(spark):
     rare = Field("rare") == "yes"
     assert search.knn(query, corpus, 4, where=rare).count() == 4
     assert search.knn(query, corpus, 4, where=rare, mode="post").count() <= 4
+
+
+@pytest.mark.parametrize("metric", D.METRICS)
+def test_range_search_sends_queries_in_blocks(spark, metric, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    corpus = vectors.wave(spark, 1000, 8).repartition(4)
+    data = {r.id: r.embedding for r in corpus.collect()}
+    queries = corpus.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    limit = {D.COSINE: 0.1005, D.L2: 2.003, D.INNER_PRODUCT: -5.003, D.HAMMING: 1.5}[metric]
+    found = search.range_search(queries, corpus, limit, 2000, metric, exclude_self=True)
+    assert found._jdf.queryExecution().toString().count("BroadcastExchange") >= 4  # 20 queries, none of the blocks has all
+    expected = {(q, i) for q in range(0, 1000, 50) for i, v in data.items() if i != q and _numpy(metric, data[q], v) <= limit}
+    assert expected and {(r.query_id, r.id) for r in found.collect()} == expected
