@@ -88,9 +88,17 @@ class Bpe:
 
     def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens of a text, as words; special tokens as their ids."""
-        if self.is_special and (found := self.is_special.search(text)):
-            head = self.pieces(text[: found.start()]) if found.start() else []
-            return [*head, self.special[found[0]], *self.pieces(text[found.end() :])]
+        if self.is_special is None:
+            return self._words(text)
+        out, at = [], 0
+        for found in self.is_special.finditer(text):
+            out += self._words(text[at : found.start()])
+            out.append(self.special[found[0]])
+            at = found.end()
+        return out + self._words(text[at:])
+
+    def _words(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special tokens."""
         if _UNUSUAL.search(text) is None:
             return _PIECES.findall(text.lower())
         text = self.library.normalizer.normalize_str(text) if self.library.normalizer else text

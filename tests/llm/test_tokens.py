@@ -42,6 +42,13 @@ def test_counts(spark):
     assert count_tokens(docs.where("false").selectExpr("*", "1 AS n_tokens"), tokenizer_path()).count() == 0
 
 
+def test_thousands_of_special_strings(spark):
+    text = "joined dump<|endoftext|> é <|startoftext|><|endoftext|>" * 2000
+    expected = len(bpe(tokenizer_path()).library.encode(text, add_special_tokens=False).ids)
+    assert [r.n_tokens for r in count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path()).collect()] == [expected]
+    assert sum(r.length for r in pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer_path()).collect()) == expected + 1
+
+
 def test_packing(spark):
     texts, docs = _docs(spark)
     library = bpe(tokenizer_path()).library
