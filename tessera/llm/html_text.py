@@ -7,8 +7,9 @@ known: a word weighs what share of the words in its kind of element belonged
 to the text, a tag costs what share of its uses stood outside.  Elements whose
 purpose is stated (navigation, forms, adverts, ...) start from a share of
 nothing, all others from a share of everything, so kinds of element that no
-labelled page has are judged by these priors.  Blocks of the region are the
-result, without those of elements that carry no text.
+labelled page has are judged by these priors; enough labelled words overturn
+either.  Blocks of the region are the result, without those of elements that
+carry no text.
 
 Defined results: null or empty html, or a page without words, gives an empty
 text.  A tag that is never closed is text up to the end of the page, as is a
@@ -41,12 +42,17 @@ TAG_COST = 0.05
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("head title nav header footer aside form button select option textarea iframe svg canvas object dialog menu fieldset label noscript template noframes audio video map".split())
+#: Those of them that show no text of the page, whatever labelled pages say.
+_UNSEEN = frozenset("head title iframe svg canvas object noscript template noframes audio video map".split())
 _APART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation "
     "breadcrumb breadcrumbs header masthead topbar footer comment comments respond disqus replies reply share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar "
     "pagination pager skip form copyright".split()
 )
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words that may stand beside those in a class or id; with any other word it states no purpose.
+_BESIDE = frozenset("site page global top bottom left right bar list box block item items link links button buttons section inner area".split())
+_DISCUSSION = frozenset("comment comments respond disqus replies reply".split())
 _RAW = frozenset("script style".split())
 _RESTARTS = frozenset("article main body".split())
 #: What an opening tag ends, if it is the innermost block.
@@ -59,41 +65,61 @@ _LETTERS = re.compile(r"[a-z]+")
 
 
 class Piece(NamedTuple):
-    """A tag (kind '<', or '</'), or a run of text of one kind of element in one block."""
+    """A tag (kind '<', or '</'), or a run of text of one kind of element in one block.
+
+    apart: the stated purposes of the elements around it, outermost first.
+    """
 
     kind: str
-    apart: bool
+    apart: str
     words: int
     block: int
     text: str
 
+    @property
+    def key(self) -> str:
+        """What the piece is counted as: its kind, by the purposes around it."""
+        return f"{self.apart}>{self.kind}" if self.apart else self.kind
+
+
+def _purpose(value: str) -> str:
+    """The first name of a class or id that states a purpose as a whole."""
+    for token in value.split():
+        parts = _LETTERS.findall(token)
+        named = [x for x in parts if x in _APART_NAMES]
+        if named and all(x in _APART_NAMES or x in _BESIDE for x in parts):
+            return next((x for x in named if x in _DISCUSSION), named[0])
+    return ""
 
-def _kind(name: str, attributes: str) -> tuple[str, bool]:
-    """The kind of an element, by name and class, and whether its purpose sets it apart."""
-    apart, kind = name in _APART, name
+
+def _kind(name: str, attributes: str) -> tuple[str, str]:
+    """The kind of an element, by name and class, and the purpose that sets it apart, if any."""
+    purpose, kind = name if name in _APART else "", name
     if attributes and "=" in attributes:
         for m in _NAMES.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "role":
-                apart = apart or value in _APART_ROLES
+                purpose = purpose or (value if value in _APART_ROLES else "")
                 continue
-            if name not in ("html", "body", "main", "article"):
-                apart = apart or not _APART_NAMES.isdisjoint(_LETTERS.findall(value))
+            if name not in ("html", "body", "main"):
+                stated = _purpose(value)
+                if name != "article" or stated in _DISCUSSION:
+                    purpose = purpose or stated
             if m[1].lower() == "class" and value:
                 kind = f"{name}.{value.split()[0]}" if value.split() else name
-    return kind, apart
+    return kind, purpose
 
 
 def pieces(html: str) -> list[Piece]:
     """Tags and texts of a page in their order."""
     out: list[Piece] = []
-    stack: list[tuple[str, str, bool]] = []  # open blocks: name, kind, apart from the text
+    stack: list[tuple[str, str, str]] = []  # open blocks: name, kind, purposes that set them apart
     block, at, n = 0, 0, len(html)
 
     def say(text: str) -> None:
         if text and not text.isspace():
             text = unescape(text)
-            kind, apart = (stack[-1][1], stack[-1][2]) if stack else ("", False)
+            kind, apart = (stack[-1][1], stack[-1][2]) if stack else ("", "")
             out.append(Piece(kind, apart, len(text.split()), block, text))
         elif text and out and out[-1].words and out[-1].block == block:
             out.append(out[-1]._replace(words=0, text=" "))
@@ -125,7 +151,7 @@ def pieces(html: str) -> list[Piece]:
         block += 1
         if closing:
             names = [x[0] for x in stack]
-            kind, apart = name, stack[-1][2] if stack else False
+            kind, apart = name, stack[-1][2] if stack else ""
             if name in names:
                 top = len(names) - 1 - names[::-1].index(name)
                 kind, apart = stack[top][1], stack[top][2]
@@ -133,13 +159,17 @@ def pieces(html: str) -> list[Piece]:
             out.append(Piece(f"</{kind}", apart, -1, block, ""))
             continue
         kind, apart = _kind(name, m[3])
+        if name == "header" and apart == name and any(x[0] == "article" for x in stack):
+            apart = ""  # it opens the article, not the page
         if name in _RESTARTS:
-            stack.clear()
+            if name != "article" or not stack or _DISCUSSION.isdisjoint(stack[-1][2].split()) and "aside" not in stack[-1][2].split():
+                stack.clear()
         elif stack and stack[-1][0] == "p":
             stack.pop()
         elif stack and stack[-1][0] in _ENDS.get(name, ()):
             stack.pop()
-        apart = apart or bool(stack and stack[-1][2])
+        around = stack[-1][2] if stack else ""
+        apart = around if apart in around.split() else f"{around} {apart}".strip()
         out.append(Piece(f"<{kind}", apart, -1, block, ""))
         if name not in _VOID and not m[3].endswith("/"):
             stack.append((name, kind, apart))
@@ -154,14 +184,12 @@ class Weights(NamedTuple):
 
     def of(self, piece: Piece) -> float:
         if piece.words < 0:
-            inside = self.tags.get(piece.kind, 0.0 if piece.apart else 1.0)
+            inside = self.tags.get(piece.key, 0.0 if piece.apart else 1.0)
             return -TAG_COST - (1.0 - inside)
         return piece.words * self.share(piece)
 
     def share(self, piece: Piece) -> float:
-        if piece.apart:
-            return 0.0
-        share = self.words.get(piece.kind, 1.0)
+        share = self.words.get(piece.key, 0.0 if piece.apart else 1.0)
         return share if share >= 0.5 else 0.0
 
 
@@ -201,35 +229,38 @@ def main_text(html: str | None, weights: Weights) -> str:
 def fit(labelled: Iterable[tuple[str, str]]) -> Weights:
     """Weights from pages and their known texts."""
     words, good, tags, inside = Counter(), Counter(), Counter(), Counter()
-    apart_kinds: set[str] = set()
+    apart: set[str] = set()
+    known: list[tuple[list[tuple[str, bool, bool]], list[int]]] = []
     for html, text in labelled:
         lines = {" ".join(x.split()) for x in text.split("\n")}
         whole = " ".join(text.split())
         found = pieces(html or "")
-        seen, hits = [], []
+        hits = []
         for i, x in enumerate(found):
             if x.apart:
-                apart_kinds.add(x.kind)
-            if x.words > 0:
+                apart.add(x.key)
+            if x.words > 0 and _UNSEEN.isdisjoint(x.apart.split()):
                 own = " ".join(x.text.split())
-                hit = own in lines or len(own) >= 20 and whole.startswith(own)
-                seen.append((x, hit))
-                if hit and not x.apart:
+                if own in lines or len(own) >= 20 and whole.startswith(own):
                     hits.append(i)
-        if not hits:
-            continue  # the text is not this page's
-        for x, hit in seen:
-            words[x.kind] += x.words
-            good[x.kind] += x.words * hit
-        for i, x in enumerate(found):
-            if x.words < 0:
-                tags[x.kind] += 1
-                inside[x.kind] += hits[0] <= i <= hits[-1]
-    prior = lambda kind: 0.0 if kind in apart_kinds else PRIOR
-    return Weights(
-        {k: (good[k] + prior(k)) / (n + PRIOR) for k, n in words.items() if k not in apart_kinds},
-        {k: (inside[k] + prior(k)) / (n + PRIOR) for k, n in tags.items()},
-    )
+        # a few lines in elements set apart do not tell that the text is this page's
+        if all(found[i].apart for i in hits) and 2 * sum(found[i].words for i in hits) < max(1, len(whole.split())):
+            continue
+        for x in found:
+            if x.words > 0:
+                words[x.key] += x.words
+        for i in hits:
+            good[found[i].key] += found[i].words
+        known.append(([(x.key, bool(x.apart), x.words < 0) for x in found], hits))
+    prior = lambda key: 0.0 if key in apart else PRIOR
+    share = {k: (good[k] + prior(k)) / (n + PRIOR) for k, n in words.items()}
+    for found, hits in known:
+        hits = [i for i in hits if not found[i][1] or share[found[i][0]] >= 0.5]
+        for i, (key, _, tag) in enumerate(found):
+            if tag and hits:
+                tags[key] += 1
+                inside[key] += hits[0] <= i <= hits[-1]
+    return Weights(share, {k: (inside[k] + prior(k)) / (n + PRIOR) for k, n in tags.items()})
 
 
 def labelled_pages(pages: DataFrame, documents: DataFrame, limit: int = LABELLED) -> list[tuple[str, str]]:

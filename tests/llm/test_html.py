@@ -26,6 +26,22 @@ def test_edges(html, text):
     assert main_text(html, PLAIN) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<div class="layout with-sidebar"><p>one two</p></div>', "one two"), ('<div class="has-header"><p>one two</p></div>', "one two"),
+    ("<header>site</header><article><header><h1>Title</h1></header><p>one two</p></article>", "Title\none two"),
+    ('<article><p>one two</p></article><section class="comments"><article class="comment"><p>a b c d e f g h i</p></article><article><p>j k l m n o</p></article></section>', "one two"),
+    ('<article><p>one two</p></article><aside><article><p>a b c d e f g h i</p></article></aside>', "one two"), ('<div class="cookie-notice">a b</div>', ""),
+])
+def test_purposes_are_whole_names(html, text):
+    assert main_text(html, PLAIN) == text
+
+
+def test_labelled_pages_overturn_stated_purposes():
+    page = lambda i: f'<div class="menu"><p>soup {i} of the day</p><p>bread {i} with butter</p></div><nav><p>home</p></nav>'
+    weights = fit([(page(i), f"soup {i} of the day\nbread {i} with butter") for i in range(20)])
+    assert main_text(page(99), PLAIN) == "" and main_text(page(99), weights) == "soup 99 of the day\nbread 99 with butter"
+
+
 def test_texts_of_other_pages_teach_nothing():
     assert fit([(PAGE, "Words of quite another page."), ("<p>x</p>", "y"), (None, "z")]) == PLAIN
 
