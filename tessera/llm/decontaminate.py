@@ -9,6 +9,12 @@ each value of an item stands for one value of the document throughout, and the
 other way round.  So questions with other numbers or names are found as well
 as verbatim ones, and chance agreement of single windows is not.
 
+Values may have other numbers of words (Albany, New York; 45, twenty five;
+120 km, 120km).  What the words do not find is therefore sought in a second
+form, in which a run of names, or of numbers with their units, is one
+placeholder whose value is the whole run, and capitals that open a sentence
+count as names.  There the windows of neighbouring diagonals add up in order.
+
 The benchmark is a stated query set.  Its windows are counted; blocks of at
 most ``BLOCK`` windows are sent to all tasks one after another, and documents
 are read where they are, without a shuffle.
@@ -49,6 +55,9 @@ NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half"
 ).split()
 
+#: In the second form: how far apart diagonals may lie that add up, and the literal words that tell an item from chance.
+DRIFT, LITERAL = 8, 5
+
 WORD, NUMBER, NAME, UNIT = range(4)
 _DIGIT = np.array([0x30 <= i <= 0x39 for i in range(256)])
 _END = np.array([chr(i) in ".!?:;\"" for i in range(256)])
@@ -68,14 +77,15 @@ def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Canonical(NamedTuple):
-    """Canonical words: their hash as written, their code in the template, kind, place in the bytes; first of each text."""
+    """Canonical words: hash as written, code in the template, kind; first of each text; words that open a sentence, and with a capital; word number."""
 
     own: np.ndarray
     code: np.ndarray
     kind: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
     first: np.ndarray
+    opens: np.ndarray
+    capital: np.ndarray
+    word: np.ndarray
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> Canonical:
@@ -101,14 +111,27 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Canonical:
     head = data[low]
     follower = data[np.minimum(low + 1, len(data) - 1)] if len(low) else head
     capital = ((head >= 0x41) & (head <= 0x5A)) | ((head == 0xC3) & (follower >= 0x80) & (follower <= 0x9E))
-    kind[capital & ~opening & ~after_end & ~new_line] = NAME
+    opens = opening | after_end | new_line
+    kind[capital & ~opens] = NAME
     kind[_within(own, _NUMBER_HASHES) | (digits[high] > digits[low])] = NUMBER
     unit = _within(own, _UNIT_HASHES)
     unit[1:] &= (kind[:-1] == NUMBER) & ~opening[1:]
     unit[:1] = False
     kind[unit] = UNIT
     code = np.where(kind == WORD, own, K.mix(kind.astype(np.uint64)))
-    return Canonical(own, code, kind, low, high, first)
+    return Canonical(own, code, kind, first, opens, capital, np.arange(len(own)))
+
+
+def collapsed(text: Canonical) -> Canonical:
+    """The second form: runs of names, and of numbers with units, as one; opening capitals as names."""
+    kind = np.where((text.kind == WORD) & text.opens & text.capital, NAME, np.where(text.kind == UNIT, NUMBER, text.kind)).astype(np.int8)
+    head = np.ones(len(kind), bool)
+    head[1:] = (kind[1:] == WORD) | (kind[1:] != kind[:-1]) | text.opens[1:]
+    start = np.flatnonzero(head)
+    own = K.range_hashes(text.own, start, np.append(start[1:], len(kind))) if len(start) else text.own
+    kind = kind[start]
+    code = np.where(kind == WORD, own, K.mix(kind.astype(np.uint64)))
+    return Canonical(own, code, kind, np.searchsorted(start, text.first), text.opens[start], text.capital[start], start)
 
 
 def windows(text: Canonical) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +153,25 @@ class Index(NamedTuple):
     kind: np.ndarray
     first: np.ndarray
     seen: np.ndarray
+    word: np.ndarray
+    size: np.ndarray
 
 
-def index_items(ids: list[int], texts: list[str]) -> Index:
+def index_items(ids: list[int], texts: list[str]) -> list[Index]:
+    """The items as words, and in the second form."""
     text = canonical(*K.text_buffer(pa.array(texts, pa.string())))
+    size = np.diff(text.first)
+    return [_index(ids, form, size) for form in (text, collapsed(text))]
+
+
+def _index(ids: list[int], text: Canonical, n_words: np.ndarray) -> Index:
     hashes, place = windows(text)
     order = np.argsort(hashes, kind="stable")
     hashes, place = hashes[order], place[order]
     item = np.searchsorted(text.first, place, side="right") - 1
     seen = np.zeros(1 << 20, bool)
     seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(hashes, item, place - text.first[item], np.array(ids, np.int64), text.own, text.kind, text.first, seen)
+    return Index(hashes, item, place - text.first[item], np.array(ids, np.int64), text.own, text.kind, text.first, seen, np.append(text.word, n_words.sum()), n_words)
 
 
 def _consistent(pairs: list[tuple[int, int, int]]) -> bool:
@@ -150,9 +181,36 @@ def _consistent(pairs: list[tuple[int, int, int]]) -> bool:
     return all(there.setdefault((k, a), b) == b and back.setdefault((k, b), a) == a for k, a, b in pairs)
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple]:
-    """(document, item, words on the diagonal, words of the item, place, slots, changed slots)."""
+def _in_order(place: np.ndarray, diagonal: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the item, and their diagonals, that the diagonals from ``base`` on cover in the order of both texts."""
+    near = (diagonal >= base) & (diagonal <= base + DRIFT)
+    place, diagonal = place[near], diagonal[near]
+    kept: dict[int, int] = {}
+    lines, count = np.unique(diagonal, return_counts=True)
+    for line in lines[np.argsort(-count, kind="stable")].tolist():
+        mine = np.unique((place[diagonal == line][:, None] + np.arange(WINDOW)).ravel())
+        have = np.array(sorted(kept), np.int64)
+        there = have + np.array([kept[x] for x in have.tolist()], np.int64)
+        at = np.searchsorted(have, mine)
+        fits = np.ones(len(mine), bool)
+        if len(have):
+            fits = have[np.minimum(at, len(have) - 1)] != mine
+            fits &= (at == 0) | (there[at - 1] < mine + line)
+            fits &= (at == len(have)) | (there[np.minimum(at, len(have) - 1)] > mine + line)
+        kept.update((x, line) for x in mine[fits].tolist())
+    words = np.array(sorted(kept), np.int64)
+    return words, np.array([kept[x] for x in words.tolist()], np.int64)
+
+
+def matches(data: np.ndarray, offsets: np.ndarray, forms: list[Index]) -> list[tuple]:
+    """(document, item, words of it that were found, words of the item, place, slots, changed slots)."""
     text = canonical(data, offsets)
+    found = _matches(text, forms[0], False)
+    have = {x[:2] for x in found}
+    return found + [x for x in _matches(collapsed(text), forms[1], True) if x[:2] not in have]
+
+
+def _matches(text: Canonical, index: Index, neighbours: bool) -> list[tuple]:
     hashes, where = windows(text)
     maybe = index.seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
     hashes, where = hashes[maybe], where[maybe]
@@ -177,25 +235,45 @@ def matches(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple]:
     size = np.diff(index.first)[item[start]]
     enough = (covered >= ENOUGH) | ((covered >= SHARE * size) & (covered >= np.minimum(LEAST, size)))
     best: dict = {}
-    for g in np.flatnonzero(enough).tolist():
-        d, i = int(doc[start[g]]), int(item[start[g]])
-        words = np.unique((place[start[g] : stop[g], None] + np.arange(WINDOW)[None, :]).ravel())
-        mine, its = text.first[d] + diagonal[start[g]] + words, index.first[i] + words
+
+    def consider(d: int, i: int, words: np.ndarray, diagonals: np.ndarray) -> None:
+        mine, its = text.first[d] + diagonals + words, index.first[i] + words
         slots = np.flatnonzero(index.kind[its] != WORD)
         pairs = list(zip(index.kind[its][slots].tolist(), index.own[its][slots].tolist(), text.own[mine][slots].tolist(), strict=True))
-        if not _consistent(pairs):
-            continue
-        row = (d, i, len(words), int(size[g]), int(diagonal[start[g]] + words[0]), len(pairs), sum(a != b for _, a, b in pairs))
+        if neighbours and len(words) - len(slots) < LITERAL or not _consistent(pairs):
+            return
+        n_words = int((index.word[its + 1] - index.word[its]).sum())
+        start_word = int(text.word[mine[0]] - text.word[text.first[d]])
+        row = (d, i, n_words, int(index.size[i]), start_word, len(pairs), sum(a != b for _, a, b in pairs))
         key = (d, i)
         if key not in best or (row[2], -row[6], -row[4]) > (best[key][2], -best[key][6], -best[key][4]):
             best[key] = row
+
+    for g in np.flatnonzero(enough).tolist():
+        words = np.unique((place[start[g] : stop[g], None] + np.arange(WINDOW)[None, :]).ravel())
+        consider(int(doc[start[g]]), int(item[start[g]]), words, np.full(len(words), diagonal[start[g]]))
+    if neighbours:
+        first = K.group_starts(doc, item)
+        last = np.append(first[1:], len(doc))
+        total = np.add.reduceat(new, first)
+        size = np.diff(index.first)[item[first]]
+        maybe = (diagonal[first] != diagonal[last - 1]) & ((total >= ENOUGH) | ((total >= SHARE * size) & (total >= np.minimum(LEAST, size))))
+        for g in np.flatnonzero(maybe).tolist():
+            d, i, n = int(doc[first[g]]), int(item[first[g]]), int(size[g])
+            if (d, i) in best:
+                continue
+            its, lines = place[first[g] : last[g]], diagonal[first[g] : last[g]]
+            for base in np.unique(lines).tolist():
+                words, diagonals = _in_order(its, lines, base)
+                if len(words) >= ENOUGH or len(words) >= SHARE * n and len(words) >= min(LEAST, n):
+                    consider(d, i, words, diagonals)
     return list(best.values())
 
 
 RESULT = "doc_id long, item_id long, matched_words long, item_words long, start_word long, n_slots long, changed_slots long, contaminated boolean"
 
 
-def _against(docs: DataFrame, index: Index) -> DataFrame:
+def _against(docs: DataFrame, index: list[Index]) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in batches_of(whole)):
             found = matches(*K.text_buffer(batch.column("text")), index)
@@ -203,7 +281,7 @@ def _against(docs: DataFrame, index: Index) -> DataFrame:
             column = lambda k: pa.array([x[k] for x in found], pa.int64())
             yield pa.record_batch({
                 "doc_id": ids.take(column(0)),
-                "item_id": pa.array(index.ids[[x[1] for x in found]] if found else [], pa.int64()),
+                "item_id": pa.array(index[0].ids[[x[1] for x in found]] if found else [], pa.int64()),
                 "matched_words": column(2), "item_words": column(3), "start_word": column(4), "n_slots": column(5), "changed_slots": column(6),
                 "contaminated": pa.array([True] * len(found), pa.bool_()),
             })

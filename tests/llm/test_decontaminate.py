@@ -25,6 +25,19 @@ def test_reparameterised(spark):
     assert all(r.contaminated for r in rows)
 
 
+def test_values_of_other_lengths(spark):
+    items = (ITEM, "Tom has 5 apples. Tom buys 3 pears. Tom eats 2 plums. How many has Tom?", "Bob is 7. Amy is 9. Joe is 4.")
+    texts = [
+        ITEM.replace("Albany", "New York"), ITEM.replace("45", "twenty five"), ITEM.replace("120 km", "120km"), ITEM.replace("Boston", "old santa fe"),
+        items[1].replace("Tom", "Anna"), items[1].replace("Tom", "Mary Ann").replace("5", "twenty one"),
+        "Anna has 5 apples. Ben buys 3 pears. Carl eats 2 plums. How many has Dora?", ITEM.replace("Albany", "New York", 1), "Ann is 1. Eve is 2. Max is 3. Leo is 8.",
+    ]
+    rows = _found(spark, texts, items)
+    assert {(r.doc_id, r.item_id) for r in rows} == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1)}
+    by_doc = {r.doc_id: r for r in rows}
+    assert by_doc[0].item_words == 24 and by_doc[0].matched_words == 24 and by_doc[0].changed_slots == 2
+
+
 def test_short_items_blocks_and_copies(spark):
     items = ["one two", None, "", "alpha beta gamma delta epsilon", ITEM, ITEM]
     texts = ["alpha beta gamma delta epsilon", "zeta alpha, beta gamma; delta epsilon eta", ITEM, ITEM]
