@@ -85,6 +85,14 @@ def test_product_quantization(spark):
     assert quantize.IvfPq(index.cells, index.codebook).search(queries, 5).count() == 0
 
 
+def test_candidates_are_ranked_exactly(spark):
+    corpus = vectors.from_rows(spark, np.random.default_rng(4).uniform(-1, 1, (400, 16)).tolist(), list(range(400)))
+    queries = corpus.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    index = quantize.IvfPq.train(corpus, 4, 4, 3, codes=64).add(corpus)
+    found = quantize.reranked(index.search(queries, 100, 4), queries, corpus, 10)
+    assert found.count() == 80 and _recall(found, search.knn(queries, corpus, 10, D.L2), 10) >= 0.9
+
+
 def test_graph(spark):
     corpus = vectors.from_rows(spark, np.random.default_rng(1).uniform(-1, 1, (150, 8)).tolist(), list(range(150)))
     exact = graph.exact_graph(corpus, 8).cache()
