@@ -14,21 +14,26 @@ is lost, and sets without a common element hardly ever share a signature.
 1. One pass over the texts makes the sets and sends signatures, packed, to
    buckets; equal sets send theirs once per batch and count as one *class*.
 2. A bucket sorts its signatures.  Classes that share one are candidates: all
-   pairs of a small group, and of a larger group those with its first members;
-   the larger groups are kept.
-3. Sketches of candidates (elements by hash bucket, 260 bytes) drop pairs that
-   differ too much; the others are verified on their sets.  Sketches and sets
-   are rebuilt from the texts of one document per class, and meet in cells.
-4. Links give components.  In larger groups whose members are not yet all in
-   one component, all pairs across components are filtered by size and sketch,
-   inside the tasks, and those that may link are verified as well.  Both
-   filters are bounds, so the result is exact.
+   pairs of a small group; of a larger group, its members with its first.
+3. Sets of candidates are rebuilt from the text of one document per class.
+   Sketches (elements by hash bucket, 260 bytes) drop pairs of small groups
+   that differ too much; the others are verified on their sets, in cells.
+4. Larger groups that share members make a *family*.  A family is dealt into
+   blocks of bounded size and any two blocks meet in a cell.  A cell holds its
+   sets as differences from what most of them have, which are short among near
+   copies, finds all links by them and returns a forest: fewer links than
+   members, however many pairs link.  The distance of two sets is that of
+   their differences, so the result is exact.  A cell compares inside its
+   task; the work of a family grows with the square of its blocks, its rows
+   with members times blocks.
+5. Links give components.
 
 Defined results: null or empty text, or one without words, has an empty set,
 which links with nothing; fewer words than a shingle make one shingle; a null
 id takes part, but a component is named by the smallest id that is not null;
 repeated rows link with each other.  An empty table gives no rows.  Other
-columns are ignored.
+columns are ignored.  A very long text is one set, handled whole in one task
+(about 40 bytes a byte of text at its peak).
 """
 
 from __future__ import annotations
@@ -38,12 +43,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
 from tessera.llm.components import connected_components
-from tessera.llm.spark_util import checkpointed
+from tessera.llm.spark_util import checkpointed, columns_of, fresh
 from tessera.llm.windows import NO_ID
 
 #: Documents of a kernel call; element keys hold their number in ten bits.
@@ -53,14 +59,10 @@ _ELEMENT = np.uint64(54)
 _LOW = (np.uint64(1) << _ELEMENT) - np.uint64(1)
 #: Groups of at most so many classes give all their pairs at once.
 SMALL = 8
-#: Members of a larger group that are compared with the rest at first.
-HUBS = 2
 #: Buckets of a sketch.
 SKETCH = 256
-#: Up to so many classes the sets to rebuild are told to all tasks (16 bytes each); beyond, they are joined.
-TOLD = 1_000_000
-#: Classes of one group that meet in a cell of verification.
-CELL = 1024
+#: Elements of a block of a family.
+BLOCK = 1 << 19
 
 
 class Similarity(NamedTuple):
@@ -225,8 +227,8 @@ def _found(kind: int, x, y, z) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(len(x), kind), pa.int32()), "x": column(x), "y": column(y), "z": column(z)})
 
 
-def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how: Similarity) -> list[pa.Table]:
-    """Pairs of classes that share a signature, each with the place where to verify it; the larger groups.
+def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how: Similarity, most: int) -> list[pa.Table]:
+    """Pairs of classes in small groups, each with the place where to verify it; members of larger groups with their first.
 
     The place is named by the group's first class, so that classes which are
     candidates of each other meet in few places.
@@ -239,10 +241,10 @@ def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how:
     many = np.diff(np.append(start, len(signature)))
     group = np.repeat(np.arange(len(start)), many)
     left, right, homes = [], [], []
-    small = np.repeat((many > 1) & (many <= SMALL), many)
+    small = np.repeat((many > 1) & (many <= most), many)
     s_owner, s_size, s_group = owner[small], size[small], group[small]
     s_home = owner[start[s_group]]
-    for d in range(1, min(SMALL, len(s_owner))):
+    for d in range(1, min(most, len(s_owner))):
         i = np.flatnonzero(s_group[:-d] == s_group[d:])
         if not len(i):
             break
@@ -252,20 +254,13 @@ def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how:
         right.append(s_owner[i + d])
         homes.append(s_home[i])
     out, seen = [], set()
-    for g in np.flatnonzero(many > SMALL).tolist():
+    for g in np.flatnonzero(many > most).tolist():
         own = owner[start[g] : start[g] + many[g]]
         name = int(np.bitwise_xor.reduce(K.mix(own)) ^ np.uint64(len(own)))
         if name in seen:
             continue
         seen.add(name)
-        by = np.argsort(K.mix(own), kind="stable")
-        own, sizes = own[by], size[start[g] : start[g] + many[g]][by]
-        for h in range(HUBS):
-            fits = np.flatnonzero(np.minimum(sizes[h], sizes[h + 1 :]) * how.whole >= np.maximum(sizes[h], sizes[h + 1 :]) * how.part) + h + 1
-            left.append(np.full(len(fits), own[h]))
-            right.append(own[fits])
-            homes.append(K.mix(np.full(len(fits), own[h]) + K.mix(own[fits]) % np.uint64(-(-len(own) // CELL))))
-        out.append(_found(GROUP, np.full(len(own), np.uint64(name)), own, np.arange(len(own))))
+        out.append(_found(GROUP, np.full(len(own), own[0]), own, np.zeros(len(own))))
     if left:
         a, b, home = np.concatenate(left), np.concatenate(right), np.concatenate(homes)
         a, b = np.minimum(a, b), np.maximum(a, b)
@@ -276,50 +271,37 @@ def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how:
     return out
 
 
-def _bucket(how: Similarity):
+def _bucket(how: Similarity, most: int):
     def find(table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
         ids, sizes, sets = joined("ids", np.int64), joined("sizes", np.int64), joined("sets", np.uint64)
         parts = [_found(PROFILE, ids, sizes, sets)]
-        parts += candidates(joined("signature", np.uint32), joined("owner", np.uint64), joined("owner_size", np.uint32), how)
+        parts += candidates(joined("signature", np.uint32), joined("owner", np.uint64), joined("owner_size", np.uint32), how, most)
         return pa.concat_tables(parts)
 
     return find
 
 
-def _rebuild(how: Similarity, wanted_ids: np.ndarray | None, wanted_sets: np.ndarray | None, with_elements: bool):
-    """Elements, or else sketches, of the sets of documents; of those told, if any were told."""
+def _rebuild(how: Similarity):
+    """Sketches and elements of the sets of documents."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            ids = whole.column("doc_id").to_numpy()
-            if wanted_ids is not None and len(ids):
-                at = np.minimum(np.searchsorted(wanted_ids, ids), len(wanted_ids) - 1)
-                whole = whole.filter(pa.array(wanted_ids[at] == ids))
-            for batch in _parts(whole):
-                sets = shingle_sets(*K.text_buffer(batch.column("text")), how.words)
-                node = sets.hashes.view(np.int64)
-                keep = np.arange(len(node))
-                if wanted_sets is not None:
-                    at = np.minimum(np.searchsorted(wanted_sets, node), len(wanted_sets) - 1)
-                    keep = np.flatnonzero(wanted_sets[at] == node)
-                packed = [sets.elements[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in keep] if with_elements else [x.tobytes() for x in sketches(sets)[keep]]
-                yield pa.record_batch({"node": pa.array(node[keep]), "packed": pa.array(packed, pa.binary())})
+        for batch in (part for whole in batches for part in _parts(whole)):
+            sets = shingle_sets(*K.text_buffer(batch.column("text")), how.words)
+            _, keep = np.unique(sets.hashes, return_index=True)
+            keep = keep[sets.hashes[keep] > 0]
+            packed = [sets.elements[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in keep]
+            sketch = [x.tobytes() for x in sketches(sets)[keep]]
+            yield pa.record_batch({"node": pa.array(sets.hashes.view(np.int64)[keep]), "sketch": pa.array(sketch, pa.binary()), "packed": pa.array(packed, pa.binary())})
 
     return rebuild
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, how: Similarity, told: int, with_elements: bool = True) -> DataFrame:
-    """node, packed for each of nodes (node, least), from the texts of one document each; rows may repeat."""
-    n = nodes.count()
-    if not n:
-        return texts.sparkSession.createDataFrame([], "node long, packed binary")
-    if n <= told:
-        rows = nodes.select("least", "node").collect()  # 16 bytes each
-        wanted = [np.unique(np.array([r[i] for r in rows], np.int64)) for i in (0, 1)]
-        return texts.mapInArrow(_rebuild(how, *wanted, with_elements), "node long, packed binary")
+def _sets_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
+    """node, sketch, packed of nodes (node, least), from the texts of one document each; others may be among them."""
     ids = nodes.select(F.col("least").alias("doc_id")).distinct()
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how, None, None, with_elements), "node long, packed binary").join(nodes.select("node"), "node", "left_semi")
+    rebuilt = texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how), "node long, sketch binary, packed binary")
+    return rebuilt.dropDuplicates(["node"])
 
 
 def _verifier(how: Similarity):
@@ -356,36 +338,69 @@ def _verifier(how: Similarity):
     return verify
 
 
-def _remaining(how: Similarity):
-    """Pairs of a bin's cells that are in different components and whose sketches allow a link."""
-
-    def remain(table: pa.Table) -> pa.Table:
-        column = lambda name: table[name].to_numpy()
-        order = np.lexsort((column("high"), column("low"), column("g")))
-        table = table.combine_chunks().take(pa.array(order))
-        node, component, block, low, high = (column(x) for x in ("node", "c", "block", "low", "high"))
-        size, sketch = read_sketches(table["packed"].to_pylist())
-        start = K.group_starts(column("g"), low, high)
-        left, right, homes = [], [], []
-        place = column("g") ^ (low << 20) ^ high
-        for first, stop in zip(start.tolist(), [*start[1:].tolist(), len(node)], strict=True):
-            for i in range(first, stop):
-                j = np.arange(i + 1, stop)
-                j = j[(component[j] != component[i]) & ((low[i] == high[i]) | (block[j] != block[i]))]
-                j = j[np.minimum(size[i], size[j]) * how.whole >= np.maximum(size[i], size[j]) * how.part]
-                if not len(j):
-                    continue
-                apart = np.abs(sketch[j] - sketch[i]).sum(axis=1, dtype=np.int64)
-                j = j[apart * (how.whole + how.part) <= (size[i] + size[j]) * (how.whole - how.part)]
-                left.append(np.full(len(j), node[i]))
-                right.append(node[j])
-                homes.append(place[j])
-        a = np.concatenate(left) if left else node[:0]
-        b = np.concatenate(right) if right else node[:0]
-        home = np.concatenate(homes) if homes else node[:0]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "home": pa.array(home)})
-
-    return remain
+def forest(sets: list[np.ndarray], block: np.ndarray, how: Similarity) -> list[tuple[int, int]]:
+    """Links that join what links, among sets of one block, or else between the sets of two.
+
+    x and y differ in |dx| + |dy| - 2 |dx and dy| elements, where dx is what x
+    differs in from the elements that most sets have.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    member = np.repeat(np.arange(n), size)
+    values, element = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.bincount(element, minlength=len(values)) * 2 > n
+    place = np.cumsum(common) - 1
+    has = np.zeros((n, int(common.sum())), bool)
+    shared = common[element]
+    has[member[shared], place[element[shared]]] = True
+    lacks, which = np.nonzero(~has)
+    element = np.concatenate([element[~shared], np.flatnonzero(common)[which]])
+    member = np.concatenate([member[~shared], lacks])
+    apart = np.bincount(member, minlength=n)
+    by = np.argsort(element, kind="stable")
+    holders, first = member[by], np.searchsorted(element[by], np.arange(len(values) + 1))
+    by = np.argsort(member, kind="stable")
+    own, bounds = element[by], np.append(0, np.cumsum(apart))
+    label, links = np.arange(n), []
+    other = np.ones(n, bool) if (block == block[0]).all() else block != block[0]
+    for i in range(n) if other.all() else np.flatnonzero(~other).tolist():
+        open_ = other & (label != label[i])
+        if not open_.any():
+            continue
+        e = own[bounds[i] : bounds[i + 1]]
+        count = first[e + 1] - first[e]
+        at = np.arange(count.sum()) + np.repeat(first[e] - np.append(0, np.cumsum(count))[:-1], count)
+        both = np.bincount(holders[at], minlength=n)
+        near = (apart + apart[i] - 2 * both) * (how.whole + how.part) <= (size + size[i]) * (how.whole - how.part)
+        for j in np.flatnonzero(near & open_).tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _cell(how: Similarity):
+    """Links of one cell of a family."""
+
+    def find(table: pa.Table) -> pa.Table:
+        node, block = table["node"].to_numpy(), table["block"].to_numpy()
+        node, once = np.unique(node, return_index=True)
+        packed = table["packed"]
+        links = forest([np.frombuffer(packed[int(i)].as_buffer(), np.uint64) for i in once], block[once], how)
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[at[:, 0]]), "b": pa.array(node[at[:, 1]])})
+
+    return find
+
+
+def _family_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) within the larger groups, which are given as (first member, member)."""
+    family = checkpointed(connected_components(groups).withColumnRenamed("component", "family").join(classes.select("node", "n_shingles"), "node"))
+    blocks = family.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
+    placed = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    cells = F.expr("transform(sequence(0L, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))")
+    placed = placed.select("family", "node", "block", F.explode(cells).alias("cell")).select("family", "node", "block", "cell.low", "cell.high")
+    return placed.join(sets.select("node", "packed"), "node").groupBy("family", "low", "high").applyInArrow(_cell(how), "a long, b long")
 
 
 def _sifter(how: Similarity):
@@ -421,58 +436,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, cells: int) ->
     return _in_cells(pairs, sets, cells, _verifier(how), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), told: int = TOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs.
+class Classes(NamedTuple):
+    """Of every row its doc_id, n_shingles and node (0: no set); of every node with a link its component; the least id of every node."""
 
-    Links are between classes of equal sets, named by the hash of the set.
-    """
+    profiles: DataFrame
+    components: DataFrame
+    classes: DataFrame
+
+
+def _link(docs: DataFrame, how: Similarity) -> Classes:
+    """Classes of equal sets, named by the hash of the set, and how they link."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc_id"), "text")
+    texts = docs.select(_known_id().alias("doc_id"), "text")
     sent = texts.mapInArrow(_sender(how, buckets), _SENT)
-    found = checkpointed(sent.groupBy("bucket").applyInArrow(_bucket(how), _FOUND))
+    found = checkpointed(sent.groupBy("bucket").applyInArrow(_bucket(how, SMALL), _FOUND))
     profiles = found.where(F.col("kind") == PROFILE).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("node"))
-    classes = profiles.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    classes = profiles.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"))
     pairs = found.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.min("z").alias("home"))
-    groups = found.where(F.col("kind") == GROUP).select(F.col("x").alias("g"), F.col("y").alias("node"), F.col("z").alias("pos")).distinct()
+    groups = found.where(F.col("kind") == GROUP).select(F.col("x").alias("a"), F.col("y").alias("b"))
     components = spark.createDataFrame([], "node long, component long")
-    ends = lambda pairs: checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"))
     if not pairs.isEmpty() or not groups.isEmpty():
-        nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct().join(classes, "node"))
-        sketched = checkpointed(_sets_of(texts, nodes, how, told, with_elements=False).dropDuplicates(["node"]))
-        pairs = checkpointed(_in_cells(pairs, sketched, 4 * buckets, _sifter(how), "a long, b long, home long"))
-        components = checkpointed(connected_components(_verified(pairs, _sets_of(texts, ends(pairs), how, told), how, 4 * buckets)))
-        now = groups.join(components, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
-        active = now.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).where("least <> most")
-        placed = now.join(active.select("g", F.ceil(F.col("n") / CELL).alias("blocks")), "g").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        cells = F.expr("transform(sequence(0L, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))")
-        placed = placed.select("g", "node", "c", "block", F.explode(cells).alias("cell")).select("g", "node", "c", "block", "cell.low", "cell.high")
-        placed = placed.join(sketched, "node").withColumn("bin", F.pmod(F.xxhash64("g", "low", "high"), F.lit(4 * buckets)))
-        more = checkpointed(placed.groupBy("bin").applyInArrow(_remaining(how), "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home")))
-        if not more.isEmpty():
-            known = components.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            components = checkpointed(connected_components(known.union(_verified(more, _sets_of(texts, ends(more), how, told), how, 4 * buckets))))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("b")).distinct()
+        sets = checkpointed(_sets_of(texts, ends.join(classes, "node"), how))
+        sifted = checkpointed(_in_cells(pairs, sets.select("node", F.col("sketch").alias("packed")), 4 * buckets, _sifter(how), "a long, b long, home long"))
+        links = _in_cells(sifted, sets.select("node", "packed"), 4 * buckets, _verifier(how), "a long, b long")
+        if not groups.isEmpty():
+            links = links.union(_family_links(groups, classes, sets, how))
+        components = checkpointed(connected_components(links))
+    return Classes(profiles, components, classes)
+
+
+def _known_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
+
+
+def jaccard_components(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs."""
+    profiles, components, classes = _link(docs, how)
     names = classes.join(components, "node").groupBy("component").agg(F.min("least").alias("name"))
     linked = components.join(names, "component").select("node", "name")
     clean = lambda c: F.when(c != NO_ID, c)
     alone = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return (
-        profiles.join(classes, "node", "left")
+        profiles.join(classes.select("node", "least"), "node", "left")
         .join(linked, "node", "left")
         .select(clean(F.col("doc_id")).alias("doc_id"), "n_shingles", clean(F.coalesce("name", alone)).alias("component_id"))
     )
 
 
+def _with_node(docs: DataFrame, name: str, how: Similarity) -> DataFrame:
+    """docs and the hash of each row's set (0: no set)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _parts(whole)):
+            node = shingle_sets(*K.text_buffer(batch.column("text")), how.words).hashes.view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def one_of_each(docs: DataFrame, how: Similarity) -> DataFrame:
-    """docs without those that are linked, directly or not, with one of a smaller id.
+    """docs with one row of each component: the one of the smallest id, null after all others.
 
-    Of rows that repeat an id in one component one stays; rows without an id stay.
+    Rows are told apart by id and set, so rows of one id whose texts do not
+    link are judged one by one; of rows equal in both, any one stays.  Rows
+    without words have no set and stay, all of them.
     """
-    found = checkpointed(jaccard_components(docs, how))
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    profiles, components, classes = _link(docs, how)
+    nodes = classes.select("node", "least").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = nodes.groupBy("component").agg(F.min(F.struct("least", "node")).alias("best")).select("best.*")
+    rows = profiles.select("doc_id", "node").where("node <> 0")
+    keep = best.select("node", F.col("least").alias("doc_id")).union(profiles.where("node = 0").select("node", "doc_id").distinct())
+    node, key = fresh(docs, "node"), fresh(docs, "key")
+    keyed = _with_node(docs, node, how).withColumn(key, _known_id())
+    keep = checkpointed(keep.select(F.col("node").alias(node), F.col("doc_id").alias(key)))
+    kept = keyed.join(keep, [node, key], "left_semi")
+    again = checkpointed(rows.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias(node), F.col("doc_id").alias(key)))
     if again.isEmpty():
-        return rest
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+        return kept.select(*columns_of(docs))
+    once = kept.join(again, [node, key], "left_semi").dropDuplicates([node])
+    return kept.join(again, [node, key], "left_anti").unionByName(once).select(*columns_of(docs))

@@ -22,3 +22,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from now on."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case of its names."""
+    taken = {x.lower() for x in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[str]:
+    """The names of df's columns, quoted."""
+    return ["`" + x.replace("`", "``") + "`" for x in df.columns]

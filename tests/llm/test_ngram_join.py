@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import ngram_join
-from tessera.llm.ngram_join import Similarity, jaccard_components, one_of_each, shingle_sets, signatures
+from tessera.llm.ngram_join import Similarity, forest, jaccard_components, one_of_each, shingle_sets, signatures
 
 
 def _sets(texts, k):
@@ -60,17 +60,38 @@ def test_against_all_pairs(spark, seed, how):
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
     expected = _brute(ids, texts, how)
     assert sorted(map(tuple, jaccard_components(docs, how).collect())) == expected
-    assert sorted(map(tuple, jaccard_components(docs, how, told=0).collect())) == expected
 
 
 def test_large_groups_and_cells(spark, monkeypatch):
-    for name, value in (("SMALL", 2), ("HUBS", 1), ("CELL", 3)):
+    for name, value in (("SMALL", 1), ("BLOCK", 200)):
         monkeypatch.setattr(ngram_join, name, value)
     ids, texts = _corpus(4)
     docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(docs).collect())) == _brute(ids, texts, Similarity())
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_forest_joins_what_links(two):
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 40, 120).astype(np.uint64))
+    sets = [np.unique(np.append(rng.permutation(base)[: len(base) - rng.integers(0, 14)], rng.integers(0, 300, rng.integers(1, 9)).astype(np.uint64))) for _ in range(150)]
+    block = np.arange(150) % 2 if two else np.zeros(150, int)
+    how = Similarity()
+    near = lambda i, j: how.whole * len(np.intersect1d(sets[i], sets[j])) >= how.part * len(np.union1d(sets[i], sets[j]))
+
+    def classes(links):
+        label = list(range(150))
+        for i, j in links:
+            label = [label[i] if x == label[j] else x for x in label]
+        return label
+
+    all_links = [(i, j) for i in range(150) for j in range(i) if (not two or block[i] != block[j]) and near(i, j)]
+    found = forest(sets, block, how)
+    assert len(found) < 150 and all(near(i, j) for i, j in found)
+    group = lambda label: {tuple(i for i in range(150) if label[i] == x) for x in label}
+    assert group(classes(found)) == group(classes(all_links)) and len(group(classes(found))) > 3
+
+
 @pytest.mark.parametrize("how", [Similarity(), Similarity(5, 80, 100)])
 def test_linked_sets_share_a_signature(how):
     import pyarrow as pa
@@ -92,4 +113,24 @@ def test_edges(spark):
     assert rows == sorted([(None, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7), (None, 0, None)], key=str)
     assert jaccard_components(docs.where("false")).count() == 0
     kept = one_of_each(docs, Similarity(5, 80, 100))
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "7", "None", "None"]
+    # of the three rows that link one stays; rows without a set stay
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "7", "None"]
+
+
+def test_one_of_each_tells_rows_apart_by_text(spark):
+    a, b, c = ("apple pie with cream and sugar", "quite another text of seven words here", "third text that has no namesake at all")
+    rows = [(5, a, "w"), (5, b, "x"), (1, c, "y"), (2, c, "y"), (2, a, "z"), (None, b, "n"), (None, "only text of a row without id", "n"), (None, "only text of a row without id", "n"), (9, "", "e"), (9, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = one_of_each(docs, Similarity(5, 80, 100))
+    assert kept.columns == docs.columns
+    expected = [(1, c), (2, a), (5, b), (9, ""), (9, None), (None, "only text of a row without id")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+    ints = docs.withColumn("doc_id", docs.doc_id.cast("int"))
+    assert one_of_each(ints, Similarity(5, 80, 100)).count() == 6 and one_of_each(docs.where("false"), Similarity()).count() == 0
+
+
+def test_long_text(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[5:])), (3, " ".join(reversed(long)))], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs).collect())) == [(1, 149_998, 1), (2, 149_993, 1), (3, 149_998, 3)]
