@@ -3,11 +3,17 @@
 A word goes if a window of 35 words that covers it starts anywhere else too.
 ``windows`` brings to one bucket the reference blocks (contexts) that share an
 anchor: every block of every document is indexed, in the bucket of its anchor.
-There each block is factored greedily against all others.  A factor starts
-where the index has the next W words and is extended word by word while its
-source agrees; where the source ends or differs, the window at the boundary is
-looked up again, so windows across two factors are checked like any other.
-Factors are at least W words long, so each becomes a span of duplicate text.
+There each block is factored greedily against all others, all blocks in step.
+At its cursor a block looks up its next W words in the index; if another block
+has them, the words are compared and the factor is extended, word by word,
+while the source agrees.  The next look-up is at the factor's boundary, at the
+first window that the factor does not hold whole; without a source the cursor
+moves on by one word.  Factors are at least W words long, and the spans that
+go are theirs.  Every window is held by a factor or looked up, so none is lost.
+
+Blocks with equal words are one factor of each other; they are told by a
+64-bit hash and sent once.  Of windows with the same 64-bit hash but other
+words only the first is tried as source.
 
 Defined results: null text has no words; documents shorter than a window keep
 all of them; all copies of a passage go, the first as well; repeated rows are
@@ -17,6 +23,8 @@ through; those of the result replace any of the same name.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,50 +39,74 @@ WINDOW = 35
 GRAM = 8
 
 
-def _blocks_of(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return np.repeat(starts, size) + inner, inner
-
-
-def factors(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy parse of every block against the index of all blocks.
-
-    Returns, for each window, its source window (or -1), the class that the
-    index gave it, and whether it starts a factor.
-    """
-    place, inner = _blocks_of(starts, lengths - window + 1)
-    hashes = K.range_hashes(symbols, place, place + window)
-    order = np.argsort(hashes, kind="stable")
-    first = K.group_starts(hashes[order])
-    count = np.diff(np.append(first, len(order)))
-    label = np.empty(len(place), np.int64)
-    label[order] = np.repeat(np.arange(len(first)), count)
-    # the source of a window is the first of its class, of that the second
-    source = np.full(len(place), -1)
-    source[order] = np.repeat(np.where(count > 1, order[first], -1), count)
-    heads = first[count > 1]
-    source[order[heads]] = order[heads + 1]
-    has = source >= 0
-    goes_on = np.zeros(len(place), bool)
-    goes_on[1:] = has[1:] & has[:-1] & (source[1:] == source[:-1] + 1) & (inner[1:] > 0) & (inner[source[1:]] > 0)
-    head = has & ~goes_on
-    # a factor's first window is compared whole, each later one by its last word
-    at = np.flatnonzero(head)
-    same = np.ones(len(at), bool)
-    for k in range(window):
-        same &= symbols[place[at] + k] == symbols[place[source[at]] + k]
-    broken = np.zeros(len(place), bool)
-    broken[at[~same]] = True
-    on = np.flatnonzero(goes_on)
-    broken[on] = symbols[place[on] + window - 1] != symbols[place[source[on]] + window - 1]
-    source[broken] = -1
-    label[broken] = len(first) + np.arange(broken.sum())
-    return source, label, head & ~broken
-
-
-def equal_windows(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
-    """The class of each window, as the parse gave it."""
-    return np.unique(factors(symbols, starts, lengths, window)[1], return_inverse=True)[1]
+class Index(NamedTuple):
+    """Every window of the reference blocks: sorted hashes, and where each starts."""
+
+    hashes: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int, sums: np.ndarray) -> "Index":
+        size = lengths - window + 1
+        place = np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
+        hashes = K.range_hashes(symbols, place, place + window, sums)
+        order = np.argsort(hashes, kind="stable")
+        return cls(hashes[order], place[order])
+
+    def source(self, hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Another place that has the window of each place, or -1."""
+        first = np.searchsorted(self.hashes, hashes)
+        own = self.place[first] == place
+        second = np.minimum(first + 1, len(self.hashes) - 1)
+        found = np.where(own, self.place[second], self.place[first])
+        return np.where(own & ((second == first) | (self.hashes[second] != hashes)), -1, found)
+
+
+class Factors(NamedTuple):
+    """Where factors start in the symbols, how long they are, and where their sources start."""
+
+    start: np.ndarray
+    length: np.ndarray
+    source: np.ndarray
+
+
+def parse(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> Factors:
+    """Greedy factors of at least ``window`` symbols of every block against the others."""
+    sums = K.prefix_sums(symbols)
+    index = Index.of(symbols, starts, lengths, window, sums)
+    by_start = np.argsort(starts)
+    block_starts, block_ends = starts[by_start], (starts + lengths)[by_start]
+    cursor, stop, found = starts.astype(np.int64), (starts + lengths).astype(np.int64), []
+    while True:
+        open_ = cursor + window <= stop
+        cursor, stop = cursor[open_], stop[open_]
+        if not len(cursor):
+            break
+        source = index.source(K.range_hashes(symbols, cursor, cursor + window, sums), cursor)
+        at = np.flatnonzero(source >= 0)
+        head, source = cursor[at], source[at]
+        room = np.minimum(stop[at] - head, block_ends[np.searchsorted(block_starts, source, side="right") - 1] - source)
+        length, going = np.zeros(len(at), np.int64), np.arange(len(at))
+        while len(going):
+            going = going[symbols[head[going] + length[going]] == symbols[source[going] + length[going]]]
+            length[going] += 1
+            going = going[length[going] < room[going]]
+        whole = length >= window
+        found.append((head[whole], length[whole], source[whole]))
+        cursor = cursor + 1
+        cursor[at[whole]] += length[whole] - window
+    none = np.zeros(0, np.int64)
+    return Factors(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else Factors(none, none, none)
+
+
+def held_windows(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Of each window of each block, in their order, whether a factor holds it whole."""
+    factors = parse(symbols, starts, lengths, window)
+    edge = np.zeros(len(symbols) + 1, np.int32)
+    np.add.at(edge, factors.start, 1)
+    np.add.at(edge, factors.start + factors.length - window + 1, -1)
+    size = lengths - window + 1
+    return np.cumsum(edge)[np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)] > 0
 
 
 RESULT = T.StructType([
@@ -118,4 +150,4 @@ def _finish(table: pa.Table, lay: Layout, covered: np.ndarray) -> pa.Table:
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed, spans (removed, in words) and kept_text."""
     scheme = Scheme("words", window, min(GRAM, window))
-    return repeated_windows(docs, scheme, equal_windows, False, _finish, result_schema(docs, RESULT))
+    return repeated_windows(docs, scheme, held_windows, False, _finish, result_schema(docs, RESULT))

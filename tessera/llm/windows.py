@@ -238,7 +238,8 @@ def _send(table: pa.Table, wanted: pa.Table, scheme: Scheme, buckets: int) -> pa
 
 SENT = "bucket long, chunk long, index binary, length binary, content binary"
 
-#: (symbols of all contexts, starts and lengths of contexts, window) to a class for each window.
+#: (symbols of all contexts, starts and lengths of contexts, window) to a value for each window of each context:
+#: across documents a class, equal for equal windows; else whether another context has it.
 Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
@@ -265,22 +266,20 @@ def _answer(asked: pa.Table, sent: pa.Table, scheme: Scheme, across: bool, match
         mine[np.lexsort((at.index[chosen], at.row[chosen]))] = back
         start, length = start[mine], length[mine].astype(np.int64)
         windows = length - scheme.window + 1
-        label = matcher(symbols, start, length, scheme.window)
+        told = matcher(symbols, start, length, scheme.window)
         pair = np.repeat(np.flatnonzero(at.fine), windows)
         bit = np.uint64(1) << (np.arange(len(pair)) - np.repeat(np.cumsum(windows) - windows, windows)).astype(np.uint64)
-        classes = int(label.max()) + 1 if len(label) else 0
         if across:
-            least = np.full(classes, NO_ID)
-            np.minimum.at(least, label, at.least[pair])
+            least = np.full(int(told.max()) + 1 if len(told) else 0, NO_ID)
+            np.minimum.at(least, told, at.least[pair])
             # of the places of a pair, those of its smallest document may differ from the rest
-            known, own = least[label], at.least[pair]
+            known, own = least[told], at.least[pair]
             full = np.zeros(len(at.first), np.uint64)
             np.bitwise_or.at(full, pair, np.where(known < own, bit, np.uint64(0)))
             mask = np.where(at.fine[at.of], np.where(hit, every, full[at.of]), mask)
         else:
-            total = np.bincount(label, weights=at.count[pair], minlength=classes)
             full = np.zeros(len(at.first), np.uint64)
-            np.bitwise_or.at(full, pair, np.where(total[label] > 1, bit, np.uint64(0)))
+            np.bitwise_or.at(full, pair, np.where(told | (at.count[pair] > 1), bit, np.uint64(0)))
             mask = np.where(at.fine[at.of], full[at.of], mask)
     some = np.flatnonzero(mask)
     order = some[np.lexsort((at.index[some], at.row[some]))]

@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tessera.llm.substring_dedup import remove_repeated_passages
+from tessera.llm.substring_dedup import held_windows, parse, remove_repeated_passages
 from tessera.llm.suffix_dedup import remove_repeated_bytes
 
 
@@ -74,3 +75,32 @@ def test_edges(spark):
     rows = remove_repeated_passages(docs).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows) == [(0, 40, 40), (1, 40, 40), (1, 40, 40), (2, 1, 0)]
     assert hashlib.sha256(b"").hexdigest() in {hashlib.sha256(r.kept_text.encode()).hexdigest() for r in rows}
+
+
+def test_factors_are_maximal_and_hold_what_repeats():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+    pieces = [np.concatenate([rng.choice(pool, rng.integers(3, 9)), pool[a : a + rng.integers(4, 40)], rng.choice(pool, 3)]) for a in rng.integers(0, 250, 60)]
+    symbols, lengths = np.concatenate(pieces), np.array([len(x) for x in pieces])
+    starts, window = np.cumsum(lengths) - lengths, 7
+    order = rng.permutation(len(starts))  # blocks come in any order
+    starts, lengths = starts[order], lengths[order]
+    keys = [tuple(symbols[s + i : s + i + window].tolist()) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True) for i in range(n - window + 1)]
+    seen = Counter(keys)
+    assert held_windows(symbols, starts, lengths, window).tolist() == [seen[k] > 1 for k in keys]
+    found, ends = parse(symbols, starts, lengths, window), {int(s): int(s + n) for s, n in zip(starts, lengths, strict=True)}
+    assert len(found.start) and (found.length > window).any()
+    for start, length, source in zip(*map(np.ndarray.tolist, found), strict=True):
+        assert start != source and (symbols[start : start + length] == symbols[source : source + length]).all()
+        stop = {e for s, e in ends.items() if s <= start < e} | {e for s, e in ends.items() if s <= source < e}
+        assert start + length in stop or source + length in stop or symbols[start + length] != symbols[source + length]
+
+
+def test_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50_000:60_000])), (3, "x " + " ".join(words[:35]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeated_passages(docs).collect()}
+    assert got == {1: (120_000, 10_035), 2: (10_000, 10_000), 3: (36, 35)}
+    spans = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in remove_repeated_bytes(docs).collect()}
+    assert len(spans[2]) == 1 and spans[1] == [] and len(spans[3]) == 1
