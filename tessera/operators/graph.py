@@ -116,31 +116,40 @@ def prune(edges: DataFrame, corpus: DataFrame, metric: str = D.COSINE) -> DataFr
     return full.groupBy("src").applyInPandas(keep, f"src {kinds['src']}, dst {kinds['dst']}, dist double")
 
 
-def beam_search(queries: DataFrame, edges: DataFrame, corpus: DataFrame, k: int, ef: int = 64, metric: str = D.COSINE, entry: DataFrame | None = None, rounds: int = 64, width: int = 8) -> DataFrame:
+def beam_search(queries: DataFrame, edges: DataFrame, corpus: DataFrame, k: int, ef: int = 64, metric: str = D.COSINE, entry: DataFrame | None = None, width: int = 8, allowed: DataFrame | None = None) -> DataFrame:
     """Best-first walk of all queries at once.
 
     Each query keeps its ``ef`` best nodes; a round expands the ``width`` best
     not yet expanded.  It ends when no query has one left, as then none among
-    its best can lead to a closer node it has not seen.
+    its best can lead to a closer node it has not seen; every node is expanded
+    once by a query at most, so it ends.  entry: (src) for all queries, or
+    (query_id, src).  allowed: ids that may be found; the others are walked
+    through, and every query keeps its ``ef`` best of either kind.
     """
     ef = max(ef, k)
     q = queries.select("query_id", F.col("embedding").alias("__q"))
     v = corpus.select("id", F.col("embedding").alias("__v"))
-    score = lambda pairs: pairs.join(q, "query_id").join(v, "id").select("query_id", "id", D.distance(metric, F.col("__q"), F.col("__v")).alias("score"))
-    first = q.select("query_id").crossJoin(F.broadcast((entry_point(edges, 1) if entry is None else entry).select(F.col("src").alias("id"))))
-    pool = materialized(score(first).withColumn("done", F.lit(False)))
+    v = v.withColumn("ok", F.lit(True)) if allowed is None else v.join(allowed.select("id", F.lit(True).alias("ok")), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    score = lambda pairs: pairs.join(q, "query_id").join(v, "id").select("query_id", "id", D.distance(metric, F.col("__q"), F.col("__v")).alias("score"), "ok", F.lit(False).alias("done"))
+    if entry is None or "query_id" not in entry.columns:
+        starts = (entry_point(edges, 1) if entry is None else entry).select(F.col("src").alias("id")).limit(ef)  # a beam holds no more
+        first = q.select("query_id").crossJoin(F.broadcast(starts))
+    else:
+        first = entry.select("query_id", F.col("src").alias("id")).distinct()
+    pool = materialized(score(first))
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    for _ in range(rounds):
+    kept = Window.partitionBy("query_id", "ok").orderBy("score", "id")
+    while True:
         open_ = pool.where("NOT done").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= width)
         open_ = materialized(open_.select("query_id", F.col("id").alias("src")))
         if open_.isEmpty():
             break
         seen = pool.select("query_id", "id")
         near = open_.join(edges.select("src", F.col("dst").alias("id")), "src").select("query_id", "id").distinct().join(seen, ["query_id", "id"], "left_anti")
-        closed = pool.join(open_.select("query_id", F.col("src").alias("id"), F.lit(True).alias("__now")), ["query_id", "id"], "left").select("query_id", "id", "score", (F.col("done") | F.coalesce("__now", F.lit(False))).alias("done"))
-        grown = closed.unionByName(score(near).withColumn("done", F.lit(False)))
-        pool = materialized(grown.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= ef).drop("__r"))
-    return search.best(pool.select("query_id", "id", "score"), k)
+        closed = pool.join(open_.select("query_id", F.col("src").alias("id"), F.lit(True).alias("__now")), ["query_id", "id"], "left").select("query_id", "id", "score", "ok", (F.col("done") | F.coalesce("__now", F.lit(False))).alias("done"))
+        grown = closed.unionByName(score(near))
+        pool = materialized(grown.withColumn("__r", F.row_number().over(kept)).where(F.col("__r") <= ef).drop("__r"))
+    return search.best(pool.where("ok").select("query_id", "id", "score"), k)
 
 
 def levels(corpus: DataFrame, max_layers: int = 6, seed: int = 42) -> DataFrame:
@@ -183,9 +192,7 @@ def layered_search(queries: DataFrame, edges: DataFrame, layers: DataFrame, corp
             now = best
             if not moved:
                 break
-    starts = now.select("query_id", F.col("id").alias("start"))
-    pool_entry = starts.select(F.col("start").alias("src")).distinct()
-    return beam_search(queries, edges, corpus, k, ef, metric, entry=pool_entry)
+    return beam_search(queries, edges, corpus, k, ef, metric, entry=now.select("query_id", F.col("id").alias("src")))
 
 
 def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

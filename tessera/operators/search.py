@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from tessera.errors import DimensionMismatch, SearchFailed
 from tessera.functions import distance as D
 from tessera.operators.filters import EVERYTHING, Filter
+from tessera.plans.materialize import materialized
 
 #: Queries sent to all tasks at once: 4096 x 1024 doubles are 32 MB.
 QUERY_BLOCK = 4096
@@ -66,7 +68,7 @@ def pairs(queries: DataFrame, corpus: DataFrame, metric: str, exclude_self: bool
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Queries in blocks, each of which the driver holds alone."""
+    """Queries in blocks of bounded size."""
     ids, vectors = [], []
     for row in queries.select("query_id", "embedding").toLocalIterator():
         ids.append(row[0])
@@ -102,7 +104,7 @@ def _local_best(metric: str, k: int, ids: list, q: np.ndarray, exclude_self: boo
         for pdf in batches:
             for i in range(0, len(pdf), ROWS):
                 part = pdf.iloc[i : i + ROWS]
-                found = scores(metric, q, np.array(part["embedding"].tolist(), np.float64))
+                found = scores(metric, q, np.stack(part["embedding"].to_numpy()).astype(np.float64))
                 who = np.broadcast_to(part["id"].to_numpy(dtype=object), found.shape)
                 if exclude_self:
                     found = np.where(own_ids[:, None] == who, np.inf, found)
@@ -151,10 +153,17 @@ def knn(
     if kernel == "expr":
         return best(pairs(queries, rows.select("id", "embedding"), metric, exclude_self), k)
     schema = T.StructType([f for f in result_schema(queries, corpus) if f.name != "rank"])
-    local = [rows.select("id", "embedding").mapInPandas(_local_best(metric, k, ids, q, exclude_self), schema) for ids, q in _blocks(queries)]
-    if not local:
+    rows = rows.select("id", "embedding")
+    blocks = _blocks(queries)
+    one, more = next(blocks, None), next(blocks, None)
+    if one is None:
         return corpus.sparkSession.createDataFrame([], result_schema(queries, corpus))
-    return best(reduce(DataFrame.unionByName, local), k)
+    if more is None:
+        return best(rows.mapInPandas(_local_best(metric, k, *one, exclude_self), schema), k)
+    found = []  # each block's result is written before the next block is fetched
+    for block in chain((one, more), blocks):
+        found.append(materialized(best(rows.mapInPandas(_local_best(metric, k, *block, exclude_self), schema), k)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def result_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:

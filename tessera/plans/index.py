@@ -21,6 +21,10 @@ from tessera.plans.materialize import materialized
 from tessera.sources import store
 
 
+#: Inserts after which the rows of all are written as one table.
+FOLD = 20
+
+
 @dataclass(frozen=True)
 class Configuration:
     """What an index is built with."""
@@ -72,10 +76,11 @@ class ReadOnlyIndex:
     def search(self, query: list[float], k: int, where: Filter = EVERYTHING, metric: str | None = None) -> DataFrame:
         """id, score, rank of one vector's nearest."""
         queries = self.spark.createDataFrame([(0, [float(x) for x in query])], "query_id bigint, embedding array<float>")
-        start = time.perf_counter()
         out = self._search(queries, k, where, metric).drop("query_id")
         if self.metrics:
             self.metrics.searches += 1
+            start = time.perf_counter()
+            out = materialized(out)  # k rows; else only the making of the plan would be timed
             self.metrics.timed("search", start)
         return out
 
@@ -94,13 +99,13 @@ class ReadOnlyIndex:
         self._check(queries)
         return search.knn(queries, self.corpus, k, self._metric(metric), where, self.deleted)
 
-    def graph_search(self, queries: DataFrame, k: int) -> DataFrame:
-        """Approximate search along the graph, then without deleted ids."""
+    def graph_search(self, queries: DataFrame, k: int, where: Filter = EVERYTHING, metric: str | None = None) -> DataFrame:
+        """Approximate search along the graph; deleted ids and rows that fail the filter are passed through, not found."""
         if self.edges is None:
             raise SearchFailed("the index has no graph")
-        gone = 0 if self.deleted is None else self.deleted.count()
-        found = graph.beam_search(queries, self.edges, self.corpus.select("id", "embedding"), k + gone, max(self.config.ef_search, k + gone), self.config.metric)
-        return search.best(search.live(found, self.deleted).select("query_id", "id", "score"), k)
+        self._check(queries)
+        found = graph.beam_search(queries, self.edges, self.corpus.select("id", "embedding"), k, max(self.config.ef_search, k), self._metric(metric), allowed=None if self.deleted is None and where.trivial else search.live(self.corpus, self.deleted, where).select("id"))
+        return search.best(found.select("query_id", "id", "score"), k)
 
     def range_search(self, queries: DataFrame, max_distance: float, limit: int = 1000, where: Filter = EVERYTHING, metric: str | None = None) -> DataFrame:
         self._check(queries)
@@ -122,7 +127,16 @@ class ReadOnlyIndex:
 
 
 class Index(ReadOnlyIndex):
-    """An index that can be changed; each change gives the index its new tables."""
+    """An index that can be changed; each change gives the index its new tables.
+
+    With a graph, the neighbourhood of inserted ids is repaired when
+    ``repair_interval`` of them are waiting (0: only by ``repair``).
+    """
+
+    def __init__(self, corpus: DataFrame, config: Configuration, deleted: DataFrame | None = None, edges: DataFrame | None = None, metrics: Metrics | None = None):
+        super().__init__(corpus, config, deleted, edges, metrics)
+        self._inserts = 0
+        self._unrepaired: DataFrame | None = None
 
     def insert(self, rows: DataFrame) -> None:
         """Adds rows, all or none; stored and deleted ids cannot be used again before ``compact``."""
@@ -131,12 +145,20 @@ class Index(ReadOnlyIndex):
             raise IdAlreadyExists("an id occurs twice")
         if clash := rows.join(self.corpus, "id", "left_semi").select("id").head():
             raise IdAlreadyExists(f"{clash[0]!r} is stored")
-        rows = _coded(rows, self.config)
+        rows = materialized(_coded(rows, self.config))
         if self.edges is not None:
             self.edges = materialized(graph.insert(self.edges, self.corpus, rows, self.config.degree, self.config.metric))
-        self.corpus = materialized(self.corpus.unionByName(rows, allowMissingColumns=True))
+        self.corpus = self.corpus.unionByName(rows, allowMissingColumns=True)  # the new rows alone are written
+        self._inserts += 1
+        if self._inserts % FOLD == 0:
+            self.corpus = materialized(self.corpus)
         if self.metrics:
             self.metrics.inserts += rows.count()
+        if self.edges is not None and self.config.repair_interval > 0:
+            self._unrepaired = rows.select("id") if self._unrepaired is None else materialized(self._unrepaired.union(rows.select("id")))
+            if self._unrepaired.count() >= self.config.repair_interval:
+                self.repair(self._unrepaired)
+                self._unrepaired = None
 
     def delete(self, ids: DataFrame) -> None:
         """Hides ids and drops their metadata; deleting twice changes nothing."""
@@ -158,6 +180,8 @@ class Index(ReadOnlyIndex):
         """Upserts the columns of ``values`` (id and metadata); a null leaves what there is."""
         if missing := values.select("id").join(self.corpus, "id", "left_anti").head():
             raise IdNotFound(f"{missing[0]!r} is not stored")
+        if not values.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise IdAlreadyExists("an id occurs twice in the values")
         new = [c for c in values.columns if c != "id"]
         joined = self.corpus.join(values.select("id", *[F.col(c).alias(f"__{c}") for c in new]), "id", "left")
         merged = [F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in self.corpus.columns else F.col(f"__{c}").alias(c) for c in new]

@@ -31,12 +31,24 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file on any file system that Spark knows."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def names(spark: SparkSession, root: str) -> list[str]:
+    """What is in a folder, in order; nothing if there is none."""
     fs, p = _path(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    return sorted(int(n[1:]) for n in names(spark, root) if n.startswith("v") and n[1:].isdigit())
 
 
 def current(spark: SparkSession, root: str) -> dict:

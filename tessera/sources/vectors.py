@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import CorruptIndex
+from tessera.sources import store
 
 # Fixed values of the benchmark file: magic, version and metric codes; the header
 # has version, train and test counts, dimension, neighbours, metric and three reserved numbers.
@@ -60,9 +61,8 @@ def write_benchmark(path: str, train: DataFrame, test: DataFrame, truth: DataFra
     q = np.array([r[0] for r in test.orderBy("query_id").select("embedding").collect()], "<f4")
     near = [r[0] for r in truth.orderBy("query_id", "rank").select("id").collect()]
     k = len(near) // max(1, len(q))
-    with open(path, "wb") as f:
-        f.write(_HEADER.pack(MAGIC, VERSION, len(t), len(q), t.shape[1], k, METRIC_CODES.index(metric), 0, 0, 0))
-        f.write(t.tobytes() + q.tobytes() + np.array(near, "<u4").tobytes())
+    head = _HEADER.pack(MAGIC, VERSION, len(t), len(q), t.shape[1], k, METRIC_CODES.index(metric), 0, 0, 0)
+    store.write_bytes(train.sparkSession, path, head + t.tobytes() + q.tobytes() + np.array(near, "<u4").tobytes())
 
 
 def key_number(column: str = "id"):

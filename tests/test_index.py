@@ -7,7 +7,7 @@ from tessera.errors import ConstructionFailed, CorruptIndex, DimensionMismatch,
 from tessera.functions import distance as D
 from tessera.operators import search
 from tessera.operators.filters import Field
-from tessera.plans.index import Configuration, Index, ReadOnlyIndex, UnbuiltIndex
+from tessera.plans.index import Configuration, Index, Metrics, ReadOnlyIndex, UnbuiltIndex
 from tessera.sources import store, vectors
 from tessera.streaming.index import StreamingIndex, event_windows
 
@@ -121,6 +121,81 @@ def test_stream(spark, tmp_path):
     assert again.count() == 102 and {r.id for r in again.search(queries, 1).where("query_id <> 3").collect()} == set(range(10)) - {3}
 
 
+def test_stream_restarts_keep_all(spark, tmp_path):
+    rows = lambda *ids: vectors.wave(spark, 60, 8).where(F.col("id").isin(list(ids)))
+    source, root = str(tmp_path / "source"), str(tmp_path / "index")
+    index = StreamingIndex(spark, root, D.L2)
+
+    def feed(*ids, checkpoint="checkpoint"):
+        rows(*ids).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows(1).schema).parquet(source)
+        index.start(stream.where(F.col("id").isin(list(ids))), str(tmp_path / checkpoint)).awaitTermination()
+
+    held = lambda: sorted(r.id for r in StreamingIndex(spark, root, D.L2).active().collect())
+    index.insert(rows(1, 2))
+    feed(10, 11)
+    index.insert(rows(3))
+    feed(20, 21)
+    assert held() == [1, 2, 3, 10, 11, 20, 21]
+    assert index.merge() and held() == [1, 2, 3, 10, 11, 20, 21]
+    feed(30)
+    index.insert(rows(4))
+    feed(40, checkpoint="another")  # a second stream
+    assert held() == [1, 2, 3, 4, 10, 11, 20, 21, 30, 40] and index.merge()
+    stream = next(iter(index._pointer()["upto"]))
+    index._insert(rows(50), f"{stream}-0")  # a merged batch that is run again
+    assert held() == [1, 2, 3, 4, 10, 11, 20, 21, 30, 40]
+
+
+def test_stream_metadata_and_few_survivors(spark, tmp_path):
+    corpus = vectors.wave(spark, 20, 8)
+    index = StreamingIndex(spark, str(tmp_path / "index"), D.L2, delta_capacity=8, background=True, metrics=Metrics())
+    for part in range(4):
+        index.insert(corpus.where(F.col("id") % 4 == part))
+    index.set_metadata(spark.createDataFrame([(1, "a", 5), (2, "b", None)], "id long, kind string, n long"))
+    index.set_metadata(spark.createDataFrame([(2, 7)], "id long, n long"))
+    with pytest.raises(IdNotFound):
+        index.set_metadata(spark.createDataFrame([(99, 7)], "id long, n long"))
+    with pytest.raises(IdAlreadyExists):
+        index.set_metadata(spark.createDataFrame([(2, 7), (2, 8)], "id long, n long"))
+    index.flush()
+    values = {r.id: (r.kind, r.n) for r in index.active().where("kind IS NOT NULL").collect()}
+    assert values == {1: ("a", 5), 2: ("b", 7)} and index.count() == 20 and index.merges >= 1
+    queries = corpus.where("id < 3").withColumnRenamed("id", "query_id")
+    assert {r.id for r in index.search(queries, 3, Field("kind") == "b").collect()} == {2}
+    assert index.metrics.inserts == 20 and index.metrics.merges == index.merges and index.metrics.batch_searches == 1
+    few = StreamingIndex(spark, str(tmp_path / "few"), D.L2)
+    few.insert(corpus.where("id < 3"))
+    few.delete(corpus.where("id < 2").select("id"))
+    assert not few.merge() and few.count() == 1 and few.merges == 0
+    few.delete(corpus.where("id = 2").select("id"))
+    assert not few.merge() and few.count() == 0 and few.merges == 0 and few._open_deltas() == []
+    few.insert(corpus.where("id > 15"))
+    assert few.merge() and few.count() == 4
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    corpus = vectors.wave(spark, 90, 8)
+    queries = corpus.withColumnRenamed("id", "query_id")
+    rows = lambda: sorted(map(tuple, search.knn(queries, corpus, 4, D.L2).collect()))
+    whole = rows()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 20)
+    assert rows() == whole
+
+
+def test_graph_search_with_filter_and_repair(spark):
+    corpus = vectors.wave(spark, 80, 16).withColumn("kind", F.col("id") % 3)
+    index = UnbuiltIndex(spark, Configuration(degree=12, graph=True, rounds=4, repair_interval=4)).build(corpus)
+    index.insert(vectors.wave(spark, 5, 16, offset=900).withColumn("id", F.col("id") + 80).withColumn("kind", F.lit(0).cast("long")))
+    assert index._unrepaired is None  # five waited, four are enough
+    index.delete(spark.createDataFrame([(3,)], "id long"))
+    queries = corpus.where("id < 5").withColumnRenamed("id", "query_id").drop("kind")
+    found = index.graph_search(queries, 3, Field("kind", "int") == 0).collect()
+    assert len(found) == 15 and all(r.id % 3 == 0 or r.id >= 80 for r in found) and 3 not in {r.id for r in found}
+    with pytest.raises(IdAlreadyExists):
+        index.set_metadata(spark.createDataFrame([(2, 7), (2, 8)], "id long, kind long"))
+
+
 def test_event_windows_on_a_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
     source = str(tmp_path / "events")
