@@ -6,22 +6,30 @@ are hashed and joined with those of the benchmark.  Joined windows line up on
 diagonals (place in the document minus place in the item); a document contains
 an item if one diagonal covers enough of it, and if the slots are consistent:
 each value of an item stands for one value of the document throughout, and the
-other way round.  So questions with other numbers or names are found as well
-as verbatim ones, and chance agreement of single windows is not.
+other way round, or nearly all words on a diagonal agree as they are.  So questions with
+other numbers or names are found as well as verbatim ones, and chance agreement
+of single windows is not.  A window without a literal word counts by its
+values, as all such windows would be equal else.
 
 Values may have other numbers of words (Albany, New York; 45, twenty five;
 120 km, 120km).  What the words do not find is therefore sought in a second
 form, in which a run of names, or of numbers with their units, is one
 placeholder whose value is the whole run, and capitals that open a sentence
 count as names.  There the windows of neighbouring diagonals add up in order.
+Which words are names is told by capitals; what neither form finds is sought in
+a third one, in which names are words like others, whatever their case.
 
 The benchmark is a stated query set.  Its windows are counted; blocks of at
 most ``BLOCK`` windows are sent to all tasks one after another, and documents
 are read where they are, without a shuffle.
 
 Defined results: null texts match nothing; an item of fewer than five words is
-never matched, as no window of it can be told from chance; a repeated item or
-document gives its own rows.  An empty table gives no rows.
+never matched, as no window of it can be told from chance; items and documents
+with a null id count like others; a repeated item or document gives its own
+rows; of several places of an item in a document the best is told, of equally
+good ones the first.  Very long texts are searched whole, hits of at most
+``HITS`` windows at a time unless one document has more.  An empty table gives
+no rows.  Other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +45,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm.token_counts import batches_of
+from tessera.llm.windows import NO_ID
 
 #: Canonical words of a window.
 WINDOW = 5
@@ -44,6 +53,10 @@ WINDOW = 5
 ENOUGH, SHARE, LEAST = 20, 0.6, 8
 #: Benchmark windows sent to tasks at once.
 BLOCK = 2_000_000
+#: Pairs of equal windows held at once.
+HITS = 4_000_000
+#: Share of words on one diagonal that agree as they are at which slots need not be consistent.
+AS_IT_IS = 0.9
 
 # Units, and numbers that are written out.
 UNITS = (
@@ -88,8 +101,23 @@ class Canonical(NamedTuple):
     word: np.ndarray
 
 
+# Fixed values: (lead byte, first and last following byte, lead byte of the small letter, what is added to the following byte) in UTF-8,
+# of Latin-1, Greek and Cyrillic capitals.
+CAPITALS = ((0xC3, 0x80, 0x96, 0xC3, 0x20), (0xC3, 0x98, 0x9E, 0xC3, 0x20), (0xCE, 0x91, 0x9F, 0xCE, 0x20), (0xCE, 0xA0, 0xAB, 0xCF, -0x20), (0xD0, 0x90, 0x9F, 0xD0, 0x20), (0xD0, 0xA0, 0xAF, 0xD1, -0x20))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Small letters for ASCII, Latin-1, Greek and Cyrillic capitals; no byte moves."""
+    out = K.lower_ascii(data)
+    leads = np.flatnonzero((data[:-1] == 0xC3) | (data[:-1] == 0xCE) | (data[:-1] == 0xD0))
+    for lead, low, high, small, add in CAPITALS if len(leads) else ():
+        at = leads[(data[leads] == lead) & (data[leads + 1] >= low) & (data[leads + 1] <= high)]
+        out[at], out[at + 1] = small, data[at + 1] + np.uint8(add % 256)
+    return out
+
+
 def canonical(data: np.ndarray, offsets: np.ndarray) -> Canonical:
-    lower = K.lower_ascii(data)
+    lower = lowered(data)
     starts, ends, _ = K.segment(data, offsets)
     last_raw = data[ends - 1] if len(ends) else data
     # trim punctuation: the next place that has none, and the last one
@@ -134,9 +162,19 @@ def collapsed(text: Canonical) -> Canonical:
     return Canonical(own, code, kind, np.searchsorted(start, text.first), text.opens[start], text.capital[start], start)
 
 
+def caseless(text: Canonical) -> Canonical:
+    """The third form: names are words."""
+    named = text.kind == NAME
+    return text._replace(code=np.where(named, text.own, text.code), kind=np.where(named, WORD, text.kind).astype(np.int8))
+
+
 def windows(text: Canonical) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows that lie in one text, and the word where each starts."""
     hashes = K.gram_hashes(text.code, WINDOW)
+    literal = np.append(0, np.cumsum(text.kind == WORD))
+    bare = literal[WINDOW:] == literal[: len(hashes)] if len(hashes) else np.zeros(0, bool)
+    if bare.any():
+        hashes = np.where(bare, K.mix(K.gram_hashes(text.own, WINDOW) ^ np.uint64(0x3C6EF372FE94F82B)), hashes)
     doc = np.repeat(np.arange(len(text.first) - 1), np.diff(text.first))
     whole = np.flatnonzero(np.arange(WINDOW, WINDOW + len(hashes)) <= text.first[doc[: len(hashes)] + 1])
     return hashes[whole], whole
@@ -158,10 +196,10 @@ class Index(NamedTuple):
 
 
 def index_items(ids: list[int], texts: list[str]) -> list[Index]:
-    """The items as words, and in the second form."""
+    """The items in the three forms."""
     text = canonical(*K.text_buffer(pa.array(texts, pa.string())))
     size = np.diff(text.first)
-    return [_index(ids, form, size) for form in (text, collapsed(text))]
+    return [_index(ids, form, size) for form in (text, collapsed(text), caseless(text))]
 
 
 def _index(ids: list[int], text: Canonical, n_words: np.ndarray) -> Index:
@@ -205,9 +243,11 @@ def _in_order(place: np.ndarray, diagonal: np.ndarray, base: int) -> tuple[np.nd
 def matches(data: np.ndarray, offsets: np.ndarray, forms: list[Index]) -> list[tuple]:
     """(document, item, words of it that were found, words of the item, place, slots, changed slots)."""
     text = canonical(data, offsets)
-    found = _matches(text, forms[0], False)
-    have = {x[:2] for x in found}
-    return found + [x for x in _matches(collapsed(text), forms[1], True) if x[:2] not in have]
+    found: dict[tuple[int, int], tuple] = {}
+    for form, index, neighbours in ((text, forms[0], False), (collapsed(text), forms[1], True), (caseless(text), forms[2], False)):
+        for row in _matches(form, index, neighbours):
+            found.setdefault(row[:2], row)
+    return list(found.values())
 
 
 def _matches(text: Canonical, index: Index, neighbours: bool) -> list[tuple]:
@@ -215,6 +255,19 @@ def _matches(text: Canonical, index: Index, neighbours: bool) -> list[tuple]:
     maybe = index.seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)]
     hashes, where = hashes[maybe], where[maybe]
     low, high = np.searchsorted(index.hashes, hashes), np.searchsorted(index.hashes, hashes, side="right")
+    doc = np.searchsorted(text.first, where, side="right") - 1
+    upto = np.append(0, np.cumsum(high - low))
+    out, start = [], 0
+    while start < len(where):  # whole documents
+        stop = max(int(np.searchsorted(upto, upto[start] + HITS, side="right")) - 1, start + 1)
+        stop = len(where) if stop >= len(where) else max(int(np.searchsorted(doc, doc[stop])), int(np.searchsorted(doc, doc[start], side="right")))
+        out += _aligned(text, index, neighbours, where[start:stop], low[start:stop], high[start:stop])
+        start = stop
+    return out
+
+
+def _aligned(text: Canonical, index: Index, neighbours: bool, where: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
+    """Matches of windows that start at the words ``where`` and have these ranges of the index."""
     many = high - low
     hit = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     where = np.repeat(where, many)
@@ -240,7 +293,8 @@ def _matches(text: Canonical, index: Index, neighbours: bool) -> list[tuple]:
         mine, its = text.first[d] + diagonals + words, index.first[i] + words
         slots = np.flatnonzero(index.kind[its] != WORD)
         pairs = list(zip(index.kind[its][slots].tolist(), index.own[its][slots].tolist(), text.own[mine][slots].tolist(), strict=True))
-        if neighbours and len(words) - len(slots) < LITERAL or not _consistent(pairs):
+        as_it_is = np.count_nonzero(index.own[its] == text.own[mine])
+        if neighbours and len(words) - len(slots) < LITERAL or (neighbours or as_it_is < AS_IT_IS * len(words)) and not _consistent(pairs):
             return
         n_words = int((index.word[its + 1] - index.word[its]).sum())
         start_word = int(text.word[mine[0]] - text.word[text.first[d]])
@@ -279,9 +333,10 @@ def _against(docs: DataFrame, index: list[Index]) -> DataFrame:
             found = matches(*K.text_buffer(batch.column("text")), index)
             ids = batch.column("doc_id").cast(pa.int64())
             column = lambda k: pa.array([x[k] for x in found], pa.int64())
+            items = index[0].ids[[x[1] for x in found]] if found else np.zeros(0, np.int64)
             yield pa.record_batch({
                 "doc_id": ids.take(column(0)),
-                "item_id": pa.array(index[0].ids[[x[1] for x in found]] if found else [], pa.int64()),
+                "item_id": pa.array(items, pa.int64(), mask=items == NO_ID),
                 "matched_words": column(2), "item_words": column(3), "start_word": column(4), "n_slots": column(5), "changed_slots": column(6),
                 "contaminated": pa.array([True] * len(found), pa.bool_()),
             })
@@ -289,23 +344,39 @@ def _against(docs: DataFrame, index: list[Index]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(search, RESULT)
 
 
+def _without(docs: DataFrame, index: list[Index]) -> DataFrame:
+    """The rows of docs that contain none of the items."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in batches_of(whole)):
+            clean = np.ones(batch.num_rows, bool)
+            clean[[x[0] for x in matches(*K.text_buffer(batch.column("text")), index)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _indexes(benchmark: DataFrame, block: int) -> Iterator[list[Index]]:
+    """Indexes of about ``block`` windows each."""
+    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("long"), F.lit(int(NO_ID))).alias("item_id"), "text")
+    words = items.select(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    blocks = -(-words // block) or 1
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about ``block`` windows
+        yield index_items([r.item_id for r in rows], [r.text for r in rows])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row for each document and item that it contains, with the best place.
 
     doc_id, item_id, matched_words (of item_words), start_word (in canonical
     words), n_slots, changed_slots (above 0: re-parameterised), contaminated.
     """
-    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    words = items.select(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    blocks = -(-words // block) or 1
-    parts = []
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about ``block`` windows
-        parts.append(_against(docs, index_items([r.item_id for r in rows], [r.text for r in rows])))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_against(docs, index) for index in _indexes(benchmark, block)])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that contain an item; a null id is never dropped."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs without the rows that contain an item; told row by row, whatever their ids."""
+    for index in _indexes(benchmark, block):
+        docs = _without(docs, index)
+    return docs

@@ -2,7 +2,10 @@
 
 import re
 
-from tessera.llm.decontaminate import contaminated, decontaminate
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.llm.decontaminate import contaminated, decontaminate, lowered
 from tessera.llm.queries import op5_decontaminate
 
 ITEM = "A train leaves Boston at 3 pm and travels 120 km to reach Albany while Maria waits near Albany for 45 minutes before dinner."
@@ -60,6 +63,43 @@ def test_brute_force(spark):
         assert any(" ".join(words[k : k + 5]) in docs[d].lower() for k in range(len(words) - 4))
 
 
+def test_any_case(spark):
+    sf = "/root/testdata/sf0.01"
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    texts = [f"Seen before: {f(x)} So much for that." for f in (str.upper, str.lower, str.title, str.swapcase) for x in items]
+    found = {(r.doc_id, r.item_id) for r in _found(spark, texts, items)}
+    assert {(d, d % len(items)) for d in range(len(texts))} <= found
+
+
+def test_small_letters():
+    text = "AZ ÀÖØÞ×ß ΑΟΠΫ АПРЯ ÿ 日本 é"
+    assert lowered(np.frombuffer(text.encode(), np.uint8)).tobytes().decode() == text.lower()
+
+
+def test_one_slip_among_many_words(spark):
+    slip = ITEM.replace("near Albany", "near Albanny")
+    assert [r.matched_words for r in _found(spark, [slip])] != []
+
+
+def test_bare_windows_count_by_value(spark):
+    numbers = " ".join(str(i * 7919 % 10007) for i in range(600))
+    others = " ".join(str(i * 104729 % 10007) for i in range(6000))
+    rows = _found(spark, [others, f"Here: {numbers} there.", "Start " + "7 " * 5000], [numbers])
+    assert [(r.doc_id, r.matched_words) for r in rows] == [(1, 600)]
+
+
+def test_null_ids_ties_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(None, f"{long}. {ITEM} {ITEM}", "a"), (2, ITEM, "b"), (2, "clean", "c"), (None, None, "d")], "doc_id int, text string, contaminated string")
+    benchmark = spark.createDataFrame([(None, ITEM), (7, None)], "item_id long, text string")
+    rows = sorted(contaminated(docs, benchmark).collect(), key=lambda r: r.start_word)
+    assert [(r.doc_id, r.item_id, r.start_word) for r in rows] == [(2, None, 0), (None, None, 200_000)]
+    kept = decontaminate(docs, benchmark)
+    assert kept.schema == docs.schema and sorted(r.contaminated for r in kept.collect()) == ["c", "d"]
+    for block in (2_000_000, 10):
+        assert decontaminate(docs, benchmark.unionByName(benchmark.withColumn("text", F.lit("some other text of eight words in all"))), block).count() == 2
+
+
 def test_filter_keeps_the_rest(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (2, "clean", "b"), (None, "clean too", None)], "doc_id long, text string, item_id string")
     benchmark = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
