@@ -2,34 +2,42 @@
 
 A page is a sequence of words and tags.  Words score positive and tags
 negative, and one linear scan finds the contiguous run with the highest sum:
-the content region.  The weights come from labelled pages, pages whose text is
-known: a word weighs what share of the words in its kind of element belonged
-to the text, a tag costs what share of its uses stood outside.  Elements whose
-purpose is stated (navigation, forms, adverts, ...) start from a share of
-nothing, all others from a share of everything, so kinds of element that no
-labelled page has are judged by these priors; enough labelled words overturn
-either.  Blocks of the region are the result, without those of elements that
-carry no text.
+the content region.  The weights are log odds from labelled pages, pages whose
+text is known: of a word, by the share of the words in its kind of element that
+belonged to the text, so words of unlikely elements score negative too; of a
+tag, by the share of its uses that stood within the text.  Elements whose
+purpose is stated (navigation, forms, adverts, ...) start from a low share, all
+others from a high one, so kinds of element that no labelled page has are
+judged by these priors; enough labelled words overturn either.  Blocks of the
+region are the result, without those of unlikely elements inside it.
 
 Defined results: null or empty html, or a page without words, gives an empty
 text.  A tag that is never closed is text up to the end of the page, as is a
-lone ``<``.  Repeated pages give equal rows; an empty table gives none.  Other
-columns pass through; those of the result replace any of the same name.
+lone ``<``.  A quoted value with ``>`` in it belongs to its tag if the tag ends
+within ``QUOTED`` characters; else the tag ends at its first ``>``.  Very long
+or deep pages take time in proportion to their length.  Of runs with the same
+sum the first counts.  Repeated pages give equal rows; an empty table gives
+none.  Other columns pass through; those of the result replace any of the same
+name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import kernels as K
 from tessera.llm.suffix_dedup import result_schema, with_columns
 
 #: Labelled pages used to fit the weights, at most.
@@ -38,6 +46,17 @@ LABELLED = 400
 PRIOR = 20.0
 #: What any tag costs at least, in words.
 TAG_COST = 0.05
+#: Log odds are in units of those of this share, and never above one unit.
+CERTAIN = 0.98
+#: What words of unlikely elements, and tags within elements of stated purpose, weigh next to others: such elements
+#: stand inside texts as well, and must not cut them.
+UNLIKELY = 0.02
+#: Shares of the priors.
+STATED, UNSTATED = 0.02, 1.0
+#: Longest tag with ``>`` in a quoted value.
+QUOTED = 4096
+#: Characters of html in a batch.
+BATCH = 1 << 22
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,8 +77,9 @@ _RESTARTS = frozenset("article main body".split())
 #: What an opening tag ends, if it is the innermost block.
 _ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_CLOSES = re.compile(r"[>\"']")
+_ENDS_RAW = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in sorted(_RAW)}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 
@@ -110,72 +130,105 @@ def _kind(name: str, attributes: str) -> tuple[str, str]:
     return kind, purpose
 
 
+def tag_end(html: str, at: int, last: int) -> int:
+    """Where the tag whose name ends at ``at`` has its ``>``; last: the last ``>`` of the page, after ``at``."""
+    first, stop = html.find(">", at), min(last + 1, at + QUOTED)
+    i = at
+    while m := _CLOSES.search(html, i, max(stop, first + 1)):
+        if m[0] == ">":
+            return m.start()
+        closing = html.find(m[0], m.end(), max(stop, first + 1))
+        if closing < 0:
+            break
+        i = closing + 1
+    return first
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, '/' or '', lower name or '', attributes) of each tag, comment or raw element; at last the text that is left."""
+    at, said, last = 0, 0, html.rfind(">")
+    while m := _TAG.search(html, at):
+        if m[1]:
+            end = html.find("-->", m.end())
+            end = len(html) if end < 0 else end + 3
+            yield html[said : m.start()], "", "", ""
+        elif m.end() > last:  # never closed: text
+            break
+        elif not m[3]:
+            end = html.find(">", m.end()) + 1
+            yield html[said : m.start()], "", "", ""
+        else:
+            end = tag_end(html, m.end(), last) + 1
+            name = m[3].lower()
+            yield html[said : m.start()], m[2], name, html[m.end() : end - 1]
+            if name in _RAW and not m[2]:
+                closing = _ENDS_RAW[name].search(html, end)
+                end = closing.end() if closing else len(html)
+        at = said = end
+    yield html[said:], "", "", ""
+
+
 def pieces(html: str) -> list[Piece]:
     """Tags and texts of a page in their order."""
     out: list[Piece] = []
     stack: list[tuple[str, str, str]] = []  # open blocks: name, kind, purposes that set them apart
-    block, at, n = 0, 0, len(html)
+    open_at: dict[str, list[int]] = {}  # places in the stack, by name
+    block = 0
+
+    def cut(size: int) -> None:
+        while len(stack) > size:
+            open_at[stack.pop()[0]].pop()
 
     def say(text: str) -> None:
         if text and not text.isspace():
             text = unescape(text)
             kind, apart = (stack[-1][1], stack[-1][2]) if stack else ("", "")
             out.append(Piece(kind, apart, len(text.split()), block, text))
-        elif text and out and out[-1].words and out[-1].block == block:
+        elif text and out and out[-1].words >= 0 and out[-1].block == block:
             out.append(out[-1]._replace(words=0, text=" "))
 
-    while at < n:
-        m = _TOKEN.search(html, at)
-        loose = _LOOSE.search(html, at, m.start() if m else n) if "'" in html or '"' in html else None
-        m = loose or m
-        if m is None:
-            say(html[at:])
-            break
-        say(html[at : m.start()])
-        at = m.end()
-        if m.lastindex is None:
-            continue
-        closing, name = m[1], m[2].lower()
-        if name in _RAW:
-            if not closing:
-                end = re.compile(rf"</{name}\s*[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+    for text, closing, name, attributes in tokens(html):
+        say(text)
+        if not name or name in _RAW:
             continue
         if name == "br":
-            say(" ")
-            if out and out[-1].words:
+            if out and out[-1].words >= 0:
                 out.append(out[-1]._replace(words=0, text=" "))
             continue
         if name in _INLINE:
             continue
         block += 1
         if closing:
-            names = [x[0] for x in stack]
             kind, apart = name, stack[-1][2] if stack else ""
-            if name in names:
-                top = len(names) - 1 - names[::-1].index(name)
+            if open_at.get(name):
+                top = open_at[name][-1]
                 kind, apart = stack[top][1], stack[top][2]
-                del stack[top:]
+                cut(top)
             out.append(Piece(f"</{kind}", apart, -1, block, ""))
             continue
-        kind, apart = _kind(name, m[3])
-        if name == "header" and apart == name and any(x[0] == "article" for x in stack):
+        kind, apart = _kind(name, attributes)
+        if name == "header" and apart == name and open_at.get("article"):
             apart = ""  # it opens the article, not the page
         if name in _RESTARTS:
             if name != "article" or not stack or _DISCUSSION.isdisjoint(stack[-1][2].split()) and "aside" not in stack[-1][2].split():
-                stack.clear()
-        elif stack and stack[-1][0] == "p":
-            stack.pop()
-        elif stack and stack[-1][0] in _ENDS.get(name, ()):
-            stack.pop()
+                cut(0)
+        elif stack and (stack[-1][0] == "p" or stack[-1][0] in _ENDS.get(name, ())):
+            cut(len(stack) - 1)
         around = stack[-1][2] if stack else ""
         apart = around if apart in around.split() else f"{around} {apart}".strip()
         out.append(Piece(f"<{kind}", apart, -1, block, ""))
-        if name not in _VOID and not m[3].endswith("/"):
+        if name not in _VOID and not attributes.endswith("/"):
+            open_at.setdefault(name, []).append(len(stack))
             stack.append((name, kind, apart))
     return out
 
 
+def odds(share: float) -> float:
+    """Log odds in units of those of ``CERTAIN``, between -1 and 1."""
+    share = min(max(share, 1.0 - CERTAIN), CERTAIN)
+    return math.log(share / (1.0 - share)) / math.log(CERTAIN / (1.0 - CERTAIN))
+
+
 class Weights(NamedTuple):
     """Share of an element's words that are text; share of a tag's uses within text."""
 
@@ -184,13 +237,17 @@ class Weights(NamedTuple):
 
     def of(self, piece: Piece) -> float:
         if piece.words < 0:
-            inside = self.tags.get(piece.key, 0.0 if piece.apart else 1.0)
-            return -TAG_COST - (1.0 - inside)
-        return piece.words * self.share(piece)
+            inside = self.tags.get(piece.key, STATED if piece.apart else UNSTATED)
+            cost = TAG_COST - min(0.0, odds(inside))
+            return -(UNLIKELY * cost if piece.apart else cost)
+        own = odds(self.share(piece))
+        return piece.words * (own if own > 0 else UNLIKELY * own)
 
     def share(self, piece: Piece) -> float:
-        share = self.words.get(piece.key, 0.0 if piece.apart else 1.0)
-        return share if share >= 0.5 else 0.0
+        return self.words.get(piece.key, STATED if piece.apart else UNSTATED)
+
+    def likely(self, piece: Piece) -> bool:
+        return self.share(piece) >= 0.5
 
 
 def region(found: list[Piece], weights: Weights) -> tuple[int, int]:
@@ -206,16 +263,15 @@ def region(found: list[Piece], weights: Weights) -> tuple[int, int]:
 
 
 def blocks(found: Iterable[Piece]) -> list[str]:
-    out: list[str] = []
+    out: list[list[str]] = []
     last = None
     for piece in found:
         if piece.words >= 0:
-            if piece.block == last:
-                out[-1] += piece.text
-            else:
-                out.append(piece.text)
+            if piece.block != last:
+                out.append([])
                 last = piece.block
-    return [x for x in (" ".join(b.split()) for b in out) if x]
+            out[-1].append(piece.text)
+    return [x for x in (" ".join("".join(b).split()) for b in out) if x]
 
 
 def main_text(html: str | None, weights: Weights) -> str:
@@ -223,7 +279,7 @@ def main_text(html: str | None, weights: Weights) -> str:
         return ""
     found = pieces(html)
     start, stop = region(found, weights)
-    return "\n".join(blocks(x for x in found[start:stop] if x.words < 0 or weights.share(x) > 0))
+    return "\n".join(blocks(x for x in found[start:stop] if x.words < 0 or weights.likely(x)))
 
 
 def fit(labelled: Iterable[tuple[str, str]]) -> Weights:
@@ -252,7 +308,7 @@ def fit(labelled: Iterable[tuple[str, str]]) -> Weights:
         for i in hits:
             good[found[i].key] += found[i].words
         known.append(([(x.key, bool(x.apart), x.words < 0) for x in found], hits))
-    prior = lambda key: 0.0 if key in apart else PRIOR
+    prior = lambda key: PRIOR * (STATED if key in apart else UNSTATED)
     share = {k: (good[k] + prior(k)) / (n + PRIOR) for k, n in words.items()}
     for found, hits in known:
         hits = [i for i in hits if not found[i][1] or share[found[i][0]] >= 0.5]
@@ -269,14 +325,17 @@ def labelled_pages(pages: DataFrame, documents: DataFrame, limit: int = LABELLED
     ids = (
         pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
         .where("page_id IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("page_id")
+        .agg(F.min("doc_id").alias("doc_id"))
         .orderBy(F.xxhash64("page_id"), "page_id")
         .limit(limit)
         .collect()
     )
     if not ids:
         return []
-    html = dict(pages.where(F.col("page_id").isin([r.page_id for r in ids])).select("page_id", "html").collect())
-    text = dict(documents.where(F.col("doc_id").isin([r.doc_id for r in ids])).select("doc_id", "text").collect())
+    # of rows that repeat an id the least html or text counts; they are combined before they travel
+    html = dict(pages.where(F.col("page_id").isin([r.page_id for r in ids])).groupBy("page_id").agg(F.min("html")).collect())
+    text = dict(documents.where(F.col("doc_id").isin([r.doc_id for r in ids])).groupBy("doc_id").agg(F.min("text")).collect())
     return [(html[r.page_id] or "", text[r.doc_id]) for r in ids if text.get(r.doc_id) and r.page_id in html]
 
 
@@ -288,8 +347,9 @@ def extract_text(pages: DataFrame, weights: Weights) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, max(1, whole.num_rows), 1000):
-                batch = whole.slice(i, 1000)
+            size = np.append(0, np.cumsum(pc.fill_null(pc.utf8_length(whole.column("html")), 0).to_numpy(zero_copy_only=False)))
+            for i, j in K.slices(size, BATCH) or [(0, 0)]:
+                batch = whole.slice(i, j - i)
                 texts = [main_text(x, weights) for x in batch.column("html").to_pylist()]
                 columns = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
                 yield from with_columns(pa.Table.from_batches([batch]).drop_columns(["html"]), columns).to_batches()

@@ -89,7 +89,7 @@ def test_bare_windows_count_by_value(spark):
 
 
 def test_null_ids_ties_and_long_texts(spark):
-    long = " ".join(f"w{i}" for i in range(200_000))
+    long = " ".join("v" + "ab"[i % 2] * (i % 9) + "cd"[i % 5 % 2] for i in range(200_000))
     docs = spark.createDataFrame([(None, f"{long}. {ITEM} {ITEM}", "a"), (2, ITEM, "b"), (2, "clean", "c"), (None, None, "d")], "doc_id int, text string, contaminated string")
     benchmark = spark.createDataFrame([(None, ITEM), (7, None)], "item_id long, text string")
     rows = sorted(contaminated(docs, benchmark).collect(), key=lambda r: r.start_word)

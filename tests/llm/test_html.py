@@ -1,10 +1,11 @@
 """Main text of pages."""
 
 import re
+import time
 
 import pytest
 
-from tessera.llm.html_text import Weights, extract_text, fit, labelled_pages, main_text, pieces, region
+from tessera.llm.html_text import Weights, blocks, extract_text, fit, labelled_pages, main_text, pieces, region
 from tessera.llm.queries import op10_html_text
 
 PLAIN = Weights({}, {})
@@ -54,6 +55,53 @@ def test_region_is_the_best_run():
     assert sum(score[start:stop]) == pytest.approx(best)
 
 
+def test_the_run_decides():
+    """What no purpose is stated for is dropped if the way to it costs more than its words."""
+    page = "<nav><a>home</a></nav><p>Powered by a shop</p><ul class=x><li>a</li></ul><article><h1>Title</h1><p>one two three four five six</p></article><footer><p>foot</p></footer><div>Rights reserved</div>"
+    known = [(page.replace("Title", f"Title {i}"), f"Title {i}\none two three four five six") for i in range(300)]
+    weights = fit([*known, ("<p>Powered words of another page here</p>", "Powered words of another page here")])
+    found = pieces(page)
+    start, stop = region(found, weights)
+    assert main_text(page, weights) == "Title\none two three four five six"
+    assert "\n".join(blocks(found[start:stop])) == main_text(page, weights)  # no other rule had a part in it
+    everything = [x for x in found if x.words < 0 or weights.likely(x)]
+    assert "Powered by a shop" in blocks(everything) and "Powered by a shop" not in main_text(page, weights)
+    assert min(weights.of(x) for x in found if x.words > 0) < 0 and max(weights.of(x) for x in found if x.words < 0) < 0
+
+
+def test_asides_do_not_cut_a_text():
+    page = "<article><h1>Short title</h1><aside><ul><li>a b c d e f g h i j</li></ul><p>more of it</p></aside><p>one two three four five six seven eight nine ten</p></article>"
+    weights = fit([("<article><h1>Some title</h1><p>one two</p></article>", "Some title\none two")] * 20)
+    assert main_text(page, weights) == "Short title\none two three four five six seven eight nine ten"
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p>" + "word <b>x</b> " * n + "</p>", lambda n: '<a href="x>y ' * n, lambda n: "<! " * n, lambda n: "<div class='a b" * n, lambda n: "<a " * n + ">",
+    lambda n: "<script>" * n, lambda n: "<p title='>" * n, lambda n: "<ul><li>" * n, lambda n: "</p>" * n, lambda n: "<nav><aside>" * n + "x",
+])
+def test_time_in_proportion(page):
+    def seconds(n):
+        start = time.process_time()
+        main_text(page(n), PLAIN)
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 4 * max(0.2, seconds(20_000))
+
+
+def test_quoted_ends():
+    assert main_text('<p title="a > b">one</p>', PLAIN) == "one"
+    assert main_text('<p title="a>one</p><p>two</p>', PLAIN) == "one\ntwo"
+    assert main_text("<p>one <b>two</p", PLAIN) == "one two</p"
+    assert main_text("<p>one<!-- open <p>two</p>", PLAIN) == "one" and main_text("one <!x two", PLAIN) == "one <!x two"
+
+
+def test_repeated_labels(spark):
+    pages = spark.createDataFrame([(1, "http://a/7", "<p>b</p>"), (1, "http://a/7", "<p>a</p>"), (2, "http://a/8", None)], "page_id int, url string, html string")
+    documents = spark.createDataFrame([(7, "y"), (7, "x"), (8, "z"), (None, "n")], "doc_id long, text string")
+    assert sorted(labelled_pages(pages, documents)) == [("", "z"), ("<p>a</p>", "x")]
+
+
 def test_held_out_pages(spark):
     sf = "/root/testdata/sf0.01"
     pages, documents = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
