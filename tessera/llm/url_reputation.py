@@ -4,9 +4,17 @@ Labelled pages say how often a host serves bad content.  Few hosts have many
 labels, so each level of the name borrows strength from the one above it: the
 suffix is shrunk to the whole table, the registered domain to its suffix and
 the host to its domain.  The strength of each beta prior is estimated from the
-data (analysis of variance of the beta-binomial).  A host is blocked if the
-lower bound of its posterior bad rate is above a threshold.  Fixed rules take
-precedence, the longest first.
+data (analysis of variance of the beta-binomial); where too few have labels to
+tell, it is weak, and where children do not differ it counts no more than the
+labelled pages seen.  Pages of one child are alike, so for its parent they count
+as fewer: n as n (1 + s) / (n + s), s the strength, however many they are.  A
+host is blocked if the lower bound of its posterior bad rate (normal
+approximation) is above a threshold.  Fixed rules take precedence, the longest
+first.
+
+A suffix is the last label, or two of them where a country has second-level
+ones (``SECOND``); a registered domain has one label more.  An address in
+numbers is its own domain.
 
 Everything is SQL.  The tables joined hold a row per host or fewer; rows of a
 frequent host meet in map-side sums only, and the join that brings the verdict
@@ -33,6 +41,9 @@ DEVIATIONS = 1.645
 #: Bounds of an estimated prior strength, in pages.
 STRENGTHS = (1.0, 1000.0)
 
+# Labels below which countries register names, as in co.uk.
+SECOND = "ac co com edu gob gouv gov go id ltd me mil ne net nhs nom or org plc police sch school web".split()
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,10 +65,11 @@ def _strength(child: str, parent: str, on: str) -> str:
     """
     low, high = STRENGTHS
     return f"""
-      SELECT CASE WHEN between_ms IS NULL OR within_ms IS NULL OR between_ms <= within_ms THEN {high}D0
+      SELECT CASE WHEN between_ms IS NULL OR within_ms IS NULL THEN {low}D0
+                  WHEN between_ms <= within_ms THEN greatest({low}D0, least({high}D0, n))
                   ELSE greatest({low}D0, least({high}D0,
                        (between_ms + (n0 - 1) * within_ms) / (between_ms - within_ms) - 1)) END AS strength
-      FROM (SELECT CASE WHEN k > g THEN (s2 - p2) / (k - g) END AS between_ms,
+      FROM (SELECT n, CASE WHEN k > g THEN (s2 - p2) / (k - g) END AS between_ms,
                    CASE WHEN n > k THEN (b - s2) / (n - k) END AS within_ms,
                    CASE WHEN k > g THEN (n - q2) / (k - g) END AS n0
             FROM (SELECT sum(c.n * 1D0) AS n, sum(c.b * 1D0) AS b, count(*) * 1D0 AS k,
@@ -67,6 +79,12 @@ def _strength(child: str, parent: str, on: str) -> str:
     """
 
 
+def _told(child: str, strength: str, by: str) -> str:
+    """What the children of each parent tell of it: pages, and bad ones, that count."""
+    of = lambda x: f"coalesce(sum({x} * (1D0 + s.strength) / (c.n + s.strength)), 0D0) AS {x[-1]}"
+    return f"SELECT {by}{of('c.n')}, {of('c.b')} FROM {child} c CROSS JOIN {strength} s" + (f" GROUP BY {by[:-2]}" if by else "")
+
+
 def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE, deviations: float = DEVIATIONS, dialect: str = "spark") -> str:
     """The whole filter as one statement, for Spark or for DuckDB."""
     if dialect == "spark":
@@ -87,23 +105,33 @@ def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE
       SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
       FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
     numbered AS (SELECT host, cast({number} AS {long}) AS doc_id FROM judged),
+    labelled AS (
+      SELECT p.host, count(*) AS n, sum(o.bad) AS b FROM numbered p JOIN outcome o ON p.doc_id = o.doc_id GROUP BY p.host),
+    named AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM (SELECT DISTINCT host FROM judged) d),
+    shaped AS (
+      SELECT host, name, CASE WHEN regexp_extract(name, '^[0-9.]+$', 0) <> '' THEN 'number'
+                              WHEN regexp_extract(name, '(^|[.])({"|".join(SECOND)})[.][a-z][a-z]$', 0) <> '' THEN 'two' ELSE 'one' END AS shape
+      FROM named),
     hosts AS (
-      SELECT host, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*([.][^.]*)?$', 0) AS domain,
-             regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '[^.]*$', 0) AS suffix,
-             count(o.bad) AS n, coalesce(sum(o.bad), 0) AS b
-      FROM numbered p LEFT JOIN outcome o ON p.doc_id = o.doc_id GROUP BY host),
+      SELECT s.host, CASE shape WHEN 'number' THEN name WHEN 'two' THEN regexp_extract(name, '([^.]*[.])?[^.]*[.][^.]*$', 0) ELSE regexp_extract(name, '([^.]*[.])?[^.]*$', 0) END AS domain,
+             CASE shape WHEN 'number' THEN '' WHEN 'two' THEN regexp_extract(name, '[^.]*[.][^.]*$', 0) ELSE regexp_extract(name, '[^.]*$', 0) END AS suffix,
+             coalesce(l.n, 0) AS n, coalesce(l.b, 0) AS b
+      FROM shaped s LEFT JOIN labelled l ON s.host = l.host),
     domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY domain, suffix),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY suffix),
     everything AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(b), 0) AS b FROM suffixes),
     ks AS ({_strength("suffixes", "everything", "1 = 1")}),
     kd AS ({_strength("domains", "suffixes", "c.suffix = p.suffix")}),
     kh AS ({_strength("hosts", "domains", "c.domain = p.domain AND c.suffix = p.suffix")}),
+    domain_told AS ({_told("hosts", "kh", "domain, suffix, ")}),
+    suffix_told AS ({_told("domain_told", "kd", "suffix, ")}),
+    all_told AS ({_told("suffix_told", "ks", "")}),
     suffix_rate AS (
       SELECT s.suffix, (s.b + ks.strength * (e.b + 1D0) / (e.n + 2)) / (s.n + ks.strength) AS rate
-      FROM suffixes s CROSS JOIN everything e CROSS JOIN ks),
+      FROM suffix_told s CROSS JOIN all_told e CROSS JOIN ks),
     domain_rate AS (
       SELECT d.domain, d.suffix, (d.b + kd.strength * s.rate) / (d.n + kd.strength) AS rate
-      FROM domains d JOIN suffix_rate s ON d.suffix = s.suffix CROSS JOIN kd),
+      FROM domain_told d JOIN suffix_rate s ON d.suffix = s.suffix CROSS JOIN kd),
     host_rate AS (
       SELECT h.host, h.n, h.b, kh.strength + h.n AS size, (h.b + kh.strength * d.rate) / (h.n + kh.strength) AS rate
       FROM hosts h JOIN domain_rate d ON h.domain = d.domain AND h.suffix = d.suffix CROSS JOIN kh),

@@ -1,5 +1,6 @@
 """Host reputation: rules and hosts by brute force, the whole by SQL."""
 
+import random
 import re
 
 import duckdb
@@ -45,6 +46,88 @@ def test_a_bad_host_is_blocked(spark):
         assert r.verdict == ("block" if r.host.startswith("spam") else "allow")
 
 
+def _verdicts(urls, bad):
+    """Lower bounds by host in plain Python: counts, strengths level by level, rates from the top down."""
+    counts = {}
+    for u in urls:
+        m = re.match(r".*?://([^/?#]*)[^?#]*?/(\d{1,18})", u)
+        host = u.split("://")[1].split("/")[0].lower()
+        c = counts.setdefault(host, [0, 0])
+        if m and int(m[2]) in bad:
+            c[0] += 1
+            c[1] += bad[int(m[2])]
+
+    def parts(host):
+        name = re.sub(r":\d*$", "", host)
+        labels = name.split(".")
+        if re.fullmatch(r"[\d.]+", name):
+            return name, ""
+        two = len(labels) > 1 and labels[-2] in url_reputation.SECOND and re.fullmatch("[a-z]{2}", labels[-1])
+        n = 2 if two else 1
+        return ".".join(labels[-n - 1 :]), ".".join(labels[-n:])
+
+    levels = [{h: tuple(c) for h, c in counts.items()}, {}, {}, {}]
+    up = [{h: parts(h) for h in counts}, {}, {}]
+    for h, (n, b) in levels[0].items():
+        d = parts(h)
+        up[1][d], up[2][d[1]] = d[1], "all"
+        for level, key in ((1, d), (2, d[1]), (3, "all")):
+            old = levels[level].get(key, (0, 0))
+            levels[level][key] = (old[0] + n, old[1] + b)
+
+    def strength(child, parent, above):
+        rows = [(n, b, parent[above[k]]) for k, (n, b) in child.items() if n]
+        groups = [(n, b) for n, b in parent.values() if n]
+        n, b, k, g = sum(r[0] for r in rows), sum(r[1] for r in rows), len(rows), len(groups)
+        s2, q2, p2 = sum(r[1] ** 2 / r[0] for r in rows), sum(r[0] ** 2 / r[2][0] for r in rows), sum(x[1] ** 2 / x[0] for x in groups)
+        low, high = url_reputation.STRENGTHS
+        if k <= g or n <= k:
+            return low
+        between, within, n0 = (s2 - p2) / (k - g), (b - s2) / (n - k), (n - q2) / (k - g)
+        return max(low, min(high, n)) if between <= within else max(low, min(high, (between + (n0 - 1) * within) / (between - within) - 1))
+
+    strengths = [strength(levels[i], levels[i + 1], up[i]) for i in range(3)]
+    told = [levels[0], {}, {}, {}]
+    for level in range(3):
+        m = strengths[level]
+        for k, (n, b) in told[level].items():
+            old = told[level + 1].get(up[level][k], (0, 0))
+            told[level + 1][up[level][k]] = (old[0] + n * (1 + m) / (n + m), old[1] + b * (1 + m) / (n + m))
+    rate = {"all": (told[3]["all"][1] + 1) / (told[3]["all"][0] + 2)}
+    for level in (2, 1, 0):
+        m = strengths[level]
+        rate = {k: (b + m * rate[up[level][k]]) / (n + m) for k, (n, b) in told[level].items()}
+    return {h: max(0.0, r - url_reputation.DEVIATIONS * (r * (1 - r) / (m + levels[0][h][0] + 1)) ** 0.5) for h, r in rate.items()}
+
+
+def test_bounds_by_brute_force(spark):
+    rng = random.Random(8)
+    hosts = [f"{a}.{b}" for b in ("good.co.uk", "bad.co.uk", "x.com", "y.com", "co.uk", "disco.uk", "z.org.au", "10.0.0.1:80", "10.0.0.2") for a in ("a", "b", "c")] + ["10.0.0.1:80", "10.0.0.2", "localhost", "co.uk"]
+    share = {h: rng.random() * (2 if "bad" in h else 0.5) for h in hosts}
+    urls, bad = [], {}
+    for i in range(900):
+        h = rng.choice(hosts)
+        urls.append(f"http://{h.upper() if i % 3 else h}/p/{i}")
+        if i % 2:
+            bad[i] = int(rng.random() < share[h])
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, b) for i, b in bad.items()], "doc_id int, quality int, toxic int")
+    want = _verdicts(urls, bad)
+    rows = url_reputation.url_verdicts(spark, pages, labels).collect()
+    assert len(rows) == 900 and any(r.verdict == "block" for r in rows)
+    for r in rows:
+        assert abs(r.lower_bad - want[r.host]) < 2e-6, r.host
+        if r.rule is None:
+            assert r.verdict == ("block" if r.lower_bad > url_reputation.BAD_RATE else "allow")
+
+
+def test_neighbours_under_a_suffix_do_not_answer_for_each_other(spark):
+    pages = spark.createDataFrame([(i, f"http://bad.co.uk/{i}") for i in range(50)] + [(99, "http://good.co.uk/x")] + [(200 + i, f"http://x.com/{200 + i}") for i in range(50)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(50)] + [(200 + i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    verdict = {r.host: r.verdict for r in url_reputation.url_verdicts(spark, pages, labels).collect()}
+    assert verdict["bad.co.uk"] == "block" and verdict["good.co.uk"] == "allow"
+
+
 def test_sql_and_plan(spark):
     frame = op6_url_reputation(spark, SF)
     plan = frame._jdf.queryExecution().executedPlan().toString()
