@@ -18,14 +18,15 @@ is lost, and sets without a common element hardly ever share a signature.
 3. Sets of candidates are rebuilt from the text of one document per class.
    Sketches (elements by hash bucket, 260 bytes) drop pairs of small groups
    that differ too much; the others are verified on their sets, in cells.
-4. Larger groups that share members make a *family*.  A family is dealt into
-   blocks of bounded size and any two blocks meet in a cell.  A cell holds its
-   sets as differences from what most of them have, which are short among near
-   copies, finds all links by them and returns a forest: fewer links than
-   members, however many pairs link.  The distance of two sets is that of
-   their differences, so the result is exact.  A cell compares inside its
-   task; the work of a family grows with the square of its blocks, its rows
-   with members times blocks.
+4. Larger groups are named by their least member, so that those of one source
+   of near copies mostly get few names; groups of one name meet in one *crowd*,
+   each member once.  A crowd is dealt into blocks of bounded size and any two
+   blocks meet in a cell.  A cell holds its sets as differences from what most
+   of them have, which are short among near copies, finds all links by them and
+   returns a forest: fewer links than members, however many pairs link.  The
+   distance of two sets is that of their differences, so the result is exact.
+   A cell compares inside its task: the work of a crowd grows with the square
+   of its blocks, its rows with members times blocks.
 5. Links give components.
 
 Defined results: null or empty text, or one without words, has an empty set,
@@ -61,7 +62,7 @@ _LOW = (np.uint64(1) << _ELEMENT) - np.uint64(1)
 SMALL = 8
 #: Buckets of a sketch.
 SKETCH = 256
-#: Elements of a block of a family.
+#: Elements of a block of a crowd.
 BLOCK = 1 << 19
 
 
@@ -297,11 +298,12 @@ def _rebuild(how: Similarity):
     return rebuild
 
 
-def _sets_of(texts: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
+def _sets_of(texts: DataFrame, nodes: DataFrame, profiles: DataFrame, how: Similarity) -> DataFrame:
     """node, sketch, packed of nodes (node, least), from the texts of one document each; others may be among them."""
     ids = nodes.select(F.col("least").alias("doc_id")).distinct()
     rebuilt = texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how), "node long, sketch binary, packed binary")
-    return rebuilt.dropDuplicates(["node"])
+    repeated = profiles.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
+    return rebuilt if repeated.isEmpty() else rebuilt.dropDuplicates(["node"])
 
 
 def _verifier(how: Similarity):
@@ -380,7 +382,7 @@ def forest(sets: list[np.ndarray], block: np.ndarray, how: Similarity) -> list[t
 
 
 def _cell(how: Similarity):
-    """Links of one cell of a family."""
+    """Links of one cell of a crowd."""
 
     def find(table: pa.Table) -> pa.Table:
         node, block = table["node"].to_numpy(), table["block"].to_numpy()
@@ -393,14 +395,14 @@ def _cell(how: Similarity):
     return find
 
 
-def _family_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """Links (a, b) within the larger groups, which are given as (first member, member)."""
-    family = checkpointed(connected_components(groups).withColumnRenamed("component", "family").join(classes.select("node", "n_shingles"), "node"))
-    blocks = family.groupBy("family").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
-    placed = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+def _crowd_links(groups: DataFrame, classes: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """Links (a, b) within the larger groups, which are given as (crowd, node)."""
+    members = checkpointed(groups.distinct().join(classes.select("node", "n_shingles"), "node"))
+    blocks = members.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
+    placed = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     cells = F.expr("transform(sequence(0L, blocks - 1), o -> named_struct('low', least(block, o), 'high', greatest(block, o)))")
-    placed = placed.select("family", "node", "block", F.explode(cells).alias("cell")).select("family", "node", "block", "cell.low", "cell.high")
-    return placed.join(sets.select("node", "packed"), "node").groupBy("family", "low", "high").applyInArrow(_cell(how), "a long, b long")
+    placed = placed.select("crowd", "node", "block", F.explode(cells).alias("cell")).select("crowd", "node", "block", "cell.low", "cell.high")
+    return placed.join(sets.select("node", "packed"), "node").groupBy("crowd", "low", "high").applyInArrow(_cell(how), "a long, b long")
 
 
 def _sifter(how: Similarity):
@@ -454,15 +456,15 @@ def _link(docs: DataFrame, how: Similarity) -> Classes:
     profiles = found.where(F.col("kind") == PROFILE).select(F.col("x").alias("doc_id"), F.col("y").alias("n_shingles"), F.col("z").alias("node"))
     classes = profiles.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"))
     pairs = found.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.min("z").alias("home"))
-    groups = found.where(F.col("kind") == GROUP).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = found.where(F.col("kind") == GROUP).select(F.col("x").alias("crowd"), F.col("y").alias("node"))
     components = spark.createDataFrame([], "node long, component long")
     if not pairs.isEmpty() or not groups.isEmpty():
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("b")).distinct()
-        sets = checkpointed(_sets_of(texts, ends.join(classes, "node"), how))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(groups.select("node")).distinct()
+        sets = checkpointed(_sets_of(texts, ends.join(classes, "node"), profiles, how))
         sifted = checkpointed(_in_cells(pairs, sets.select("node", F.col("sketch").alias("packed")), 4 * buckets, _sifter(how), "a long, b long, home long"))
         links = _in_cells(sifted, sets.select("node", "packed"), 4 * buckets, _verifier(how), "a long, b long")
         if not groups.isEmpty():
-            links = links.union(_family_links(groups, classes, sets, how))
+            links = links.union(_crowd_links(groups, classes, sets, how))
         components = checkpointed(connected_components(links))
     return Classes(profiles, components, classes)
 
@@ -501,19 +503,22 @@ def one_of_each(docs: DataFrame, how: Similarity) -> DataFrame:
 
     Rows are told apart by id and set, so rows of one id whose texts do not
     link are judged one by one; of rows equal in both, any one stays.  Rows
-    without words have no set and stay, all of them.
+    without words have no set and stay, all of them.  Only ids that repeat need
+    their rows' sets once more; all other rows go by id.
     """
     profiles, components, classes = _link(docs, how)
     nodes = classes.select("node", "least").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = nodes.groupBy("component").agg(F.min(F.struct("least", "node")).alias("best")).select("best.*")
-    rows = profiles.select("doc_id", "node").where("node <> 0")
-    keep = best.select("node", F.col("least").alias("doc_id")).union(profiles.where("node = 0").select("node", "doc_id").distinct())
+    rows = profiles.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    stay = best.select(F.col("least").alias("doc_id"), "node")
     node, key = fresh(docs, "node"), fresh(docs, "key")
-    keyed = _with_node(docs, node, how).withColumn(key, _known_id())
-    keep = checkpointed(keep.select(F.col("node").alias(node), F.col("doc_id").alias(key)))
-    kept = keyed.join(keep, [node, key], "left_semi")
-    again = checkpointed(rows.groupBy("node", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias(node), F.col("doc_id").alias(key)))
-    if again.isEmpty():
-        return kept.select(*columns_of(docs))
-    once = kept.join(again, [node, key], "left_semi").dropDuplicates([node])
-    return kept.join(again, [node, key], "left_anti").unionByName(once).select(*columns_of(docs))
+    drop = checkpointed(rows.where("n = 1 AND node <> 0").join(stay, ["doc_id", "node"], "left_anti").select(F.col("doc_id").alias(key)))
+    several = checkpointed(rows.where("n > 1").select(F.col("doc_id").alias(key)))
+    keyed = docs.withColumn(key, _known_id())
+    if several.isEmpty():
+        return keyed.join(drop, key, "left_anti").select(*columns_of(docs))
+    plain = keyed.join(several, key, "left_anti").join(drop, key, "left_anti").select(*columns_of(docs))
+    told = _with_node(docs, node, how).withColumn(key, _known_id()).join(several, key, "left_semi")
+    empty = told.where(F.col(node) == 0)
+    once = told.join(stay.select(F.col("doc_id").alias(key), F.col("node").alias(node)), [key, node], "left_semi").dropDuplicates([node])
+    return plain.unionByName(empty.select(*columns_of(docs))).unionByName(once.select(*columns_of(docs)))
