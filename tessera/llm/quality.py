@@ -164,7 +164,7 @@ def fit(index: np.ndarray, bounds: np.ndarray, grade: np.ndarray) -> Model:
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade: 0 toxic, 1 poor, 2 good."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    return labels.select("doc_id", grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             packed = [index[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "grade": batch.column("grade"), "packed": pa.array(packed, pa.binary())})
 
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = labelled.mapInArrow(extract, "doc_id long, grade int, packed binary").orderBy("doc_id", "packed").limit(sample).collect()
     rows = list({(r.packed, r.grade): r for r in rows}.values())  # copies count once
     index = [np.frombuffer(r.packed, np.int32) for r in rows]

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
+from tessera.llm.spark_util import fresh
 
 CHUNK = "__chunk"
 #: Chunks of documents per shuffle partition.
@@ -150,9 +151,9 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table["doc_id"].cast(pa.int64()).fill_null(int(NO_ID)).to_numpy()
 
 
-def _ask(table: pa.Table, scheme: Scheme, buckets: int) -> pa.Table:
+def _ask(table: pa.Table, scheme: Scheme, buckets: int, own: str) -> pa.Table:
     table = ordered(table)
-    chunk = table[CHUNK][0].as_py()
+    chunk = table[own][0].as_py()
     found = anchors(layout(table, scheme), scheme)
     order, present, edge = _by_bucket(found, buckets)
     key, context, doc = (found.key[order] >> np.uint64(32)).astype(np.uint32), found.context[order], _ids(table)[found.doc[order]]
@@ -217,7 +218,7 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
 
 
-def _send(table: pa.Table, wanted: pa.Table, scheme: Scheme, buckets: int) -> pa.Table:
+def _send(table: pa.Table, wanted: pa.Table, scheme: Scheme, buckets: int, own: str) -> pa.Table:
     out = {"bucket": [], "chunk": [], "index": [], "length": [], "content": []}
     if wanted.num_rows and table.num_rows:
         table = ordered(table)
@@ -228,7 +229,7 @@ def _send(table: pa.Table, wanted: pa.Table, scheme: Scheme, buckets: int) -> pa
             chosen = order[edge[np.searchsorted(present, bucket)] + np.frombuffer(packed, np.int32)]
             start, length = found.first[chosen], found.last[chosen] - found.first[chosen] + scheme.window
             out["bucket"].append(bucket)
-            out["chunk"].append(table[CHUNK][0].as_py())
+            out["chunk"].append(table[own][0].as_py())
             out["index"].append(packed)
             out["length"].append(length.astype(np.int32).tobytes())
             out["content"].append(gather(lay.symbols, start, length).tobytes())
@@ -318,9 +319,10 @@ def _covered(lay: Layout, answers: pa.Table, scheme: Scheme, buckets: int) -> np
     return np.cumsum(edge_of[:-1]) > 0
 
 
-def dealt(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, int]:
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.withColumn(CHUNK, F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS_PER_PARTITION * buckets)).cast("long")), buckets
+def dealt(docs: DataFrame) -> tuple[DataFrame, str, int]:
+    """docs by chunk, the name of that column, and the number of buckets; rows of one id, or of none, are spread by their texts."""
+    buckets, own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), fresh(docs, CHUNK)
+    return docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(CHUNKS_PER_PARTITION * buckets)).cast("long")), own, buckets
 
 
 def repeated_windows(docs: DataFrame, scheme: Scheme, matcher: Matcher, across: bool, finish: Callable[[pa.Table, Layout, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
@@ -332,16 +334,16 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, matcher: Matcher, across:
     """
     if scheme.window - scheme.gram + 1 > 64:
         raise ValueError("windows of one anchor must fit in 64 bits")
-    chunks, buckets = dealt(docs, scheme)
+    chunks, own, buckets = dealt(docs)
 
     def ask(table: pa.Table) -> pa.Table:
-        return _ask(table, scheme, buckets)
+        return _ask(table, scheme, buckets, own)
 
     def want(table: pa.Table) -> pa.Table:
         return _want(table, across)
 
     def send(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        return _send(table, wanted, scheme, buckets)
+        return _send(table, wanted, scheme, buckets, own)
 
     def answer(asked: pa.Table, sent: pa.Table) -> pa.Table:
         return _answer(asked, sent, scheme, across, matcher)
@@ -349,10 +351,10 @@ def repeated_windows(docs: DataFrame, scheme: Scheme, matcher: Matcher, across:
     def mark(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = ordered(table)
         lay = layout(table, scheme)
-        return finish(table.drop_columns([CHUNK]), lay, _covered(lay, answers, scheme, buckets))
+        return finish(table.drop_columns([own]), lay, _covered(lay, answers, scheme, buckets))
 
-    asked = chunks.groupBy(CHUNK).applyInArrow(ask, ASKED)
+    asked = chunks.groupBy(own).applyInArrow(ask, ASKED)
     wanted = asked.groupBy("bucket").applyInArrow(want, WANTED)
-    sent = chunks.groupBy(CHUNK).cogroup(wanted.groupBy(CHUNK)).applyInArrow(send, SENT)
+    sent = chunks.groupBy(own).cogroup(wanted.groupBy(CHUNK)).applyInArrow(send, SENT)
     answers = asked.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(answer, ANSWERED)
-    return chunks.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(mark, schema)
+    return chunks.groupBy(own).cogroup(answers.groupBy(CHUNK)).applyInArrow(mark, schema)

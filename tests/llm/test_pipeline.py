@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm.decontaminate import contaminated
 
@@ -58,3 +60,19 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and {"sequence_id", "offset", "doc_id"} <= set(rows.columns)
+
+
+def test_rows_and_names_survive(spark):
+    """Repeated ids with other texts, and columns named like results of the operators."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").limit(40)
+    docs = docs.withColumn("doc_id", (F.col("doc_id") % 3).cast("long")).withColumn("kept", F.lit("mine")).withColumn("n_removed", F.lit("k")).withColumn("kept_text", F.lit("t")).withColumn("__chunk", F.lit("c")).withColumn("node", F.lit("n"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == [*COLUMNS, "kept", "n_removed", "kept_text", "__chunk", "node"]
+        assert {(r.kept, r.n_removed, r.kept_text, r["__chunk"], r.node) for r in docs.collect()} <= {("mine", "k", "t", "c", "n")}
+        assert 10 < docs.count() <= before
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+    assert empty.count() == 0
