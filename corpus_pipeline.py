@@ -3,6 +3,13 @@
 Each stage takes all that its predecessor kept and returns a DataFrame; all
 but the last return the columns of ``documents``.  ``run`` writes the result of
 each stage as Parquet in the shared checkpoint folder and reads it again.
+
+Defined results: rows are judged one by one, whatever their ids.  A null or
+empty text has no words: it stays unless the classifier rejects it, and is
+packed as one end mark.  Texts are judged whole, however long.  Of rows equal in
+id and set of shingles one stays.  An empty table gives no rows.  Other columns
+come out as they went in, also those named like an operator's results; the last
+stage returns ids and places only.
 """
 
 from __future__ import annotations
@@ -14,17 +21,28 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, ngram_join, packing, quality, substring_dedup
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.spark_util import checkpoint_dir
+from tessera.llm.spark_util import checkpoint_dir, columns_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, so that no operator meets their names."""
+    others = [F.col(c) for c in columns_of(docs) if c not in ("`doc_id`", "`text`")]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("_"), *others).alias("carried"))
+
+
+def _restored(out: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of docs from rows that carry them."""
+    return out.select(*[changed.get(c, F.col(q) if c in ("doc_id", "text") else F.col(f"carried.{q}")).alias(c) for c, q in zip(docs.columns, columns_of(docs), strict=True)])
+
+
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier selects; the others go."""
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.judge(docs, model).where("kept").select(docs.columns)
+    return _restored(quality.judge(_carried(docs), model).where("kept"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +52,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in several places; other texts stay as they are."""
-    out = substring_dedup.remove_repeated_passages(docs)
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    out = substring_dedup.remove_repeated_passages(_carried(docs))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
+    return _restored(out, docs, text=text, n_chars=n_chars)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
