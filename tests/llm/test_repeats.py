@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.substring_dedup import held_windows, parse, remove_repeated_passages
 from tessera.llm.suffix_dedup import remove_repeated_bytes
@@ -69,7 +70,8 @@ def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert remove_repeated_bytes(empty).count() == 0 and remove_repeated_passages(empty).count() == 0
     text = " ".join(f"w{i}" for i in range(40))
-    docs = spark.createDataFrame([(None, text, "a"), (1, text, "b"), (1, text, "c"), (2, "short", None)], "doc_id long, text string, n_words string")
+    docs = spark.createDataFrame([(None, text, "a"), (1, text, "b"), (1, text, "c"), (2, "short", None)], "doc_id int, text string, n_words string").withColumn("__chunk", F.lit("mine"))
+    assert {r["__chunk"] for r in remove_repeated_bytes(docs).collect()} == {"mine"}
     rows = remove_repeated_bytes(docs).collect()
     assert sorted((r.doc_id or 0, r.n_removed > 0) for r in rows) == [(0, True), (1, False), (1, False), (2, False)]
     rows = remove_repeated_passages(docs).collect()
