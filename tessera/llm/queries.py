@@ -88,5 +88,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op6_url_reputation": url_reputation.verdict_sql("pages", "labels", dialect="duckdb"),
+        "op6_url_reputation": url_reputation.verdict_sql("pages", "labels"),
     }

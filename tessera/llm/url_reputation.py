@@ -29,8 +29,12 @@ Columns besides those named are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.spark_util import checkpointed
+
 #: The rules of the url contract: (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -85,26 +89,26 @@ def _told(child: str, strength: str, by: str) -> str:
     return f"SELECT {by}{of('c.n')}, {of('c.b')} FROM {child} c CROSS JOIN {strength} s" + (f" GROUP BY {by[:-2]}" if by else "")
 
 
-def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE, deviations: float = DEVIATIONS, dialect: str = "spark") -> str:
-    """The whole filter as one statement, for Spark or for DuckDB."""
-    if dialect == "spark":
-        rest = "CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END"
-        number, long = "nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '')", "bigint"
-    else:
-        rest = "CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END"
-        number, long = "nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '')", "bigint"
-    sql = f"""
-    WITH split AS (
+def _judged(pages: str) -> str:
+    rest = "CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END"
+    return f"""
+    split AS (
       SELECT page_id, url, coalesce({rest}, '') AS rest FROM {pages}),
     hosted AS (
       SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM split),
     judged AS (
       SELECT page_id, url, translate(raw, '{_UPPER}', '{_LOWER}') AS host,
-             regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosted),
+             regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM hosted)"""
+
+
+def _hosts(labels: str) -> str:
+    """A row per host: its names and labels."""
+    number = "nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '')"
+    return f"""
     outcome AS (
       SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
       FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-    numbered AS (SELECT host, cast({number} AS {long}) AS doc_id FROM judged),
+    numbered AS (SELECT host, cast({number} AS bigint) AS doc_id FROM judged),
     labelled AS (
       SELECT p.host, count(*) AS n, sum(o.bad) AS b FROM numbered p JOIN outcome o ON p.doc_id = o.doc_id GROUP BY p.host),
     named AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM (SELECT DISTINCT host FROM judged) d),
@@ -116,7 +120,12 @@ def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE
       SELECT s.host, CASE shape WHEN 'number' THEN name WHEN 'two' THEN regexp_extract(name, '([^.]*[.])?[^.]*[.][^.]*$', 0) ELSE regexp_extract(name, '([^.]*[.])?[^.]*$', 0) END AS domain,
              CASE shape WHEN 'number' THEN '' WHEN 'two' THEN regexp_extract(name, '[^.]*[.][^.]*$', 0) ELSE regexp_extract(name, '[^.]*$', 0) END AS suffix,
              coalesce(l.n, 0) AS n, coalesce(l.b, 0) AS b
-      FROM shaped s LEFT JOIN labelled l ON s.host = l.host),
+      FROM shaped s LEFT JOIN labelled l ON s.host = l.host)"""
+
+
+def _bounds(deviations: float) -> str:
+    """From hosts to the bound of each."""
+    return f"""
     domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY domain, suffix),
     suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY suffix),
     everything AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(b), 0) AS b FROM suffixes),
@@ -136,7 +145,11 @@ def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE
       SELECT h.host, h.n, h.b, kh.strength + h.n AS size, (h.b + kh.strength * d.rate) / (h.n + kh.strength) AS rate
       FROM hosts h JOIN domain_rate d ON h.domain = d.domain AND h.suffix = d.suffix CROSS JOIN kh),
     bound AS (
-      SELECT host, n, b, greatest(0D0, rate - {deviations}D0 * sqrt(rate * (1 - rate) / (size + 1))) AS lower_bad FROM host_rate),
+      SELECT host, n, b, greatest(0D0, rate - {deviations}D0 * sqrt(rate * (1 - rate) / (size + 1))) AS lower_bad FROM host_rate)"""
+
+
+def _verdicts(rules, bad_rate: float) -> str:
+    return f"""
     ruled AS (SELECT page_id, host, path, {_by_rule(rules, lambda a, h, p: h + p)} AS rule,
              {_by_rule(rules, lambda a, h, p: a)} AS by_rule FROM judged)
     SELECT r.page_id, r.host, r.path, r.rule,
@@ -144,13 +157,25 @@ def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE
            b.n AS host_labels, b.b AS host_bad, round(b.lower_bad, 6) AS lower_bad
     FROM ruled r JOIN bound b ON r.host = b.host
     """
-    if dialect != "spark":
-        import re
 
-        sql = re.sub(r"(?<![\w.'])(\d+(?:\.\d+)?)D0?\b", r"\1::DOUBLE", sql)
-    return sql.replace("D0", "D")
 
+def verdict_sql(pages: str, labels: str, rules=RULES, bad_rate: float = BAD_RATE, deviations: float = DEVIATIONS) -> str:
+    """The whole filter as one statement for DuckDB."""
+    sql = "WITH " + ",".join([_judged(pages), _hosts(labels), _bounds(deviations), _verdicts(rules, bad_rate)])
+    return re.sub(r"(?<![\w.'])(\d+(?:\.\d+)?)D0?\b", r"\1::DOUBLE", sql)
+
+
+def url_verdicts(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES, bad_rate: float = BAD_RATE, deviations: float = DEVIATIONS) -> DataFrame:
+    """page_id, host, path, rule, verdict, host_labels, host_bad, lower_bad for every page.
+
+    The same as ``verdict_sql``, in three statements: hosts, and their bounds,
+    are used many times and are checkpointed.
+    """
+
+    def run(parts: list[str], last: str = "", **tables: DataFrame) -> DataFrame:
+        sql = ("WITH " + ",".join(parts) + last).replace("D0", "D").replace("{1,18}", "{{1,18}}")
+        return spark.sql(sql, **tables)
 
-def url_verdicts(spark: SparkSession, pages: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """page_id, host, path, rule, verdict, host_labels, host_bad, lower_bad for every page."""
-    return spark.sql(verdict_sql("{pages}", "{labels}", **options).replace("{1,18}", "{{1,18}}"), pages=pages, labels=labels)
+    hosts = checkpointed(run([_judged("{pages}"), _hosts("{labels}")], " SELECT * FROM hosts", pages=pages, labels=labels))
+    bound = checkpointed(run(["hosts AS (SELECT * FROM {hosts})", _bounds(deviations)], " SELECT * FROM bound", hosts=hosts))
+    return run([_judged("{pages}"), "bound AS (SELECT * FROM {bound})", _verdicts(rules, bad_rate)], pages=pages, bound=bound)

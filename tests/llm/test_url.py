@@ -135,7 +135,7 @@ def test_sql_and_plan(spark):
     con = duckdb.connect()
     for t in ("pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    result = con.execute(url_reputation.verdict_sql("pages", "labels", dialect="duckdb"))
+    result = con.execute(url_reputation.verdict_sql("pages", "labels"))
     columns = [d[0] for d in result.description]
     expected = sorted(result.fetchall(), key=repr)
     assert sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr) == expected
