@@ -116,7 +116,7 @@ def prune(edges: DataFrame, corpus: DataFrame, metric: str = D.COSINE) -> DataFr
     return full.groupBy("src").applyInPandas(keep, f"src {kinds['src']}, dst {kinds['dst']}, dist double")
 
 
-def beam_search(queries: DataFrame, edges: DataFrame, corpus: DataFrame, k: int, ef: int = 64, metric: str = D.COSINE, entry: DataFrame | None = None, width: int = 8, allowed: DataFrame | None = None) -> DataFrame:
+def beam_search(queries: DataFrame, edges: DataFrame, corpus: DataFrame, k: int, ef: int = 64, metric: str = D.COSINE, entry: DataFrame | None = None, width: int = 32, allowed: DataFrame | None = None) -> DataFrame:
     """Best-first walk of all queries at once.
 
     Each query keeps its ``ef`` best nodes; a round expands the ``width`` best
