@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_reputation
+from tessera.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_reputation, vector_codes, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages, weights).select("page_id", "url", "text", "n_chars")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -83,6 +92,8 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_html_text": op10_html_text,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_whitening": op13_whitening,
     }
 
 
