@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, url_reputation, vector_codes, whitening
+from tessera.llm import decontaminate, embedding_dedup, html_text, ngram_join, packing, quality, substring_dedup, suffix_dedup, token_counts, token_files, url_reputation, vector_codes, whitening
+from tessera.llm.spark_util import checkpoint_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +79,14 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' ids, written to files in the shared folder and read back."""
+    folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(token_files.encode(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")), folder)
+    back = token_files.read(spark, folder)
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings"))
 
@@ -93,6 +104,7 @@ def queries() -> dict:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_html_text": op10_html_text,
         "op11_vector_codes": op11_vector_codes,
+        "op12_token_files": op12_token_files,
         "op13_whitening": op13_whitening,
     }
 
