@@ -19,7 +19,9 @@ null or not finite are dropped, and so are those of another length than most
 multiple of the parts, vectors count as if zeros followed.  Repeated rows count
 and come out each; of rows of one id the lower vectors come first in the first
 codebooks, and null ids come last.  Fewer vectors than entries make shorter
-codebooks; an empty table gives no rows.  Other columns are ignored.
+codebooks; an empty table gives no rows.  Codes are exact at any size of
+components; a part's error beyond 2**50 is given as that.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ BUCKET = 1 << 20
 FREQUENT = 10_000
 
 _LIMIT = float(1 << 62)
+#: Squared distances beyond are held here, so that those of all parts fit in 64 bits.
+_MOST = 1 << 50
 
 
 def integers(vectors: np.ndarray, parts: int, scale: float = SCALE) -> np.ndarray:
@@ -91,7 +95,7 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nearest(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest entry of each row, the first of equals, and its squared distance, exact."""
+    """The nearest entry of each row, the first of equals, and its squared distance, exact up to ``_MOST``."""
     most = max(np.abs(rows).max(initial=0), np.abs(book).max(initial=0))
     code, error = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
     wide = float(most) ** 2 * 4 * rows.shape[1] >= 1 << 52
@@ -101,12 +105,11 @@ def nearest(rows: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if wide:
             kind = object if float(most) ** 2 * 4 * rows.shape[1] >= _LIMIT else np.int64
             d = ((x[:, None, :].astype(kind) - book[None].astype(kind)) ** 2).sum(axis=2)
-            d = np.minimum(d, (1 << 63) - 1).astype(np.int64)
         else:
             a, b = x.astype(np.float64), book.astype(np.float64)
             d = (a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)[None]  # whole numbers below 2**53
         code[i : i + step] = d.argmin(axis=1)
-        error[i : i + step] = d.min(axis=1).astype(np.int64)
+        error[i : i + step] = np.minimum(d.min(axis=1), _MOST if wide else np.inf).astype(np.int64)
     return code, error
 
 
