@@ -72,16 +72,22 @@ def _remembered(path: str) -> Remembered:
 
 
 def encode(docs: DataFrame, tokenizer: str, end: int = END, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, hash of the text, n_tokens and ids (unsigned 32-bit, little-endian, the end mark last) of each document."""
+    """id, hash of the text, n_tokens and ids (the end mark last) of each document.
+
+    ids are unsigned and little-endian, of 16 bits if the vocabulary fits in them, else of 32.
+    """
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, last = _remembered(tokenizer), np.uint32(end).astype("<u4").tobytes()
+        narrow = max(end, *memory.model.special.values(), int(memory.model.merged.max(initial=0)), int(memory.model.inner.max())) < 1 << 16
         for batch in (part for whole in batches for part in batches_of(whole)):
             documents = [memory.model.pieces(x) if x else [] for x in batch.column("text").to_pylist()]
             known = memory.learn(documents)
             ids = [b"".join([*map(known.__getitem__, x), last]) for x in documents]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
+            if narrow:
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
             yield pa.record_batch([batch.column("id"), batch.column("hash"), n, pa.array(ids, pa.binary())], names=["id", "hash", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("hash", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -94,7 +100,7 @@ def write(encoded: DataFrame, folder: str, per_file: int = FILE) -> None:
     _register(spark)
     staged = f"{checkpoint_dir(spark)}/encoded-{uuid.uuid4().hex}"
     # the number breaks ties between equal rows, so that a group of them can be dealt to several files
-    encoded.withColumn("number", F.monotonically_increasing_id()).write.parquet(staged)
+    encoded.withColumn("number", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(staged)
     table = spark.read.parquet(staged)
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     order = [F.col("id").asc_nulls_first(), F.col("hash"), F.col("number")]
@@ -165,20 +171,19 @@ class _Writer(DataSourceArrowWriter):
 
             def flush(whole: bool) -> None:
                 nonlocal waiting, held
-                ids = np.frombuffer(b"".join(waiting), "<u4")
+                ids = np.concatenate(waiting) if waiting else np.zeros(0, "<u2")
                 at = 0
                 while len(ids) - at >= SEGMENT or whole and at < len(ids):
                     part = range_coder.encode_segment(ids[at : at + SEGMENT])
                     out.write(struct.pack("<Q", len(part)) + part)
                     at += SEGMENT
-                waiting, held = ([ids[at:].tobytes()] if at < len(ids) else []), max(0, len(ids) - at)
+                waiting, held = ([ids[at:].copy()] if at < len(ids) else []), max(0, len(ids) - at)
 
             for batch in iterator:
                 documents.append(batch.select(["id", "n_tokens"]))
-                for x in batch.column("ids"):
-                    waiting.append(x.as_buffer())
-                n = sum(batch.column("n_tokens").to_pylist())
-                held, total = held + n, total + n
+                for x, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist(), strict=True):
+                    waiting.append(np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}"))
+                    held, total = held + n, total + n
                 if held >= SEGMENT:
                     flush(False)
             flush(True)
