@@ -51,6 +51,10 @@ SECOND = "ac co com edu gob gouv gov go id ltd me mil ne net nhs nom or org plc
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The number of a page's document in its path: the last segment, whole, with or without an extension.
+DOCUMENT_NUMBER = "/([0-9]{1,18})([.][A-Za-z0-9]*)?/?$"
+
+
 def _matches(host: str, path: str) -> str:
     suffix = f".{host}"
     return f"((host = '{host}' OR right(host, {len(suffix)}) = '{suffix}') AND left(path, {len(path)}) = '{path}')"
@@ -103,12 +107,12 @@ def _judged(pages: str) -> str:
 
 def _hosts(labels: str) -> str:
     """A row per host: its names and labels."""
-    number = "nullif(regexp_extract(path, '/([0-9]{1,18})', 1), '')"
+    number = f"nullif(regexp_extract(path, '{DOCUMENT_NUMBER}', 1), '')"
     return f"""
     outcome AS (
       SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
       FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-    numbered AS (SELECT host, cast({number} AS bigint) AS doc_id FROM judged),
+    numbered AS (SELECT DISTINCT host, cast({number} AS bigint) AS doc_id FROM judged WHERE {number} IS NOT NULL),
     labelled AS (
       SELECT p.host, count(*) AS n, sum(o.bad) AS b FROM numbered p JOIN outcome o ON p.doc_id = o.doc_id GROUP BY p.host),
     named AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name FROM (SELECT DISTINCT host FROM judged) d),

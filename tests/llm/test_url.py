@@ -33,7 +33,7 @@ def test_hosts_and_rules(spark):
         rule, action = _rule(host, path)
         assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, rule), u
         assert rows[i].verdict == action if action else rows[i].verdict in ("allow", "block")
-    assert rows[15].host_labels == 3 and rows[15].host_bad == 3 and rows[18].host_bad == 0
+    assert rows[15].host_labels == 2 and rows[15].host_bad == 2 and rows[18].host_bad == 0
     assert rows[15].lower_bad > rows[19].lower_bad >= rows[18].lower_bad  # a host without labels follows its domain
     assert url_reputation.url_verdicts(spark, pages.where("false"), labels).count() == 0
     assert url_reputation.url_verdicts(spark, pages, labels.where("false")).count() == len(urls)
@@ -121,6 +121,16 @@ def test_bounds_by_brute_force(spark):
             assert r.verdict == ("block" if r.lower_bad > url_reputation.BAD_RATE else "allow")
 
 
+def test_numbers_of_documents(spark):
+    """The last segment, whole; each document once for a host."""
+    urls = [f"http://dated.com/2024/01/post-{i}" for i in range(40)] + [f"http://same.com/7?page={i}" for i in range(40)]
+    urls += ["http://long.com/12345678901234567890", "http://short.com/123456789012345678", "http://a.com/x/5", "http://a.com/5.html", "http://a.com/5/", "http://b.com/5/x", "http://b.com/5a", "http://b.com?/5"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(2024, 0, 1), (7, 0, 1), (123456789012345678, 0, 1), (5, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = url_reputation.url_verdicts(spark, pages, labels).collect()
+    assert {r.host: (r.host_labels, r.host_bad) for r in rows} == {"dated.com": (0, 0), "same.com": (1, 1), "long.com": (0, 0), "short.com": (1, 1), "a.com": (1, 0), "b.com": (0, 0)}
+
+
 def test_neighbours_under_a_suffix_do_not_answer_for_each_other(spark):
     pages = spark.createDataFrame([(i, f"http://bad.co.uk/{i}") for i in range(50)] + [(99, "http://good.co.uk/x")] + [(200 + i, f"http://x.com/{200 + i}") for i in range(50)], "page_id long, url string")
     labels = spark.createDataFrame([(i, 0, 1) for i in range(50)] + [(200 + i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
