@@ -8,14 +8,16 @@ belonged to the text, so words of unlikely elements score negative too; of a
 tag, by the share of its uses that stood within the text.  Elements whose
 purpose is stated (navigation, forms, adverts, ...) start from a low share, all
 others from a high one, so kinds of element that no labelled page has are
-judged by these priors; enough labelled words overturn either.  Blocks of the
-region are the result, without those of unlikely elements inside it.
+judged by these priors; enough labelled words overturn either.  A form, or an
+element that states a purpose by its class or id, is none if it holds nearly
+all words of the page and paragraphs or headings: it wraps the text.  Blocks of the region are the result,
+without those of unlikely elements inside it.
 
 Defined results: null or empty html, or a page without words, gives an empty
 text.  A tag that is never closed is text up to the end of the page, as is a
-lone ``<``.  A quoted value with ``>`` in it belongs to its tag if the tag ends
-within ``QUOTED`` characters; else the tag ends at its first ``>``.  Very long
-or deep pages take time in proportion to their length.  Of runs with the same
+lone ``<``.  A quoted value with ``>`` in it belongs to its tag, however long;
+where a quote is never closed the tag ends at its first ``>``.  Very long or
+deep pages take time in proportion to their length.  Of runs with the same
 sum the first counts.  Repeated pages give equal rows; an empty table gives
 none.  Other columns pass through; those of the result replace any of the same
 name.
@@ -39,6 +41,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
 from tessera.llm.suffix_dedup import result_schema, with_columns
+from tessera.llm.url_reputation import DOCUMENT_NUMBER
 
 #: Labelled pages used to fit the weights, at most.
 LABELLED = 400
@@ -53,8 +56,8 @@ CERTAIN = 0.98
 UNLIKELY = 0.02
 #: Shares of the priors.
 STATED, UNSTATED = 0.02, 1.0
-#: Longest tag with ``>`` in a quoted value.
-QUOTED = 4096
+#: An element with this share of a page's words holds the page, whatever its name states.
+WHOLE = 0.9
 #: Characters of html in a batch.
 BATCH = 1 << 22
 
@@ -73,6 +76,8 @@ _APART_ROLES = frozenset("navigation banner contentinfo complementary search for
 _BESIDE = frozenset("site page global top bottom left right bar list box block item items link links button buttons section inner area".split())
 _DISCUSSION = frozenset("comment comments respond disqus replies reply".split())
 _RAW = frozenset("script style".split())
+#: Tags that show an element to hold a text and not one line.
+_PROSE = frozenset("<p <h1 <h2 <h3 <article".split())
 _RESTARTS = frozenset("article main body".split())
 #: What an opening tag ends, if it is the innermost block.
 _ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -130,23 +135,29 @@ def _kind(name: str, attributes: str) -> tuple[str, str]:
     return kind, purpose
 
 
-def tag_end(html: str, at: int, last: int) -> int:
-    """Where the tag whose name ends at ``at`` has its ``>``; last: the last ``>`` of the page, after ``at``."""
-    first, stop = html.find(">", at), min(last + 1, at + QUOTED)
-    i = at
-    while m := _CLOSES.search(html, i, max(stop, first + 1)):
+def tag_end(html: str, at: int, last: int, dead: set[int]) -> int:
+    """Where the tag whose name ends at ``at`` has its ``>``; last: the last ``>`` of the page, after ``at``.
+
+    dead: opening quotes from which no ``>`` outside of quotes follows.  What
+    one tag has found out is not sought again, so a page is read twice at most.
+    """
+    i, passed = at, []
+    while (m := _CLOSES.search(html, i, last + 1)) and m.start() not in dead:
         if m[0] == ">":
             return m.start()
-        closing = html.find(m[0], m.end(), max(stop, first + 1))
+        passed.append(m.start())
+        closing = html.find(m[0], m.end())
         if closing < 0:
             break
         i = closing + 1
-    return first
+    dead.update(passed)
+    return html.find(">", at)
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
     """(text before, '/' or '', lower name or '', attributes) of each tag, comment or raw element; at last the text that is left."""
     at, said, last = 0, 0, html.rfind(">")
+    dead: set[int] = set()
     while m := _TAG.search(html, at):
         if m[1]:
             end = html.find("-->", m.end())
@@ -158,7 +169,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
             end = html.find(">", m.end()) + 1
             yield html[said : m.start()], "", "", ""
         else:
-            end = tag_end(html, m.end(), last) + 1
+            end = tag_end(html, m.end(), last, dead) + 1
             name = m[3].lower()
             yield html[said : m.start()], m[2], name, html[m.end() : end - 1]
             if name in _RAW and not m[2]:
@@ -171,7 +182,9 @@ def tokens(html: str) -> Iterator[tuple[str, str, str, str]]:
 def pieces(html: str) -> list[Piece]:
     """Tags and texts of a page in their order."""
     out: list[Piece] = []
-    stack: list[tuple[str, str, str]] = []  # open blocks: name, kind, purposes that set them apart
+    stack: list[tuple[str, str, str, int]] = []  # open blocks: name, kind, purposes that set them apart, the innermost element that states one
+    stated: list[tuple[str, int, bool]] = [("", -1, False)]  # elements that state a purpose: which, the one around it, may it be lifted
+    within: list[int] = []  # of each piece: the innermost such element
     open_at: dict[str, list[int]] = {}  # places in the stack, by name
     block = 0
 
@@ -179,13 +192,17 @@ def pieces(html: str) -> list[Piece]:
         while len(stack) > size:
             open_at[stack.pop()[0]].pop()
 
+    def add(piece: Piece, inner: int) -> None:
+        out.append(piece)
+        within.append(inner)
+
     def say(text: str) -> None:
         if text and not text.isspace():
             text = unescape(text)
-            kind, apart = (stack[-1][1], stack[-1][2]) if stack else ("", "")
-            out.append(Piece(kind, apart, len(text.split()), block, text))
+            kind, apart, inner = stack[-1][1:] if stack else ("", "", 0)
+            add(Piece(kind, apart, len(text.split()), block, text), inner)
         elif text and out and out[-1].words >= 0 and out[-1].block == block:
-            out.append(out[-1]._replace(words=0, text=" "))
+            add(out[-1]._replace(words=0, text=" "), within[-1])
 
     for text, closing, name, attributes in tokens(html):
         say(text)
@@ -193,18 +210,18 @@ def pieces(html: str) -> list[Piece]:
             continue
         if name == "br":
             if out and out[-1].words >= 0:
-                out.append(out[-1]._replace(words=0, text=" "))
+                add(out[-1]._replace(words=0, text=" "), within[-1])
             continue
         if name in _INLINE:
             continue
         block += 1
         if closing:
-            kind, apart = name, stack[-1][2] if stack else ""
+            kind, apart, inner = (name, *stack[-1][2:]) if stack else (name, "", 0)
             if open_at.get(name):
                 top = open_at[name][-1]
-                kind, apart = stack[top][1], stack[top][2]
+                kind, apart, inner = stack[top][1:]
                 cut(top)
-            out.append(Piece(f"</{kind}", apart, -1, block, ""))
+            add(Piece(f"</{kind}", apart, -1, block, ""), inner)
             continue
         kind, apart = _kind(name, attributes)
         if name == "header" and apart == name and open_at.get("article"):
@@ -214,13 +231,38 @@ def pieces(html: str) -> list[Piece]:
                 cut(0)
         elif stack and (stack[-1][0] == "p" or stack[-1][0] in _ENDS.get(name, ())):
             cut(len(stack) - 1)
-        around = stack[-1][2] if stack else ""
+        around, inner = stack[-1][2:] if stack else ("", 0)
+        if apart:
+            stated.append((apart, inner, name == "form" or name not in _APART))
+            inner = len(stated) - 1
         apart = around if apart in around.split() else f"{around} {apart}".strip()
-        out.append(Piece(f"<{kind}", apart, -1, block, ""))
+        add(Piece(f"<{kind}", apart, -1, block, ""), inner)
         if name not in _VOID and not attributes.endswith("/"):
             open_at.setdefault(name, []).append(len(stack))
-            stack.append((name, kind, apart))
-    return out
+            stack.append((name, kind, apart, inner))
+    return _unwrapped(out, within, stated)
+
+
+def _unwrapped(found: list[Piece], within: list[int], stated: list[tuple[str, int, bool]]) -> list[Piece]:
+    """The pieces without the purposes of elements that hold nearly all words of the page."""
+    words, prose, total = [0] * len(stated), [False] * len(stated), 0
+    for piece, inner in zip(found, within, strict=True):
+        if piece.kind.split(".")[0] in _PROSE:
+            prose[inner] = True
+        if piece.words > 0 and _UNSEEN.isdisjoint(piece.apart.split()):
+            words[inner] += piece.words
+            total += piece.words
+    for i in range(len(stated) - 1, 0, -1):
+        words[stated[i][1]] += words[i]
+        prose[stated[i][1]] |= prose[i]
+    lifted = [i > 0 and may and prose[i] and words[i] >= WHOLE * total > 0 for i, (_, _, may) in enumerate(stated)]
+    if not any(lifted):
+        return found
+    names = [""]
+    for (purpose, around, _), free in zip(stated[1:], lifted[1:], strict=True):
+        there = names[around]
+        names.append(there if free or purpose in there.split() else f"{there} {purpose}".strip())
+    return [x._replace(apart=names[i]) for x, i in zip(found, within, strict=True)]
 
 
 def odds(share: float) -> float:
@@ -321,7 +363,7 @@ def fit(labelled: Iterable[tuple[str, str]]) -> Weights:
 
 def labelled_pages(pages: DataFrame, documents: DataFrame, limit: int = LABELLED) -> list[tuple[str, str]]:
     """Pages whose address ends in the number of a known document: at most ``limit``, spread by hash."""
-    number = F.regexp_extract("url", r"://[^?#]*?/([0-9]{1,18})(?:[/.?#]|$)", 1)
+    number = F.regexp_extract(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), DOCUMENT_NUMBER, 1)
     ids = (
         pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id"))
         .where("page_id IS NOT NULL AND doc_id IS NOT NULL")

@@ -38,7 +38,7 @@ def test_purposes_are_whole_names(html, text):
 
 
 def test_labelled_pages_overturn_stated_purposes():
-    page = lambda i: f'<div class="menu"><p>soup {i} of the day</p><p>bread {i} with butter</p></div><nav><p>home</p></nav>'
+    page = lambda i: f'<div class="menu"><p>soup {i} of the day</p><p>bread {i} with butter</p></div><nav><p>home and other pages</p></nav>'
     weights = fit([(page(i), f"soup {i} of the day\nbread {i} with butter") for i in range(20)])
     assert main_text(page(99), PLAIN) == "" and main_text(page(99), weights) == "soup 99 of the day\nbread 99 with butter"
 
@@ -78,15 +78,19 @@ def test_asides_do_not_cut_a_text():
 @pytest.mark.parametrize("page", [
     lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<p>" + "word <b>x</b> " * n + "</p>", lambda n: '<a href="x>y ' * n, lambda n: "<! " * n, lambda n: "<div class='a b" * n, lambda n: "<a " * n + ">",
     lambda n: "<script>" * n, lambda n: "<p title='>" * n, lambda n: "<ul><li>" * n, lambda n: "</p>" * n, lambda n: "<nav><aside>" * n + "x",
+    lambda n: '<a ">" ' * n, lambda n: "<a '>\" \">' " * n, lambda n: '<p t="' + "[a>b] " * n + '">x</p>' * 2, lambda n: "<form><div class=newsletter>" * n + "x",
 ])
 def test_time_in_proportion(page):
     def seconds(n):
-        start = time.process_time()
-        main_text(page(n), PLAIN)
-        return time.process_time() - start
+        best = 1e9
+        for _ in range(3):  # the least of three: other work on the machine only adds
+            start = time.process_time()
+            main_text(page(n), PLAIN)
+            best = min(best, time.process_time() - start)
+        return best
 
     seconds(100)
-    assert seconds(40_000) < 4 * max(0.2, seconds(20_000))
+    assert seconds(40_000) < 4 * max(0.2, seconds(10_000)) + 1
 
 
 def test_quoted_ends():
@@ -96,6 +100,29 @@ def test_quoted_ends():
     assert main_text("<p>one<!-- open <p>two</p>", PLAIN) == "one" and main_text("one <!x two", PLAIN) == "one <!x two"
 
 
+def test_long_quoted_values():
+    for n in (1, 10, 5_000, 50_000):
+        value = "[a>b] " * n
+        assert main_text(f'<p data-state="{{k:{value}}}">one two</p><p data-x=\'{value}\'>three</p>', PLAIN) == "one two\nthree"
+    assert main_text('<p title="' + "a>" * 5_000 + "<b>one</b></p>", PLAIN).endswith("one")  # never closed
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form><p>one two three</p><p>four five</p></form></body>", "<main><section class='newsletter'><p>one two three</p><p>four five</p></section></main>",
+    "<div id='comments-page'><p>one two three</p><p>four five</p></div>", "<body><form id='form1'><div class='page'><nav>home</nav><p>one two three</p><p>four five</p><div class='ad'>buy</div></div></form></body>",
+    "<form class='search-form'><article><p>one two three</p><p>four five</p></article></form>",
+])
+def test_wrapped_pages(page):
+    assert main_text(page, PLAIN) == "one two three\nfour five"
+
+
+def test_asides_beside_a_text_stay_out():
+    text = "<p>" + "word " * 60 + "</p>"
+    for aside in ("<form><p>sign in here</p></form>", "<div class=newsletter><p>subscribe now please</p></div>", "<div id=comments><p>nice text indeed</p></div>"):
+        assert main_text(f"<body>{text}{aside}</body>", PLAIN) == ("word " * 60).strip()
+    assert main_text("<nav><a>home</a></nav>", PLAIN) == ""
+
+
 def test_repeated_labels(spark):
     pages = spark.createDataFrame([(1, "http://a/7", "<p>b</p>"), (1, "http://a/7", "<p>a</p>"), (2, "http://a/8", None)], "page_id int, url string, html string")
     documents = spark.createDataFrame([(7, "y"), (7, "x"), (8, "z"), (None, "n")], "doc_id long, text string")
