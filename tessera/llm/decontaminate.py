@@ -23,8 +23,9 @@ The benchmark is a stated query set.  Its windows are counted; blocks of at
 most ``BLOCK`` windows are sent to all tasks one after another, and documents
 are read where they are, without a shuffle.
 
-Defined results: null texts match nothing; an item of fewer than five words is
-never matched, as no window of it can be told from chance; items and documents
+Defined results: null texts match nothing; an item of fewer than five canonical
+words has no window: it is matched only as it stands, word for word, and not at
+all if it is a single word; items and documents
 with a null id count like others; a repeated item or document gives its own
 rows; of several places of an item in a document the best is told, of equally
 good ones the first.  Very long texts are searched whole, hits of at most
@@ -193,13 +194,49 @@ class Index(NamedTuple):
     seen: np.ndarray
     word: np.ndarray
     size: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def index_items(ids: list[int], texts: list[str]) -> list[Index]:
     """The items in the three forms."""
-    text = canonical(*K.text_buffer(pa.array(texts, pa.string())))
+    data, offsets = K.text_buffer(pa.array(texts, pa.string()))
+    text = canonical(data, offsets)
     size = np.diff(text.first)
-    return [_index(ids, form, size) for form in (text, collapsed(text), caseless(text))]
+    forms = [_index(ids, form, size) for form in (text, collapsed(text), caseless(text))]
+    return [forms[0]._replace(short=_short_items(data, offsets, size)), *forms[1:]]
+
+
+def _short_items(data: np.ndarray, offsets: np.ndarray, size: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of words as written: hashes of the items that have no window, sorted, and which they are."""
+    starts, ends, first = K.segment(data, offsets)
+    words, n = K.word_hashes(data, starts, ends), np.diff(first)
+    out = {}
+    for k in np.unique(n[(size < WINDOW) & (size > 0) & (n > 1)]).tolist():
+        items = np.flatnonzero((size < WINDOW) & (size > 0) & (n == k))
+        hashes = K.gram_hashes(words, k)[first[items]]
+        order = np.argsort(hashes, kind="stable")
+        out[k] = (hashes[order], items[order])
+    return out
+
+
+def _short_matches(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple]:
+    """Places where items without a window stand as they are, the first of each document and item."""
+    found: dict[tuple[int, int], tuple] = {}
+    starts, ends, first = K.segment(data, offsets) if index.short else (offsets[:0], offsets[:0], offsets)
+    words = K.word_hashes(data, starts, ends)
+    said = np.append(0, np.cumsum(~K.PUNCTUATION[data] | (data == 0x25)))
+    real = np.append(0, np.cumsum(said[ends] > said[starts]))  # canonical words before each word
+    for k, (hashes, items) in index.short.items():
+        grams = K.gram_hashes(words, k)
+        low, high = np.searchsorted(hashes, grams), np.searchsorted(hashes, grams, side="right")
+        where = np.flatnonzero(high > low)
+        doc = np.searchsorted(first, where, side="right") - 1
+        inside = where + k <= first[doc + 1]
+        for w, d in zip(where[inside].tolist(), doc[inside].tolist(), strict=True):
+            for i in items[low[w] : high[w]].tolist():
+                n = int(index.size[i])
+                found.setdefault((d, i), (d, i, n, n, int(real[w] - real[first[d]]), 0, 0))
+    return list(found.values())
 
 
 def _index(ids: list[int], text: Canonical, n_words: np.ndarray) -> Index:
@@ -209,7 +246,7 @@ def _index(ids: list[int], text: Canonical, n_words: np.ndarray) -> Index:
     item = np.searchsorted(text.first, place, side="right") - 1
     seen = np.zeros(1 << 20, bool)
     seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(hashes, item, place - text.first[item], np.array(ids, np.int64), text.own, text.kind, text.first, seen, np.append(text.word, n_words.sum()), n_words)
+    return Index(hashes, item, place - text.first[item], np.array(ids, np.int64), text.own, text.kind, text.first, seen, np.append(text.word, n_words.sum()), n_words, {})
 
 
 def _consistent(pairs: list[tuple[int, int, int]]) -> bool:
@@ -247,7 +284,7 @@ def matches(data: np.ndarray, offsets: np.ndarray, forms: list[Index]) -> list[t
     for form, index, neighbours in ((text, forms[0], False), (collapsed(text), forms[1], True), (caseless(text), forms[2], False)):
         for row in _matches(form, index, neighbours):
             found.setdefault(row[:2], row)
-    return list(found.values())
+    return list(found.values()) + _short_matches(data, offsets, forms[0])
 
 
 def _matches(text: Canonical, index: Index, neighbours: bool) -> list[tuple]:

@@ -50,6 +50,15 @@ def test_short_items_blocks_and_copies(spark):
     assert _found(spark, texts, []) == [] and _found(spark, []) == []
 
 
+def test_short_items_stand_as_they_are(spark):
+    items = ["Tom has 12 apples", "Tom has", "apples", "Is it - so ?", "Tom has 12 apples", "!"]
+    texts = ["He says: Tom has 12 apples now. Tom has 12 apples", "Tom has 13 apples", "tom has 12 apples", "Tom has 12", "x Is it - so ? y", "apples !", "Tom", "has 12 apples"]
+    rows = _found(spark, texts, items)
+    assert {(r.doc_id, r.item_id) for r in rows} == {(0, 0), (0, 1), (0, 4), (1, 1), (3, 1), (4, 3)}
+    place = {(r.doc_id, r.item_id): (r.start_word, r.matched_words, r.item_words) for r in rows}
+    assert place[0, 0] == (2, 4, 4) and place[4, 3] == (1, 3, 3)
+
+
 def test_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     plain = lambda x: " ".join(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
