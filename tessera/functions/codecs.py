@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,21 +29,38 @@ def unpack_signs(words: Column, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.getbit(words[F.floor(i / WORD).cast("int")], i % WORD).cast("int"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def through_half(v: pd.Series) -> pd.Series:
+def _offsets(v: pa.Array) -> np.ndarray:
+    """Where each list starts and the last one stops; a null list is as long as its slot."""
+    return v.offsets.to_numpy().astype(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def through_half(v: pa.Array) -> pa.Array:
     """Components as they are after storage in half precision."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype(np.float16).astype(np.float32))
+    flat = v.values.cast(pa.float32())
+    half = flat.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
+    return pa.ListArray.from_arrays(v.offsets, pa.array(half, mask=np.asarray(flat.is_null())), mask=v.is_null())
 
 
-@F.pandas_udf(T.BinaryType())
-def encode_half(v: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def encode_half(v: pa.Array) -> pa.Array:
     """Two bytes per component, little-endian."""
-    return v.map(lambda x: None if x is None else np.asarray(x, np.float32).astype("<f2").tobytes())
+    data = v.values.cast(pa.float32()).to_numpy(zero_copy_only=False).astype("<f2").tobytes()
+    return _binary(data, 2 * _offsets(v), v)
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def decode_half(b: pa.Array) -> pa.Array:
+    b = b.cast(pa.large_binary())
+    offsets = np.frombuffer(b.buffers()[1], np.int64)[b.offset : b.offset + len(b) + 1]
+    values = np.frombuffer(b.buffers()[2] or b"", "<f2", (offsets[-1] - offsets[0]) // 2, offsets[0]).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(((offsets - offsets[0]) // 2).astype(np.int32)), pa.array(values), mask=b.is_null())
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def decode_half(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype(np.float32))
+def _binary(data: bytes, offsets: np.ndarray, like: pa.Array) -> pa.Array:
+    """Slices of one buffer as a binary column, null where ``like`` is."""
+    bits = np.packbits(~np.asarray(like.is_null()), bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.large_binary(), len(like), [pa.py_buffer(bits), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def residual(v: Column, centroid: Column) -> Column:

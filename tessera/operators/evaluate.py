@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays
+
 # Upper bounds of the latency buckets in milliseconds; slower ones count in the last.
 BUCKETS_MS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0)
 
@@ -37,19 +44,70 @@ def histogram_percentile(counts: DataFrame, p: float, edges: tuple[float, ...] =
     return running.where(F.col("upto") >= F.ceil(F.col("total") * p)).orderBy("bucket").limit(1).select(middle.alias("value"))
 
 
+#: Values that are put in order in one task; cuts of a pass over more.
+SMALL, CUTS = 10_000, 63
+
+
+def nearest_rank(values: DataFrame, column: str, p: float, n: int | None = None, small: int = SMALL) -> float | None:
+    """The exact value of rank ceil(p n) among those that are not null.
+
+    Each pass cuts the values between two bounds into about 64 equal shares and
+    counts what lies below and at each cut; the rank is then a cut, or lies
+    between two of them.  What is left is ordered when it is small, so no task
+    ever holds all values.
+    """
+    x = F.col("x")
+    rows = values.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    m = rows.count() if n is None else n
+    if not m:
+        return None
+    rank = min(m, max(1, math.ceil(p * m)))
+    while m > small:
+        cuts = sorted(set(rows.select(F.percentile_approx("x", [i / (CUTS + 1) for i in range(1, CUTS + 1)], 1000)).first()[0]))
+        counts = rows.agg(*[F.count_if(x < c) for c in cuts], *[F.count_if(x <= c) for c in cuts]).first()
+        below, upto = counts[: len(cuts)], counts[len(cuts) :]
+        for c, a, b in zip(cuts, below, upto, strict=True):
+            if a < rank <= b:
+                return c
+        after = sum(b < rank for b in upto)  # cuts that lie below
+        if after < len(cuts):
+            rows, m = rows.where(x < cuts[after]), below[after]
+        if after:
+            rows, m, rank = rows.where(x > cuts[after - 1]), m - upto[after - 1], rank - upto[after - 1]
+    return rows.orderBy("x").limit(rank).agg(F.max("x")).first()[0]
+
+
 def summary(values: DataFrame, column: str, percentiles: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """One row: n, mean, population deviation, extremes and nearest-rank percentiles."""
     x = F.col(column)
-    ranked = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").alias(f"p{round(100 * p)}") for p in percentiles]
-    return values.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max"), *ranked)
+    n = values.where(x.isNotNull()).count()
+    ranked = [F.lit(nearest_rank(values, column, p, n)).cast("double").alias(f"p{round(100 * p)}") for p in percentiles]
+    return values.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max")).select("*", *ranked)
+
+
+def _undominated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frontier of a task's points, larger being better in both columns."""
+    kept = None
+    for batch in batches:
+        both = batch if kept is None else pa.concat_batches([kept, batch])
+        a, b = (both.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        order = np.lexsort((-b, -a))
+        best = np.maximum.accumulate(b[order])
+        new = np.ones(len(order), bool)
+        new[1:] = b[order][1:] > best[:-1]
+        kept = both.take(pa.array(order[new]))
+    if kept is not None:
+        yield kept
 
 
 def pareto(points: DataFrame, a: str, b: str) -> DataFrame:
     """Points that no other beats in one of two measures without losing in the other, best ``a`` first.
 
-    The points are grouped by ``a`` first, and only their maxima are ordered.
+    Tasks keep the frontiers of their own points, then a few tasks those of
+    these; the last comparison sees what is left.
     """
-    best = points.groupBy(a).agg(F.max(b).alias("__best"))
-    above = F.max("__best").over(Window.orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1))
-    kept = best.withColumn("__above", above).where("__above IS NULL OR __best > __above")
-    return points.join(kept.select(F.col(a), F.col("__best").alias(b)), [a, b], "left_semi").orderBy(F.desc(a), F.desc(b))
+    both = points.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    left = both.mapInArrow(_undominated, both.schema).repartition(arrays.FAN).mapInArrow(_undominated, both.schema)
+    above = F.max(b).over(Window.orderBy(F.desc(a), F.desc(b)).rowsBetween(Window.unboundedPreceding, -1))
+    kept = left.withColumn("__above", above).where(F.col("__above").isNull() | (F.col(b) > F.col("__above"))).select(a, b)
+    return points.join(kept, [a, b], "left_semi").orderBy(F.desc(a), F.desc(b))

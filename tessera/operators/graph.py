@@ -8,16 +8,23 @@ few joins on node ids, checkpointed.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import ConstructionFailed
+from tessera.functions import arrays
 from tessera.functions import distance as D
-from tessera.operators import search
+from tessera.operators import search, shard_graphs
 from tessera.plans.materialize import materialized
+from tessera.sources.nodes import NodeStore
+
+
+#: Rows that are ordered by hash in one group.
+RING = 4096
 
 
 def top_degree(edges: DataFrame, degree: int, by: str = "src") -> DataFrame:
@@ -32,9 +39,9 @@ def with_slots(edges: DataFrame) -> DataFrame:
 
 
 def exact_graph(corpus: DataFrame, degree: int, metric: str = D.COSINE) -> DataFrame:
-    """Each vector's nearest others; the corpus is its own query set, in blocks."""
+    """Each vector's nearest others, by a join of blocks of the corpus with each other."""
     queries = corpus.select(F.col("id").alias("query_id"), "embedding")
-    near = search.knn(queries, corpus, degree, metric, exclude_self=True)
+    near = search.knn_join(queries, corpus, degree, metric, exclude_self=True)
     return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("dist"))
 
 
@@ -52,8 +59,9 @@ def _measured(candidates: DataFrame, corpus: DataFrame, metric: str) -> DataFram
 def _random_graph(corpus: DataFrame, degree: int, metric: str, seed: int) -> DataFrame:
     """Edges between neighbours of several hashed orders: every node gets at least ``degree`` distinct ones."""
     rings = []
+    buckets = max(1, -(-corpus.count() // RING))
     for r in range(max(2, math.ceil(degree / 4))):
-        bucket = F.pmod(F.xxhash64("id", F.lit(seed + 7919 * r)), F.lit(max(1, corpus.sparkSession.sparkContext.defaultParallelism)))
+        bucket = F.pmod(F.xxhash64("id", F.lit(seed + 7919 * r)), F.lit(buckets))
         order = Window.partitionBy(bucket).orderBy(F.xxhash64("id", F.lit(seed + r)), "id")
         around = F.array(*[step("id", k).over(order) for k in (1, 2) for step in (F.lead, F.lag)])
         rings.append(corpus.select(F.col("id").alias("src"), around.alias("n")).select("src", F.explode("n").alias("dst")))
@@ -97,58 +105,107 @@ def entry_point(edges: DataFrame, degree: int) -> DataFrame:
 def prune(edges: DataFrame, corpus: DataFrame, metric: str = D.COSINE) -> DataFrame:
     """Drops an edge if an edge kept before it leads closer to its target than the source is.
 
-    The rule is greedy in order of distance, within one source; a source has at
-    most ``degree`` edges, so a group is small.
+    The rule is greedy in order of distance, within one source.  A source's
+    edges, ``degree`` at most, become one row of arrays by a map-side combined
+    collection; a task then applies the rule to whole batches of sources at
+    once, slot after slot.
     """
-    full = edges.join(corpus.select(F.col("id").alias("dst"), F.col("embedding").alias("__v")), "dst").select("src", "dst", "dist", "__v")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dist", "dst"])
-        vectors = np.array(pdf["__v"].tolist(), np.float64)
-        between = search.scores(metric, vectors, vectors)
-        dist, kept = pdf["dist"].to_numpy(), []
-        for i in range(len(pdf)):
-            if not any(between[i, j] < dist[i] for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept][["src", "dst", "dist"]]
-
+    full = edges.join(corpus.select(F.col("id").alias("dst"), F.col("embedding").alias("__v")), "dst")
+    rows = full.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "__v"))).alias("e"))
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
-    return full.groupBy("src").applyInPandas(keep, f"src {kinds['src']}, dst {kinds['dst']}, dist double")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                column = part.column("e")
+                first = column.offsets.to_numpy().astype(np.int64)
+                inner = column.values.slice(first[0], first[-1] - first[0])
+                first = first - first[0]
+                dist, x = inner.field("dist").to_numpy(), arrays.matrix(inner.field("__v"))
+                kept = _greedy(dist, x, first, metric)
+                source = np.searchsorted(first, kept, side="right") - 1
+                yield pa.record_batch([part.column("src").take(pa.array(source)), inner.field("dst").take(pa.array(kept)), pa.array(dist[kept])], names=["src", "dst", "dist"])
+
+    return rows.mapInArrow(keep, f"src {kinds['src']}, dst {kinds['dst']}, dist double")
+
+
+def _greedy(dist: np.ndarray, x: np.ndarray, first: np.ndarray, metric: str) -> np.ndarray:
+    """Edges that stay, of sources whose edges stand from ``first`` on in order of distance."""
+    size = np.diff(first)
+    width = int(size.max(initial=0))
+    if not width:
+        return np.zeros(0, np.int64)
+    at = np.minimum(first[:-1, None] + np.arange(width), len(dist) - 1)
+    there = np.arange(width) < size[:, None]
+    kept = np.zeros(at.shape, bool)
+    for slot in range(width):
+        nearer = np.zeros(len(at), bool)
+        if slot:
+            between = shard_graphs.distances(metric, x[at[:, slot]], x[at[:, :slot]])
+            nearer = ((between < dist[at[:, slot]][:, None]) & kept[:, :slot]).any(axis=1)
+        kept[:, slot] = there[:, slot] & ~nearer
+    return at[kept]
 
 
 def beam_search(queries: DataFrame, edges: DataFrame, corpus: DataFrame, k: int, ef: int = 64, metric: str = D.COSINE, entry: DataFrame | None = None, width: int = 32, allowed: DataFrame | None = None) -> DataFrame:
-    """Best-first walk of all queries at once.
-
-    Each query keeps its ``ef`` best nodes; a round expands the ``width`` best
-    not yet expanded.  It ends when no query has one left, as then none among
-    its best can lead to a closer node it has not seen; every node is expanded
-    once by a query at most, so it ends.  entry: (src) for all queries, or
-    (query_id, src).  allowed: ids that may be found; the others are walked
-    through, and every query keeps its ``ef`` best of either kind.
+    """Best-first walk of all queries at once, over a node store made for it.
+
+    entry: (src) for all queries, or (query_id, src).  allowed: ids that may be
+    found; the others are walked through.
+    """
+    rows = corpus.select("id", "embedding")
+    if allowed is not None:
+        rows = rows.join(allowed.select("id", F.lit(True).alias("ok")), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    starts = entry_point(edges, 1) if entry is None else entry
+    nodes = NodeStore.create(rows, edges)
+    try:
+        return walk(queries, nodes, k, ef, metric, starts, width, F.col("ok") if allowed is not None else None)
+    finally:
+        nodes.drop(files=True)
+
+
+def walk(queries: DataFrame, nodes: NodeStore, k: int, ef: int = 64, metric: str = D.COSINE, entry: DataFrame | None = None, width: int = 32, keep: Column | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """Best-first walk of all queries at once along the edges of a node store.
+
+    Each query keeps its ``ef`` best nodes, with their neighbours; a round
+    expands the ``width`` best not yet expanded.  It ends when no query has one
+    left, as then none among its best can lead to a closer node it has not seen;
+    every node is expanded once by a query at most, so it ends.  A round joins
+    the nodes found with the store, which stays in its buckets: what moves are
+    the candidates, and back to their query.  Nodes that fail ``keep`` or are
+    deleted are walked through, and every query keeps its ``ef`` best of either
+    kind.
     """
     ef = max(ef, k)
     q = queries.select("query_id", F.col("embedding").alias("__q"))
-    v = corpus.select("id", F.col("embedding").alias("__v"))
-    v = v.withColumn("ok", F.lit(True)) if allowed is None else v.join(allowed.select("id", F.lit(True).alias("ok")), "id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    score = lambda pairs: pairs.join(q, "query_id").join(v, "id").select("query_id", "id", D.distance(metric, F.col("__q"), F.col("__v")).alias("score"), "ok", F.lit(False).alias("done"))
-    if entry is None or "query_id" not in entry.columns:
-        starts = (entry_point(edges, 1) if entry is None else entry).select(F.col("src").alias("id")).limit(ef)  # a beam holds no more
-        first = q.select("query_id").crossJoin(F.broadcast(starts))
+    q = F.broadcast(q) if q.limit(search.QUERY_BLOCK + 1).count() <= search.QUERY_BLOCK else q
+    ok = F.lit(True) if keep is None else keep
+
+    def score(candidates: DataFrame) -> DataFrame:
+        found = nodes.joined(candidates).withColumn("ok", ok)
+        if deleted is not None:
+            gone = deleted.select("id", F.lit(True).alias("__gone")).distinct()
+            found = found.join(gone, "id", "left").withColumn("ok", F.col("ok") & F.col("__gone").isNull())
+        return found.join(q, "query_id").select("query_id", "id", D.distance(metric, F.col("__q"), F.col("embedding")).alias("score"), "ok", F.lit(False).alias("done"), "neighbours")
+
+    starts = nodes.rows().select(F.col("id").alias("src")).orderBy("id").limit(1) if entry is None else entry
+    if "query_id" in starts.columns:
+        first = starts.select("query_id", F.col("src").alias("id")).distinct()
     else:
-        first = entry.select("query_id", F.col("src").alias("id")).distinct()
-    pool = materialized(score(first))
-    order = Window.partitionBy("query_id").orderBy("score", "id")
+        first = queries.select("query_id").crossJoin(F.broadcast(starts.select(F.col("src").alias("id")).limit(ef)))  # a beam holds no more
     kept = Window.partitionBy("query_id", "ok").orderBy("score", "id")
-    while True:
-        open_ = pool.where("NOT done").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= width)
-        open_ = materialized(open_.select("query_id", F.col("id").alias("src")))
-        if open_.isEmpty():
-            break
-        seen = pool.select("query_id", "id")
-        near = open_.join(edges.select("src", F.col("dst").alias("id")), "src").select("query_id", "id").distinct().join(seen, ["query_id", "id"], "left_anti")
-        closed = pool.join(open_.select("query_id", F.col("src").alias("id"), F.lit(True).alias("__now")), ["query_id", "id"], "left").select("query_id", "id", "score", "ok", (F.col("done") | F.coalesce("__now", F.lit(False))).alias("done"))
-        grown = closed.unionByName(score(near))
-        pool = materialized(grown.withColumn("__r", F.row_number().over(kept)).where(F.col("__r") <= ef).drop("__r"))
+    turn = Window.partitionBy("query_id").orderBy("done", "score", "id")
+
+    def opened(grown: DataFrame) -> DataFrame:
+        """The best of both kinds, and which of them are expanded next."""
+        best = grown.withColumn("__r", F.row_number().over(kept)).where(F.col("__r") <= ef).drop("__r")
+        return materialized(best.withColumn("open", (F.row_number().over(turn) <= width) & ~F.col("done")))
+
+    pool = opened(score(first))
+    while not (open_ := pool.where("open")).isEmpty():
+        near = open_.select("query_id", F.explode("neighbours").alias("id")).distinct().join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        closed = pool.withColumn("done", F.col("done") | F.col("open")).drop("open")
+        pool = opened(closed.unionByName(score(near)))
     return search.best(pool.where("ok").select("query_id", "id", "score"), k)
 
 
@@ -158,18 +215,42 @@ def levels(corpus: DataFrame, max_layers: int = 6, seed: int = 42) -> DataFrame:
     return corpus.select("id", F.least(F.lit(max_layers), F.floor(-F.log2(uniform)).cast("int")).alias("level"))
 
 
-def skip_layers(corpus: DataFrame, m: int = 8, max_layers: int = 6, metric: str = D.COSINE, seed: int = 42) -> DataFrame:
-    """(layer, src, dst, dist): the m nearest others of each node among those of its layer or higher."""
-    node_levels = levels(corpus, max_layers, seed)
+def skip_layers(corpus: DataFrame, edges: DataFrame, m: int = 8, max_layers: int = 6, metric: str = D.COSINE, seed: int = 42, pool: int | None = None) -> DataFrame:
+    """(layer, src, dst, dist): near others of each node among those of its layer or higher, m at most.
+
+    A layer's candidates come from the layer below (the graph, below the first):
+    neighbours and their neighbours that reach the layer, and a few that follow
+    in a hashed order so that every layer hangs together.  A node has at most
+    ``pool`` candidates, so a layer's work follows its number of nodes.
+    """
+    pool = pool or 8 * m
+    node_levels = materialized(levels(corpus, max_layers, seed))
     top = node_levels.agg(F.max("level")).first()[0] or 0
+    below = edges.select("src", "dst")
     out = None
     for layer in range(1, top + 1):
-        part = corpus.join(node_levels.where(F.col("level") >= layer), "id", "left_semi")
-        edges = exact_graph(part, m, metric).select(F.lit(layer).alias("layer"), "src", "dst", "dist")
-        out = edges if out is None else out.unionByName(edges)
+        members = node_levels.where(F.col("level") >= layer).select("id")
+        part = materialized(corpus.select("id", "embedding").join(members, "id", "left_semi"))
+        n = part.count()
+        if n < 2:
+            break
+        inside = lambda pairs, c: pairs.join(members.withColumnRenamed("id", c), c, "left_semi")
+        one = inside(below, "src").select("src", F.col("dst").alias("via"))
+        both = one.select("src", F.col("via").alias("dst"), F.lit(1).alias("hop")).unionByName(one.join(below.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst", F.lit(2).alias("hop")))
+        near = inside(both, "dst").where("src <> dst").groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+        nearest = Window.partitionBy("src").orderBy("hop", F.xxhash64("src", "dst"))
+        walked = near.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= pool).select("src", "dst")
+        bucket = F.pmod(F.xxhash64("id", F.lit(seed + layer)), F.lit(max(1, -(-n // RING))))
+        ring = Window.partitionBy(bucket).orderBy(F.xxhash64("id", F.lit(seed - layer)), "id")
+        beside = part.select(F.col("id").alias("src"), F.array(F.lead("id", 1).over(ring), F.lag("id", 1).over(ring)).alias("n"))
+        after = beside.select("src", F.explode("n").alias("dst")).where("dst IS NOT NULL")
+        found = _measured(walked.unionByName(after).distinct(), part, metric)
+        layered = materialized(top_degree(found, m).select(F.lit(layer).alias("layer"), "src", "dst", "dist"))
+        below = layered.select("src", "dst").unionByName(layered.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        out = layered if out is None else out.unionByName(layered)
     if out is None:
-        return exact_graph(corpus.limit(0), m, metric).select(F.lit(1).alias("layer"), "src", "dst", "dist")
-    return materialized(out)
+        return corpus.limit(0).select(F.lit(1).alias("layer"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))
+    return out
 
 
 def layered_search(queries: DataFrame, edges: DataFrame, layers: DataFrame, corpus: DataFrame, k: int, ef: int = 64, metric: str = D.COSINE, hops: int = 128) -> DataFrame:
@@ -221,6 +302,50 @@ def insert(edges: DataFrame, corpus: DataFrame, new: DataFrame, degree: int, met
     return top_degree(edges.unionByName(forward).unionByName(reverse(forward)).dropDuplicates(["src", "dst"]), degree)
 
 
+#: Nodes that the walk of an insertion keeps, at least.
+WALKED = 96
+#: New neighbours of one old node that are linked with each other, each with so many that follow it.
+FOLLOWING = 4
+
+
+def insert_by_walk(edges: DataFrame, corpus: DataFrame, new: DataFrame, degree: int, metric: str = D.COSINE, ef: int | None = None, nodes: NodeStore | None = None) -> DataFrame:
+    """The graph with a batch of new vectors, each found its place by a walk of the graph.
+
+    A new vector's edges go to the nearest that its walk with ``ef`` nodes
+    (``WALKED``, or four times the degree) meets, so what it costs does not follow the size of the
+    graph.  New vectors that share an old neighbour stand in line there by
+    distance, and each looks at a few that follow.  Back edges take the place of
+    a node's farthest where they are nearer; a new node to which no edge leads
+    takes the place of the farthest edge of its nearest old node, so all can be
+    reached.
+    """
+    rows = new.select("id", "embedding")
+    queries = rows.withColumnRenamed("id", "query_id")
+    ef = ef or max(WALKED, 4 * degree)
+    if nodes is None:
+        found = beam_search(queries, edges, corpus, ef, ef, metric)
+    else:
+        found = walk(queries, nodes, ef, ef, metric, entry_point(edges, 1))
+    found = materialized(found.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("dist"), "rank"))
+    line = Window.partitionBy("dst").orderBy("dist", "src")
+    beside = found.where(F.col("rank") <= FOLLOWING).select("src", F.array(*[F.lead("src", i).over(line) for i in range(1, FOLLOWING + 1)]).alias("n"))
+    beside = beside.select("src", F.explode("n").alias("other")).where("other IS NOT NULL AND src <> other").select("src", F.col("other").alias("dst")).distinct()
+    fresh = _measured(beside, rows, metric)
+    fresh = fresh.unionByName(reverse(fresh))
+    forward = top_degree(found.select("src", "dst", "dist").unionByName(fresh).dropDuplicates(["src", "dst"]), degree)
+    linked = materialized(top_degree(edges.select("src", "dst", "dist").unionByName(forward).unionByName(reverse(forward)).dropDuplicates(["src", "dst"]), degree))
+    lost = rows.select(F.col("id").alias("dst")).join(linked.select("dst").distinct(), "dst", "left_anti")
+    # each lost node at the nearest old node of its walk; a node that gets several gives up as many edges
+    host = found.groupBy("src").agg(F.min_by(F.struct("dst", "dist"), F.col("rank")).alias("h")).select(F.col("src").alias("dst"), F.col("h.dst").alias("src"), F.col("h.dist").alias("dist"))
+    forced = materialized(host.join(lost, "dst").select("src", "dst", "dist"))
+    if forced.isEmpty():
+        return linked
+    taken = forced.groupBy("src").agg(F.count("*").alias("n"))
+    near = Window.partitionBy("src").orderBy("dist", "dst")
+    ranked = linked.withColumn("__r", F.row_number().over(near)).join(taken, "src", "left")
+    return ranked.where(F.col("__r") <= F.greatest(F.lit(degree) - F.coalesce("n", F.lit(0)), F.lit(1))).select("src", "dst", "dist").unionByName(forced)
+
+
 def repair(edges: DataFrame, corpus: DataFrame, recent: DataFrame, degree: int, metric: str = D.COSINE, depth: int = 2, rounds: int = 5, tolerance: float = 0.02) -> tuple[DataFrame, int]:
     """Improves the graph around recent ids; returns it and the number of new edges.
 

@@ -13,17 +13,20 @@ default for k nearest neighbours, ``expr`` is a pure expression plan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import DimensionMismatch, SearchFailed
+from tessera.functions import arrays
 from tessera.functions import distance as D
 from tessera.operators.filters import EVERYTHING, Filter
 from tessera.plans.materialize import materialized
@@ -166,6 +169,71 @@ def knn(
     return reduce(DataFrame.unionByName, found)
 
 
+#: Rows, and queries, of a cell of a join of blocks: 16384 x 1024 doubles are 128 MB.
+CELL = 16_384
+
+
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, metric: str = D.COSINE, exclude_self: bool = False, cell: int = CELL) -> DataFrame:
+    """The k nearest rows of each query, where queries are as many as rows.
+
+    Both sides are dealt by hash into g blocks, and every two blocks meet in a
+    cell: a task that multiplies them and keeps the k best of each query.  g
+    follows from the numbers of rows, so a cell is of bounded size, and a row
+    travels g times; only the k best of g cells for each query travel on.
+    Nothing goes through the driver, and nothing is broadcast.
+    """
+    if metric not in D.METRICS:
+        raise SearchFailed(f"unknown metric {metric!r}")
+    schema = T.StructType([f for f in result_schema(queries, corpus) if f.name != "rank"])
+    if k <= 0:
+        return corpus.sparkSession.createDataFrame([], result_schema(queries, corpus))
+    n, m = corpus.count(), queries.count()
+    tasks = corpus.sparkSession.sparkContext.defaultParallelism
+    g = max(1, -(-max(n, m) // cell), min(math.isqrt(2 * tasks), -(-max(n, m) // 256)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(g)).cast("int")
+    left = queries.select("query_id", "embedding", block("query_id").alias("q"), each.alias("r"))
+    right = corpus.select("id", "embedding", block("id").alias("r"), each.alias("q"))
+
+    def meet(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        empty = not asking.num_rows or not rows.num_rows
+        x, q = arrays.matrix(rows.column("embedding")), arrays.matrix(asking.column("embedding"))
+        ids, names = rows.column("id"), asking.column("query_id")
+        # ties go to the smaller id: rows in the order of their ids, and a stable choice
+        order = np.argsort(ids.to_numpy(), kind="stable")
+        keys, own = ids.to_numpy()[order], names.to_numpy()
+        x, found = x[order] if len(order) else x, []
+        for i in range(0, 0 if empty else len(q), 1024):
+            d = scores(metric, q[i : i + 1024], x)
+            if exclude_self:
+                at = np.minimum(np.searchsorted(keys, own[i : i + 1024]), len(keys) - 1)
+                me = np.flatnonzero(keys[at] == own[i : i + 1024])
+                d[me, at[me]] = np.inf
+            near = _first(d, k)
+            far = np.take_along_axis(d, near, 1)
+            row, column = np.nonzero(np.isfinite(far))
+            found.append((i + row, order[near[row, column]], far[row, column]))
+        who, which, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": names.take(pa.array(who)), "id": ids.take(pa.array(which)), "score": pa.array(far)})
+
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(meet, schema)
+    return best(found, k)
+
+
+def _first(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least of each row, of equals the first ones."""
+    k = min(k, d.shape[1])
+    if k == d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    below = d < limit
+    spare = k - below.sum(axis=1, keepdims=True)
+    equal = d == limit
+    chosen = below | equal & (np.cumsum(equal, axis=1) <= spare)
+    at = np.nonzero(chosen)[1].reshape(len(d), k)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
+
+
 def result_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import distance as D
 from tessera.operators import evaluate, graph, quantize, search
 from tessera.plans.materialize import materialized
-from tessera.sources import vectors
+from tessera.sources import benchmark_files, vectors
 
 
 def timed(queries: DataFrame, run, repeats: int = 3, warmup: int = 1) -> dict[str, float]:
@@ -33,7 +33,8 @@ def timed(queries: DataFrame, run, repeats: int = 3, warmup: int = 1) -> dict[st
 def measure(label: str, queries: DataFrame, truth: DataFrame, run, build_ms: float = 0.0, **options) -> dict:
     """A row of the report."""
     found = materialized(run())
-    return {"label": label, "recall_at_10": float(evaluate.recall(found, truth, 10).first()[0] or 0.0), "build_time_ms": build_ms, **timed(queries, run, **options)}
+    at = {f"recall_at_{n}": float(evaluate.recall(found, truth, n).first()[0] or 0.0) for n in (1, 10, 100)}
+    return {"label": label, **at, "build_time_ms": build_ms, **timed(queries, run, **options)}
 
 
 def _built(make):
@@ -84,7 +85,7 @@ def main(args: list[str] | None = None) -> list[dict]:
     a = p.parse_args(args)
     spark = local_session()
     if a.data:
-        data = vectors.read_benchmark(spark, a.data)
+        data = benchmark_files.read_benchmark(spark, a.data)
         corpus, queries = data["train"], data["test"].limit(a.queries)
     else:
         corpus = vectors.wave(spark, a.vectors, a.dim)

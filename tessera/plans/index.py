@@ -19,9 +19,10 @@ from tessera.operators import evaluate, graph, search
 from tessera.operators.filters import EVERYTHING, Filter
 from tessera.plans.materialize import materialized
 from tessera.sources import store
+from tessera.sources.nodes import NodeStore
 
 
-#: Inserts after which the rows of all are written as one table.
+#: Changes after which all rows are written as one table.
 FOLD = 20
 
 
@@ -69,6 +70,7 @@ class ReadOnlyIndex:
     def __init__(self, corpus: DataFrame, config: Configuration, deleted: DataFrame | None = None, edges: DataFrame | None = None, metrics: Metrics | None = None):
         self.corpus, self.config, self.deleted, self.edges, self.metrics = corpus, config, deleted, edges, metrics
         self.spark = corpus.sparkSession
+        self._stored: tuple[tuple[int, int], NodeStore] | None = None
 
     def count(self) -> int:
         return search.live(self.corpus, self.deleted).count()
@@ -104,8 +106,17 @@ class ReadOnlyIndex:
         if self.edges is None:
             raise SearchFailed("the index has no graph")
         self._check(queries)
-        found = graph.beam_search(queries, self.edges, self.corpus.select("id", "embedding"), k, max(self.config.ef_search, k), self._metric(metric), allowed=None if self.deleted is None and where.trivial else search.live(self.corpus, self.deleted, where).select("id"))
-        return search.best(found.select("query_id", "id", "score"), k)
+        keep = None if where.trivial else where.column
+        return graph.walk(queries, self._nodes(), k, max(self.config.ef_search, k), self._metric(metric), graph.entry_point(self.edges, 1), keep=keep, deleted=self.deleted)
+
+    def _nodes(self) -> NodeStore:
+        """The node store of corpus and edges, written again only when these have changed."""
+        made_of = (id(self.corpus), id(self.edges))
+        if self._stored is None or self._stored[0] != made_of:
+            if self._stored is not None:
+                self._stored[1].drop(files=True)
+            self._stored = (made_of, NodeStore.create(self.corpus, self.edges))
+        return self._stored[1]
 
     def range_search(self, queries: DataFrame, max_distance: float, limit: int = 1000, where: Filter = EVERYTHING, metric: str | None = None) -> DataFrame:
         self._check(queries)
@@ -135,7 +146,7 @@ class Index(ReadOnlyIndex):
 
     def __init__(self, corpus: DataFrame, config: Configuration, deleted: DataFrame | None = None, edges: DataFrame | None = None, metrics: Metrics | None = None):
         super().__init__(corpus, config, deleted, edges, metrics)
-        self._inserts = 0
+        self._changes = 0
         self._unrepaired: DataFrame | None = None
 
     def insert(self, rows: DataFrame) -> None:
@@ -147,11 +158,8 @@ class Index(ReadOnlyIndex):
             raise IdAlreadyExists(f"{clash[0]!r} is stored")
         rows = materialized(_coded(rows, self.config))
         if self.edges is not None:
-            self.edges = materialized(graph.insert(self.edges, self.corpus, rows, self.config.degree, self.config.metric))
-        self.corpus = self.corpus.unionByName(rows, allowMissingColumns=True)  # the new rows alone are written
-        self._inserts += 1
-        if self._inserts % FOLD == 0:
-            self.corpus = materialized(self.corpus)
+            self.edges = materialized(graph.insert_by_walk(self.edges, self.corpus, rows, self.config.degree, self.config.metric, nodes=self._nodes()))
+        self._changed(self.corpus.unionByName(rows, allowMissingColumns=True))
         if self.metrics:
             self.metrics.inserts += rows.count()
         if self.edges is not None and self.config.repair_interval > 0:
@@ -168,9 +176,9 @@ class Index(ReadOnlyIndex):
         self.deleted = materialized((new if self.deleted is None else self.deleted.union(new)).distinct())
         plain = [c for c in self.corpus.columns if c not in ("id", "embedding")]
         if plain:
-            hidden = new.distinct().withColumn("__gone", F.lit(True))
+            hidden = materialized(new.distinct()).withColumn("__gone", F.lit(True))
             joined = self.corpus.join(hidden, "id", "left")
-            self.corpus = materialized(joined.select("id", "embedding", *[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) for c in plain]))
+            self._changed(joined.select("id", "embedding", *[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) for c in plain]))
 
     def undelete(self, ids: DataFrame) -> None:
         if self.deleted is not None:
@@ -183,9 +191,19 @@ class Index(ReadOnlyIndex):
         if not values.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             raise IdAlreadyExists("an id occurs twice in the values")
         new = [c for c in values.columns if c != "id"]
+        values = materialized(values)
         joined = self.corpus.join(values.select("id", *[F.col(c).alias(f"__{c}") for c in new]), "id", "left")
         merged = [F.coalesce(F.col(f"__{c}"), F.col(c)).alias(c) if c in self.corpus.columns else F.col(f"__{c}").alias(c) for c in new]
-        self.corpus = materialized(joined.select(*[c for c in self.corpus.columns if c not in new], *merged))
+        self._changed(joined.select(*[c for c in self.corpus.columns if c not in new], *merged))
+
+    def _changed(self, corpus: DataFrame) -> None:
+        """The corpus with a change laid over it: only the rows of the change were written.
+
+        Every ``FOLD`` changes all is written as one table, so that what a
+        search reads stays a few tables.
+        """
+        self._changes += 1
+        self.corpus = corpus if self._changes % FOLD else materialized(corpus)
 
     def repair(self, recent: DataFrame) -> int:
         if self.edges is None:

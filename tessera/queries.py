@@ -13,8 +13,9 @@ from tessera.functions import distance as D
 from tessera.operators import cluster, evaluate, filters, graph, quantize, search
 from tessera.operators.filters import Field, Filter
 from tessera.plans.index import Configuration, Index, Metrics, UnbuiltIndex
-from tessera.plans.materialize import checkpoint_folder
-from tessera.sources import vectors
+from tessera.plans.materialize import checkpoint_folder, materialized
+from tessera.sources import benchmark_files, vectors
+from tessera.sources.nodes import NodeStore
 from tessera.streaming import index as streaming
 
 #: The stated query set of the registered searches: every so manieth vector, against all.
@@ -369,10 +370,16 @@ def cell_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ivfpq_trained(spark: SparkSession, sf: str) -> DataFrame:
-    """A trained index with exact scores of its candidates; recall by test and benchmark."""
+    """A trained index, a quarter of its cells probed, with exact scores of its candidates; recall by test and benchmark."""
     corpus, queries = _corpus(spark, sf), _queries(spark, sf)
-    index = quantize.IvfPq.train(corpus, 16, 8, 5, codes=256).add(corpus)
-    return _rounded(quantize.reranked(index.search(queries, 100, 8), queries, corpus, K))
+    index = quantize.IvfPq.train(corpus, 16, 64, 8, copies=3).add(corpus)
+    return _rounded(quantize.reranked(index.search(queries, 5 * K, 16), queries, corpus, K))
+
+
+def shard_graph_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Walks of the graphs of half the shards; recall by test and benchmark."""
+    index = cluster.ShardedIndex.build(_corpus(spark, sf), 8, 8, D.L2, copies=2, degree=16)
+    return _rounded(index.search(_queries(spark, sf), K, 4))
 
 
 _BOOK = f"(SELECT m AS subspace, CAST(id AS INTEGER) AS code, e[m * {_SIZE} + 1 : m * {_SIZE} + {_SIZE}] AS centroid FROM {_E}, (SELECT CAST(unnest(range({_SUBSPACES})) AS INTEGER) AS m) WHERE id < {_CODES})"
@@ -446,7 +453,29 @@ def beam_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def hnsw_search(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _corpus(spark, sf)
-    return _rounded(graph.layered_search(_queries(spark, sf), _both_ways(corpus), graph.skip_layers(corpus, 8, 3), corpus, K, 64))
+    edges = materialized(_both_ways(corpus))
+    return _rounded(graph.layered_search(_queries(spark, sf), edges, graph.skip_layers(corpus, edges, 8, 3), corpus, K, 64))
+
+
+def knn_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours of every vector, by a join of blocks."""
+    return _rounded(search.knn_join(_corpus(spark, sf).withColumnRenamed("id", "query_id"), _corpus(spark, sf), K, D.L2, exclude_self=True))
+
+
+def node_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of every fiftieth node, joined with the stored nodes in their buckets."""
+    corpus, folder = _corpus(spark, sf), _folder(spark, "nodes")
+    NodeStore.create(corpus, graph.exact_graph(corpus, _DEGREE), folder)
+    found = NodeStore.open(spark, folder).joined(_queries(spark, sf).select(F.col("query_id").alias("id")))
+    return found.select(F.col("id").alias("src"), F.explode("neighbours").alias("dst"))
+
+
+def node_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored vectors by their ids, from memory once they were read."""
+    corpus = _corpus(spark, sf)
+    ids = [r.query_id for r in _queries(spark, sf).select("query_id").collect()]  # the stated query set
+    nodes = NodeStore.create(corpus)
+    return nodes.fetch(ids).select("id", F.round(D.norm(F.col("embedding")), 6).alias("length"))
 
 
 def graph_insert(spark: SparkSession, sf: str) -> DataFrame:
@@ -456,6 +485,15 @@ def graph_insert(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(graph.insert(graph.exact_graph(old, 3), old, new, 3), "dist")
 
 
+def graph_insert_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """A fifth of the vectors finds its place in the graph of the others by walks; recall and reach by test."""
+    corpus = _corpus(spark, sf)
+    old, new = corpus.where("id % 5 <> 0"), corpus.where("id % 5 = 0")
+    edges = graph.exact_graph(old, 16)
+    edges = materialized(graph.top_degree(edges.unionByName(graph.reverse(edges)).dropDuplicates(["src", "dst"]), 24))
+    return _rounded(graph.insert_by_walk(edges, old, new, 24), "dist")
+
+
 def graph_compact(spark: SparkSession, sf: str) -> DataFrame:
     """The graph without deleted nodes: those that pointed to them are linked anew."""
     corpus = _corpus(spark, sf)
@@ -594,11 +632,13 @@ def index_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark_file(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours written to a benchmark file and read from it."""
+    """Vectors, queries and neighbours written to a benchmark file and read from it: kind, row, place, value."""
     corpus, queries, path = _corpus(spark, sf), _queries(spark, sf), _folder(spark, "benchmark")
-    vectors.write_benchmark(path, corpus, queries, search.knn(queries, corpus, K, D.L2), D.L2)
-    back = vectors.read_benchmark(spark, path)
-    return back["truth"].select((F.col("query_id") * EVERY).alias("query_id"), "id", "rank")
+    benchmark_files.write_benchmark(path, corpus, queries, search.knn(queries, corpus, K, D.L2), D.L2)
+    back = benchmark_files.read_benchmark(spark, path, 1 << 16)
+    parts = [back["train"].select(F.lit("train").alias("kind"), F.col("id").alias("row"), F.posexplode("embedding").alias("place", "value")), back["test"].select(F.lit("test").alias("kind"), F.col("query_id").alias("row"), F.posexplode("embedding").alias("place", "value"))]
+    truth = back["truth"].select(F.lit("truth").alias("kind"), F.col("query_id").alias("row"), (F.col("rank") - 1).alias("place"), F.col("id").cast("double").alias("value"))
+    return parts[0].unionByName(parts[1]).withColumn("value", F.round(F.col("value").cast("double"), 6)).unionByName(truth)
 
 
 def compact_live(spark: SparkSession, sf: str) -> DataFrame:
@@ -674,9 +714,9 @@ def queries() -> dict:
     plain = [
         knn_metric_override, knn_half, knn_string_ids, knn_post_filter, knn_soft_delete, knn_zero_vector, nearest_one, range_l2, range_cosine_limit, range_inner_product, distances_all, sql_functions,
         binary_pack, binary_unpack, hamming_pairs, f16_roundtrip,
-        lloyd_assign, lloyd_centroids, shard_sizes, shard_search_nprobe, shard_batch_search, shards_stored, shard_singleton_fold, kmeans_seeded,
+        lloyd_assign, lloyd_centroids, shard_sizes, shard_search_nprobe, shard_batch_search, shards_stored, shard_singleton_fold, shard_graph_search, kmeans_seeded,
         residuals, pq_encode_fixed_codebook, pq_reconstruct, adc_scan, ivfpq_search_fixed, ivfpq_stored, cell_distances, ivfpq_trained,
-        knn_graph, reverse_edges, entry_point, graph_diversity, graph_prune, bfs_neighbourhood, nn_descent, beam_search, hnsw_search, graph_insert, graph_compact, graph_repair,
+        knn_all, node_neighbours, node_fetch, knn_graph, reverse_edges, entry_point, graph_diversity, graph_prune, bfs_neighbourhood, nn_descent, beam_search, hnsw_search, graph_insert, graph_insert_walk, graph_compact, graph_repair,
         stream_dedupe_merge, stream_search, stream_merged, stream_range, index_changes, index_filter, index_stored, index_compacted, index_graph, index_metrics, benchmark_file,
         compact_live, metadata_upsert,
         latency_histogram, latency_percentiles, histogram_percentile, recall_at_k, pareto_frontier, key_numbers, wave_vectors, event_windows,
@@ -727,6 +767,9 @@ def oracle_sql() -> dict[str, str]:
         "ivfpq_search_fixed": _IVF_SQL,
         "ivfpq_stored": _IVF_SQL,
         "cell_distances": f"SELECT query_id, CAST(c.id AS INTEGER) AS cell, round({_dist(D.L2, 'q.e', 'c.e')}, 6) AS distance FROM {_Q} q, {_E} c WHERE c.id < {_CLUSTERS}",
+        "knn_all": _knn_sql(D.L2, queries="(SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings)"),
+        "node_neighbours": f"SELECT src, dst FROM {_EDGES} WHERE src % {EVERY} = 0",
+        "node_fetch": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS length FROM {_E} WHERE id % {EVERY} = 0",
         "knn_graph": f"SELECT src, dst, round(dist, 6) AS dist, CAST(r - 1 AS INTEGER) AS slot FROM {_EDGES}",
         "reverse_edges": f"SELECT dst AS src, count(*) AS n, min(src) AS \"first\" FROM {_EDGES} GROUP BY dst",
         "entry_point": f"SELECT src, round(m, 6) AS mean_dist FROM (SELECT src, sum(dist) / {_DEGREE} AS m FROM {_EDGES} GROUP BY src ORDER BY m, src LIMIT 1)",
@@ -749,7 +792,10 @@ def oracle_sql() -> dict[str, str]:
         "index_compacted": f"SELECT id, CASE WHEN id % 4 <> 0 THEN lang END AS lang, CASE WHEN id % 4 <> 0 THEN n_chars END AS n_chars FROM {_META} WHERE {_THERE} OR id % 40 = 4",
         "index_metrics": f"""SELECT 'index' AS kind, count(*) FILTER (vec_id % 3 = 0) AS insert_count, count(*) FILTER (vec_id % {EVERY} = 0) AS search_count, CAST(1 AS BIGINT) AS batch_search_count, CAST(0 AS BIGINT) AS merge_count, true AS timed FROM embeddings
             UNION ALL SELECT 'stream', count(*), 0, 0, 1, true FROM embeddings""",
-        "benchmark_file": f"SELECT query_id, id, rank FROM ({_knn_sql(D.L2, where='true')})",
+        "benchmark_file": f"""WITH v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n, embedding FROM embeddings), q AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n, embedding FROM embeddings WHERE vec_id % {EVERY} = 0)
+            SELECT 'train' AS kind, n AS "row", CAST(place AS INTEGER) AS place, round(CAST(x AS DOUBLE), 6) AS value FROM (SELECT n, unnest(embedding) AS x, unnest(range(64)) AS place FROM v)
+            UNION ALL SELECT 'test', n, CAST(place AS INTEGER), round(CAST(x AS DOUBLE), 6) FROM (SELECT n, unnest(embedding) AS x, unnest(range(64)) AS place FROM q)
+            UNION ALL SELECT 'truth', q.n, t.rank - 1, CAST(t.id AS DOUBLE) FROM ({_knn_sql(D.L2, where='true')}) t JOIN q ON q.vec_id = t.query_id""",
         "compact_live": f"SELECT id, round(sqrt(list_dot_product(e, e)), 6) AS length FROM {alive}",
         "metadata_upsert": f"SELECT id, coalesce(CAST(quality AS BIGINT), n_chars) AS value FROM {_META}",
         "latency_histogram": _HISTOGRAM_SQL,

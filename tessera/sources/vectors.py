@@ -1,22 +1,10 @@
-"""Sources and sinks of vectors: tables, generated data and benchmark files."""
+"""Sources and sinks of vectors: tables, generated data and reports."""
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import CorruptIndex
-from tessera.sources import store
-
-# Fixed values of the benchmark file: magic, version and metric codes; the header
-# has version, train and test counts, dimension, neighbours, metric and three reserved numbers.
-MAGIC, VERSION = b"ANNB", 1
-METRIC_CODES = ("cosine", "l2", "inner_product", "hamming")
-_HEADER = struct.Struct("<4s9I")
-
 
 def from_rows(spark: SparkSession, vectors: list[list[float]], ids: list) -> DataFrame:
     """A corpus of vectors in memory."""
@@ -31,47 +19,13 @@ def wave(spark: SparkSession, n: int, dim: int, offset: int = 0, a: float = 0.17
     return spark.range(n).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), component).alias("embedding"))
 
 
-def read_benchmark(spark: SparkSession, path: str) -> dict:
-    """train, test and truth tables and the metric of a benchmark file.
-
-    The file is one block by definition of its format; Spark reads it, and the
-    tables are parallel from then on.
-    """
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    if len(data) < _HEADER.size or data[:4] != MAGIC:
-        raise CorruptIndex("not a benchmark file")
-    _, version, n_train, n_test, dim, k, metric, *_ = _HEADER.unpack_from(data)
-    if version != VERSION or metric >= len(METRIC_CODES) or len(data) < _HEADER.size + 4 * (dim * (n_train + n_test) + n_test * k):
-        raise CorruptIndex("a benchmark file of an unknown version, or cut short")
-    train = np.frombuffer(data, "<f4", n_train * dim, _HEADER.size).reshape(n_train, dim)
-    test = np.frombuffer(data, "<f4", n_test * dim, _HEADER.size + 4 * dim * n_train).reshape(n_test, dim)
-    truth = np.frombuffer(data, "<u4", n_test * k, _HEADER.size + 4 * dim * (n_train + n_test)).reshape(n_test, k)
-    rows = [(q, int(i), r + 1) for q, near in enumerate(truth.tolist()) for r, i in enumerate(near)]
-    return {
-        "train": from_rows(spark, train.tolist(), list(range(n_train))),
-        "test": from_rows(spark, test.tolist(), list(range(n_test))).withColumnRenamed("id", "query_id"),
-        "truth": spark.createDataFrame(rows, "query_id bigint, id bigint, rank int"),
-        "metric": METRIC_CODES[metric],
-    }
-
-
-def write_benchmark(path: str, train: DataFrame, test: DataFrame, truth: DataFrame, metric: str) -> None:
-    """Writes the benchmark file, which one process reads whole; for data of that size only."""
-    t = np.array([r[0] for r in train.orderBy("id").select("embedding").collect()], "<f4")
-    q = np.array([r[0] for r in test.orderBy("query_id").select("embedding").collect()], "<f4")
-    near = [r[0] for r in truth.orderBy("query_id", "rank").select("id").collect()]
-    k = len(near) // max(1, len(q))
-    head = _HEADER.pack(MAGIC, VERSION, len(t), len(q), t.shape[1], k, METRIC_CODES.index(metric), 0, 0, 0)
-    store.write_bytes(train.sparkSession, path, head + t.tobytes() + q.tobytes() + np.array(near, "<u4").tobytes())
-
-
 def key_number(column: str = "id"):
     """The number in keys such as 'v_12'; null if there is none."""
     digits = F.regexp_extract(column, r"([0-9]+)$", 1)
     return F.when(digits != "", digits.cast("bigint"))
 
 
-REPORT_COLUMNS = ["label", "recall_at_10", "qps", "build_time_ms", "p50_ms", "p95_ms", "p99_ms"]
+REPORT_COLUMNS = ["label", "recall_at_1", "recall_at_10", "recall_at_100", "qps", "build_time_ms", "p50_ms", "p95_ms", "p99_ms"]
 
 
 def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:

@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -13,7 +14,7 @@ from tessera.functions import distance as D
 
 SF = "/root/testdata/sf0.001"
 #: Queries whose rows SQL cannot give; tests below hold them against brute force.
-APPROXIMATE = {"ivfpq_trained", "nn_descent", "beam_search", "hnsw_search", "index_graph", "graph_repair", "kmeans_seeded"}
+APPROXIMATE = {"shard_graph_search", "graph_insert_walk", "ivfpq_trained", "nn_descent", "beam_search", "hnsw_search", "index_graph", "graph_repair", "kmeans_seeded"}
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +55,7 @@ def _recall(tables, rows, truth, width=10):
 def test_approximate_searches(spark, tables):
     known = __spark_entry__.queries()
     pairs = lambda name: [(r[0], r[1]) for r in known[name](spark, SF).select("query_id", "id").collect()]
-    for name, metric, where in (("ivfpq_trained", D.L2, "true"), ("beam_search", D.COSINE, "true"), ("hnsw_search", D.COSINE, "true")):
+    for name, metric, where in (("ivfpq_trained", D.L2, "true"), ("shard_graph_search", D.L2, "true"), ("beam_search", D.COSINE, "true"), ("hnsw_search", D.COSINE, "true")):
         rows = pairs(name)
         assert len(rows) == 100 and _recall(tables, rows, core._knn_sql(metric, where=where)) >= 0.9, name
     rows = pairs("index_graph")
@@ -64,6 +65,15 @@ def test_approximate_searches(spark, tables):
     assert len(edges) == 5000 and _recall(tables, map(tuple, edges), core._knn_sql(D.COSINE, queries=everyone)) >= 0.9
 
 
+def test_insertion_by_walks(spark, tables):
+    edges = [tuple(r) for r in __spark_entry__.queries()["graph_insert_walk"](spark, SF).select("src", "dst").collect()]
+    new = {i for (i,) in tables.execute("SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0").fetchall()}
+    near = core._knn_sql(D.COSINE, queries="(SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0)")
+    assert _recall(tables, [e for e in edges if e[0] in new], near) >= 0.9
+    assert new <= {d for _, d in edges} and len(edges) == len(set(edges))
+    assert max(Counter(s for s, _ in edges).values()) <= 24
+
+
 def test_repair_and_seeds(spark, tables):
     known = __spark_entry__.queries()
     edges = [tuple(r) for r in known["graph_repair"](spark, SF).select("src", "dst").collect() if r.src % core.EVERY == 0]

@@ -8,7 +8,7 @@ from tessera.functions import distance as D
 from tessera.operators import search
 from tessera.operators.filters import Field
 from tessera.plans.index import Configuration, Index, Metrics, ReadOnlyIndex, UnbuiltIndex
-from tessera.sources import store, vectors
+from tessera.sources import benchmark_files, store, vectors
 from tessera.streaming.index import StreamingIndex, event_windows
 
 
@@ -211,14 +211,14 @@ def test_benchmark_file_and_reports(spark, tmp_path):
     test = vectors.from_rows(spark, [[1.0, 0, 0, 0], [0, 1.0, 0, 0]], [0, 1]).withColumnRenamed("id", "query_id")
     truth = search.knn(test, train, 3)
     path = str(tmp_path / "data.bin")
-    vectors.write_benchmark(path, train, test, truth, "cosine")
-    back = vectors.read_benchmark(spark, path)
+    benchmark_files.write_benchmark(path, train, test, truth, "cosine")
+    back = benchmark_files.read_benchmark(spark, path)
     assert back["metric"] == "cosine" and [r.id for r in back["truth"].orderBy("query_id", "rank").collect()] == [0, 2, 1, 1, 2, 0]
     assert back["train"].orderBy("id").collect() == train.orderBy("id").collect()
     (tmp_path / "bad.bin").write_bytes(b"nothing")
     with pytest.raises(CorruptIndex):
-        vectors.read_benchmark(spark, str(tmp_path / "bad.bin"))
-    row = {"label": "a", "recall_at_10": 1.0, "qps": 10.0, "build_time_ms": 1.0, "p50_ms": 1.0, "p95_ms": 2.0, "p99_ms": 3.0}
+        benchmark_files.read_benchmark(spark, str(tmp_path / "bad.bin"))
+    row = {"label": "a", "recall_at_1": 1.0, "recall_at_10": 1.0, "recall_at_100": 1.0, "qps": 10.0, "build_time_ms": 1.0, "p50_ms": 1.0, "p95_ms": 2.0, "p99_ms": 3.0}
     for kind in ("csv", "json"):
         vectors.write_report(spark.createDataFrame([row]), str(tmp_path / kind), kind)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1 and "recall_at_10" in vectors.report_table([row])
