@@ -314,7 +314,8 @@ def insert_by_walk(edges: DataFrame, corpus: DataFrame, new: DataFrame, degree:
     A new vector's edges go to the nearest that its walk with ``ef`` nodes
     (``WALKED``, or four times the degree) meets, so what it costs does not follow the size of the
     graph.  New vectors that share an old neighbour stand in line there by
-    distance, and each looks at a few that follow.  Back edges take the place of
+    distance, and each looks at a few that follow, and then at those two steps
+    away.  Back edges take the place of
     a node's farthest where they are nearer; a new node to which no edge leads
     takes the place of the farthest edge of its nearest old node, so all can be
     reached.
@@ -332,7 +333,15 @@ def insert_by_walk(edges: DataFrame, corpus: DataFrame, new: DataFrame, degree:
     beside = beside.select("src", F.explode("n").alias("other")).where("other IS NOT NULL AND src <> other").select("src", F.col("other").alias("dst")).distinct()
     fresh = _measured(beside, rows, metric)
     fresh = fresh.unionByName(reverse(fresh))
-    forward = top_degree(found.select("src", "dst", "dist").unionByName(fresh).dropDuplicates(["src", "dst"]), degree)
+    forward = materialized(top_degree(found.select("src", "dst", "dist").unionByName(fresh).dropDuplicates(["src", "dst"]), degree))
+    # then the new ones around the neighbours of each, two steps away
+    ids = rows.select("id")
+    near = materialized(forward.unionByName(edges.join(forward.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "dist")))
+    near = materialized(top_degree(near.unionByName(reverse(near)).dropDuplicates(["src", "dst"]), 2 * degree)).select("src", "dst")
+    one = near.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").withColumnRenamed("dst", "via")
+    ends = near.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").withColumnRenamed("src", "via")
+    two = one.join(ends, "via").select("src", "dst").where("src <> dst").distinct().join(forward.select("src", "dst"), ["src", "dst"], "left_anti")
+    forward = materialized(top_degree(forward.unionByName(_measured(two, rows, metric)), degree))
     linked = materialized(top_degree(edges.select("src", "dst", "dist").unionByName(forward).unionByName(reverse(forward)).dropDuplicates(["src", "dst"]), degree))
     lost = rows.select(F.col("id").alias("dst")).join(linked.select("dst").distinct(), "dst", "left_anti")
     # each lost node at the nearest old node of its walk; a node that gets several gives up as many edges
@@ -349,7 +358,9 @@ def insert_by_walk(edges: DataFrame, corpus: DataFrame, new: DataFrame, degree:
 def repair(edges: DataFrame, corpus: DataFrame, recent: DataFrame, degree: int, metric: str = D.COSINE, depth: int = 2, rounds: int = 5, tolerance: float = 0.02) -> tuple[DataFrame, int]:
     """Improves the graph around recent ids; returns it and the number of new edges.
 
-    If the mean distance of the farthest neighbours falls by more than the
+    Their neighbourhood is refined by NN-descent, and a walk that starts at each
+    of them, along edges in both directions, finds what lies outside of it.  If
+    the mean distance of the farthest neighbours falls by more than the
     tolerance, the old graph is returned.
     """
     part = neighbourhood(edges, recent, depth).select("id")
@@ -361,7 +372,13 @@ def repair(edges: DataFrame, corpus: DataFrame, recent: DataFrame, degree: int,
     if local.isEmpty():
         return edges, 0
     better = nn_descent(inner, min(degree, n - 1), metric, rounds, start=local)
-    merged = materialized(top_degree(edges.unionByName(better).dropDuplicates(["src", "dst"]), degree))
+    queries = corpus.join(recent.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    around = edges.select("src", "dst", "dist").unionByName(better)
+    around = materialized(top_degree(around.unionByName(reverse(around)).dropDuplicates(["src", "dst"]), 2 * degree))
+    walked = beam_search(queries, around, corpus, degree + 1, max(WALKED, 4 * degree), metric, queries.select("query_id", F.col("query_id").alias("src")))
+    walked = walked.where("query_id <> id").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("dist"))
+    better = better.unionByName(walked).unionByName(reverse(walked))
+    merged = materialized(top_degree(edges.select("src", "dst", "dist").unionByName(better).dropDuplicates(["src", "dst"]), degree))
     changed = merged.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").count()
     before, after = diversity(edges).first()[0] or 0.0, diversity(merged).first()[0] or 0.0
     return (edges if before > 0 and after < before * (1 - tolerance) else merged), changed

@@ -117,6 +117,13 @@ def test_stream(spark, tmp_path):
     index.insert(vectors.wave(spark, 3, 8, offset=700).withColumn("id", F.col("id") + 100))
     assert index.flush() and not index.flush() and index.count() == 102
     assert index.range_search(queries, 0.0).where("query_id = 3").count() == 0
+    index.save(str(tmp_path / "copy"))
+    copy = StreamingIndex(spark, str(tmp_path / "copy"), D.L2)
+    assert copy.count() == 102 and {r.id for r in copy.active().select("id").collect()} == {r.id for r in index.active().select("id").collect()}
+    with pytest.raises(IdAlreadyExists):
+        copy.insert(corpus.where("id = 3"))  # deleted before it was saved
+    with pytest.raises(IndexEmpty):
+        StreamingIndex(spark, str(tmp_path / "nothing"), D.L2).save(str(tmp_path / "copy2"))
     again = StreamingIndex(spark, str(tmp_path / "index"), D.L2)
     assert again.count() == 102 and {r.id for r in again.search(queries, 1).where("query_id <> 3").collect()} == set(range(10)) - {3}
 

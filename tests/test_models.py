@@ -199,8 +199,9 @@ def test_graphs_of_parts(spark, monkeypatch, tmp_path):
 
 
 def test_node_store(spark, tmp_path):
-    corpus = vectors.wave(spark, 400, 8).withColumn("tag", F.concat(F.lit("t"), F.col("id") % 5))
-    edges = graph.exact_graph(corpus, 4, D.L2)
+    corpus = vectors.from_rows(spark, np.random.default_rng(12).uniform(-1, 1, (400, 4)).tolist(), list(range(400))).withColumn("tag", F.concat(F.lit("t"), F.col("id") % 5))
+    edges = graph.exact_graph(corpus, 8, D.L2)
+    edges = edges.unionByName(graph.reverse(edges)).dropDuplicates(["src", "dst"])
     nodes = NodeStore.create(corpus, edges, str(tmp_path / "nodes"), buckets=6)
     again = NodeStore.open(spark, str(tmp_path / "nodes"))
     assert again.rows().count() == 400 and again.rows().columns == ["id", "embedding", "tag", "neighbours"]
@@ -208,7 +209,7 @@ def test_node_store(spark, tmp_path):
     assert sorted(r.id for r in again.fetch([3, 77]).collect()) == [3, 77] and tasks(again.fetch([3])) < 6 and again.fetch([]).count() == 0
     frontier = spark.createDataFrame([(1, 5), (2, 5), (1, 999)], "query_id long, id long")
     joined = again.joined(frontier)
-    assert sorted((r.query_id, r.id, len(r.neighbours)) for r in joined.collect()) == [(1, 5, 4), (2, 5, 4)]
+    assert sorted((r.query_id, r.id, len(r.neighbours)) for r in joined.collect()) == [(q, 5, edges.where("src = 5").count()) for q in (1, 2)]
     plan = again.joined(frontier)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "hashpartitioning(id" in plan  # the frontier moves, nodes do not
     queries = corpus.where("id % 40 = 0").withColumnRenamed("id", "query_id")
