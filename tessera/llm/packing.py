@@ -15,6 +15,7 @@ rank from their task's own count plus the sum of the counts of the tasks
 before it, per length; no group of equal pieces is ever sorted or gathered.
 
 Defined results: null or empty text is one piece holding only the separator;
+a text of any length is cut into as many pieces as it needs;
 repeated documents are packed once each; an empty table gives no rows.  Other
 columns pass through; those of the result replace any of the same name.
 """

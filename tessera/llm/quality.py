@@ -13,7 +13,7 @@ hash of their id; their hashed features go to the driver.  Every document is
 scored, without a shuffle.
 
 Defined results: null or empty text has only the features of an empty text.
-Labels with a null id or quality are ignored; of several labels of a document
+Texts are read whole, however long.  Labels with a null id or quality are ignored; of several labels of a document
 the lowest grade counts.  Without labels all scores are 0 and every document
 has the prior's expected grade and is kept.  Repeated rows get equal scores;
 an empty table gives no rows.  Other columns pass through; those of the result

@@ -17,7 +17,7 @@ words only the first is tried as source.
 
 Defined results: null text has no words; documents shorter than a window keep
 all of them; all copies of a passage go, the first as well; repeated rows are
-copies of each other.  An empty table gives no rows.  Other columns pass
+copies of each other; long texts are searched whole.  An empty table gives no rows.  Other columns pass
 through; those of the result replace any of the same name.
 """
 

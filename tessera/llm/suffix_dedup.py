@@ -13,7 +13,7 @@ sample, and the sample's ranks were computed once for the whole bucket.
 
 Defined results: null text is empty; the ids of documents decide, so rows that
 repeat an id keep what only they share, and a null id counts as the largest.
-Texts shorter than the window keep all bytes.  An empty table gives no rows.
+Texts shorter than the window keep all bytes; long ones are searched whole.  An empty table gives no rows.
 Other columns pass through; those of the result replace any of the same name.
 """
 

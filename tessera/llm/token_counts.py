@@ -12,7 +12,8 @@ by one compiled pattern; any other text is normalised and split by the
 tokenizer library's own components, so the pieces are the library's.
 
 Defined results: null text is empty and has 0 bytes and tokens; strings of
-special tokens count as the library's default treats them, as one token.  An
+special tokens count as the library's default treats them, as one token.  Texts
+are counted whole, however long.  An
 empty table gives no rows.  Other columns pass through; those of the result
 replace any of the same name.
 """
