@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import codecs
+from tessera.functions import codecs, tables
 from tessera.functions import distance as D
 from tessera.operators import cluster, evaluate, filters, graph, quantize, search
 from tessera.operators.filters import Field, Filter
@@ -188,6 +188,13 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.selectExpr("query_id", "id", *map(call, D.METRICS))
 
 
+def knn_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours by the table function knn, from SQL."""
+    tables.register(spark)
+    pairs = search.against(_corpus(spark, sf), _queries(spark, sf).withColumnRenamed("embedding", "query")).where("query_id <> id")
+    return _rounded(spark.sql(f"SELECT * FROM knn(TABLE(SELECT query_id, query, id, embedding FROM {{pairs}}) PARTITION BY (query_id), {K}, 'l2')", pairs=pairs))
+
+
 _DISTANCES_SQL = f"SELECT query_id, id, {', '.join(f'round({_dist(m, "q.e", "c.e")}, 6) AS {m}' for m in D.METRICS)} FROM {_E} c, {_Q} q"
 
 
@@ -712,7 +719,7 @@ def queries() -> dict:
         **{name: _filtered(where) for name, (where, _) in _filters().items()},
     }
     plain = [
-        knn_metric_override, knn_half, knn_string_ids, knn_post_filter, knn_soft_delete, knn_zero_vector, nearest_one, range_l2, range_cosine_limit, range_inner_product, distances_all, sql_functions,
+        knn_metric_override, knn_half, knn_string_ids, knn_post_filter, knn_soft_delete, knn_zero_vector, nearest_one, range_l2, range_cosine_limit, range_inner_product, distances_all, sql_functions, knn_table_function,
         binary_pack, binary_unpack, hamming_pairs, f16_roundtrip,
         lloyd_assign, lloyd_centroids, shard_sizes, shard_search_nprobe, shard_batch_search, shards_stored, shard_singleton_fold, shard_graph_search, kmeans_seeded,
         residuals, pq_encode_fixed_codebook, pq_reconstruct, adc_scan, ivfpq_search_fixed, ivfpq_stored, cell_distances, ivfpq_trained,
@@ -749,6 +756,7 @@ def oracle_sql() -> dict[str, str]:
         "range_inner_product": _ranked(within(D.INNER_PRODUCT, -0.1, alive), 1000),
         "distances_all": _DISTANCES_SQL,
         "sql_functions": _DISTANCES_SQL,
+        "knn_table_function": _knn_sql(D.L2),
         "binary_pack": _BINARY_PACK_SQL,
         "binary_unpack": "SELECT vec_id AS id, CAST(len(list_filter(embedding, lambda x: x >= 0)) AS BIGINT) AS ones, CAST(embedding[1] >= 0 AS BIGINT) AS \"first\", CAST(embedding[64] >= 0 AS BIGINT) AS \"last\" FROM embeddings",
         "hamming_pairs": f"SELECT query_id, id, {_dist(D.HAMMING, 'q.e', 'c.e')} AS score FROM {_E} c, {_Q} q WHERE query_id <> id",

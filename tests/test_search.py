@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import DimensionMismatch, SearchFailed
-from tessera.functions import codecs
+from tessera.functions import codecs, tables
 from tessera.functions import distance as D
 from tessera.operators import search
 from tessera.operators.filters import EVERYTHING, Field, all_of, any_of
@@ -119,3 +119,26 @@ def test_range_search_sends_queries_in_blocks(spark, metric, monkeypatch):
     assert found._jdf.queryExecution().toString().count("BroadcastExchange") >= 4  # 20 queries, none of the blocks has all
     expected = {(q, i) for q in range(0, 1000, 50) for i, v in data.items() if i != q and _numpy(metric, data[q], v) <= limit}
     assert expected and {(r.query_id, r.id) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("metric", D.METRICS)
+def test_table_function(spark, metric):
+    """Candidates in several batches; ties by id, k beyond what there is."""
+    rng = np.random.default_rng(3)
+    rows = [(q, [float(x) for x in rng.integers(-1, 2, 3)], i, [float(x) for x in rng.integers(-1, 2, 3)]) for q in range(3) for i in range(40 - q)]
+    spark.createDataFrame(rows, "query_id long, query array<float>, id long, embedding array<float>").createOrReplaceTempView("candidates")
+    tables.register(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for k in (5, 100, 0):
+            got = spark.sql(f"SELECT * FROM knn(TABLE(candidates) PARTITION BY (query_id), {k}, '{metric}')").collect()
+            want = []
+            for q in range(3):
+                near = sorted((_numpy(metric, a, b), i) for w, a, i, b in rows if w == q)[:k]
+                want += [(q, i, pytest.approx(s, abs=1e-6), r + 1) for r, (s, i) in enumerate(near)]
+            if metric in (D.COSINE,):  # equal cosines may differ in the last bit
+                assert sorted((r.query_id, round(r.score, 6), r["rank"]) for r in got) == sorted((w[0], round(w[2].expected, 6) + 0.0, w[3]) for w in want)
+            else:
+                assert [tuple(r) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
