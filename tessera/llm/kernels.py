@@ -23,21 +23,48 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-_powers = np.ones(1, dtype=U64)
-_inverse_powers = np.ones(1, dtype=U64)
+#: Powers are products of one of so many and one of their multiples, so no table grows with the texts.
+_SHIFT = 20
+_STEP = 1 << _SHIFT
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2**64."""
-    global _powers, _inverse_powers
-    if len(_powers) <= n:
-        size = max(n + 1, 2 * len(_powers))
-        for name, base in (("_powers", _BASE), ("_inverse_powers", _BASE_INVERSE)):
-            table = np.full(size, U64(base))
-            table[0] = 1
-            np.multiply.accumulate(table, out=table)
-            globals()[name] = table
-    return _powers, _inverse_powers
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """Powers 0..n-1 modulo 2**64."""
+    out = np.full(n, U64(base))
+    out[:1] = 1
+    np.multiply.accumulate(out, out=out)
+    return out
+
+
+class _Powers:
+    """Powers of a base modulo 2**64, by small tables."""
+
+    def __init__(self, base: int):
+        self.low, self.leap = _powers_of(base, _STEP), pow(base, _STEP, 1 << 64)
+        self.high = _powers_of(self.leap, 1)
+
+    def _reach(self, n: int) -> None:
+        if len(self.high) * _STEP < n:
+            self.high = _powers_of(self.leap, -(-n // _STEP))
+
+    def upto(self, n: int) -> np.ndarray:
+        """Powers 0..n-1."""
+        if n <= _STEP:
+            return self.low[:n]
+        self._reach(n)
+        return (self.high[: -(-n // _STEP), None] * self.low).ravel()[:n]
+
+    def at(self, exponents: np.ndarray) -> np.ndarray:
+        if not len(exponents):
+            return np.zeros(0, U64)
+        n = int(exponents.max()) + 1
+        if n <= _STEP:
+            return self.low[exponents]
+        self._reach(n)
+        return self.high[exponents >> _SHIFT] * self.low[exponents & (_STEP - 1)]
+
+
+_FORWARD, _BACK = _Powers(_BASE), _Powers(_BASE_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,17 +143,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def prefix_sums(symbols: np.ndarray) -> np.ndarray:
-    powers, _ = _power_tables(len(symbols))
     sums = np.zeros(len(symbols) + 1, dtype=U64)
-    np.cumsum(symbols * powers[: len(symbols)], out=sums[1:])
+    np.cumsum(symbols * _FORWARD.upto(len(symbols)), out=sums[1:])
     return sums
 
 
 def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """Polynomial hashes of symbol ranges, independent of where the range stands."""
     sums = prefix_sums(symbols) if sums is None else sums
-    _, inverse = _power_tables(len(symbols))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    return mix((sums[ends] - sums[starts]) * _BACK.at(starts) + (ends - starts).astype(U64))
 
 
 def gram_hashes(symbols: np.ndarray, k: int, sums: np.ndarray | None = None) -> np.ndarray:
@@ -135,8 +160,7 @@ def gram_hashes(symbols: np.ndarray, k: int, sums: np.ndarray | None = None) ->
     if n <= 0:
         return np.zeros(0, U64)
     sums = prefix_sums(symbols) if sums is None else sums
-    _, inverse = _power_tables(len(symbols))
-    return mix((sums[k:] - sums[:n]) * inverse[:n] + U64(k))
+    return mix((sums[k:] - sums[:n]) * _BACK.upto(n) + U64(k))
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
