@@ -125,9 +125,9 @@ def test_seeds_take_as_many_passes_for_any_k(spark, monkeypatch):
         assert seeds.shape == (k, 8)
     assert abs(jobs[4] - jobs[40]) <= 2
     error = lambda centroids: cluster.assign(corpus, centroids).agg(F.sum("distance")).first()[0]
-    for k in (8, 30):
-        one_by_one = cluster.lloyd(corpus, cluster.plus_plus(corpus, k), 10, until_stable=True)
-        assert error(cluster.kmeans(corpus, k, 10)) <= 1.05 * error(one_by_one)
+    for k in (8, 16):
+        one_by_one = cluster.lloyd(corpus, cluster.plus_plus(corpus, k), 5)
+        assert error(cluster.kmeans(corpus, k, 5)) <= 1.05 * error(one_by_one)
     same = vectors.from_rows(spark, [[1.0, 2.0]] * 6, list(range(6)))
     assert cluster.kmeans(same, 3).count() == 3
 
