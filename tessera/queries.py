@@ -569,6 +569,21 @@ def stream_search(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_streamed(spark, sf, 300).search(_queries(spark, sf), K, Field("group", "int") > 2))
 
 
+def stream_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Search of base, deltas and rows that wait in the state of a stream; ids that come again, with other vectors, are refused."""
+    folder, rows = _folder(spark, "stream"), _corpus(spark, sf)
+    index = streaming.StreamingIndex(spark, f"{folder}/index", D.L2)
+    index.insert(rows.where("id % 3 = 0"))
+    again = rows.where("id % 6 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    rows.where("id % 3 <> 0").unionByName(again).write.parquet(f"{folder}/source")
+    n = spark.read.parquet(f"{folder}/source").count()
+    stream = index.start_held(spark.readStream.schema(rows.schema).parquet(f"{folder}/source"), f"{folder}/checkpoint", hold=300, wait=3600.0, buckets=16)
+    while sum(p.numInputRows for p in stream.recentProgress) < n and not stream.awaitTermination(0.2):
+        pass
+    stream.stop()
+    return _rounded(index.search(_queries(spark, sf), K))
+
+
 def stream_merged(spark: SparkSession, sf: str) -> DataFrame:
     """What the index holds once all is merged."""
     index = _streamed(spark, sf, 10**9)
@@ -724,7 +739,7 @@ def queries() -> dict:
         lloyd_assign, lloyd_centroids, shard_sizes, shard_search_nprobe, shard_batch_search, shards_stored, shard_singleton_fold, shard_graph_search, kmeans_seeded,
         residuals, pq_encode_fixed_codebook, pq_reconstruct, adc_scan, ivfpq_search_fixed, ivfpq_stored, cell_distances, ivfpq_trained,
         knn_all, node_neighbours, node_fetch, knn_graph, reverse_edges, entry_point, graph_diversity, graph_prune, bfs_neighbourhood, nn_descent, beam_search, hnsw_search, graph_insert, graph_insert_walk, graph_compact, graph_repair,
-        stream_dedupe_merge, stream_search, stream_merged, stream_range, index_changes, index_filter, index_stored, index_compacted, index_graph, index_metrics, benchmark_file,
+        stream_dedupe_merge, stream_search, stream_pending, stream_merged, stream_range, index_changes, index_filter, index_stored, index_compacted, index_graph, index_metrics, benchmark_file,
         compact_live, metadata_upsert,
         latency_histogram, latency_percentiles, histogram_percentile, recall_at_k, pareto_frontier, key_numbers, wave_vectors, event_windows,
     ]
@@ -792,6 +807,7 @@ def oracle_sql() -> dict[str, str]:
             {_top_edges("e", 3)}""",
         "stream_dedupe_merge": _knn_sql(D.L2, corpus=alive),
         "stream_search": _knn_sql(D.L2, where="id % 5 <> 0 AND id % 7 > 2"),
+        "stream_pending": _knn_sql(D.L2, where="true"),
         "stream_merged": f"SELECT id, id % 7 AS \"group\", round(sqrt(list_dot_product(e, e)), 6) AS length FROM {_E} WHERE id % 5 <> 0",
         "stream_range": _ranked(within(D.L2, 1.6, extra="WHERE id % 5 <> 0"), 1000),
         "index_changes": _knn_sql(D.L2, where=_THERE),

@@ -1,5 +1,7 @@
 """The index facade, storage, streams and benchmark files."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,69 @@ def test_benchmark_file_and_reports(spark, tmp_path):
     for kind in ("csv", "json"):
         vectors.write_report(spark.createDataFrame([row]), str(tmp_path / kind), kind)
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1 and "recall_at_10" in vectors.report_table([row])
+
+
+def _stop_after(query, done):
+    """Batches go on without new rows, as timers may run out."""
+    until = time.monotonic() + 60
+    while query.isActive and time.monotonic() < until and not done():
+        time.sleep(0.2)
+    query.stop()
+    assert query.exception() is None and done()
+
+
+def test_rows_wait_in_the_state(spark, tmp_path):
+    corpus = vectors.wave(spark, 60, 8).withColumn("n", F.when(F.col("id") % 2 == 0, F.col("id")))
+    source, root, checkpoint = str(tmp_path / "source"), str(tmp_path / "index"), str(tmp_path / "checkpoint")
+    index = StreamingIndex(spark, root, D.L2)
+    index.insert(corpus.where("id < 5"))
+    index.delete(corpus.where("id = 2").select("id"))
+
+    def feed(rows, **options):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        options = {"hold": 1000, "wait": 3600.0, "buckets": 4} | options
+        n, query = rows.count(), index.start_held(spark.readStream.schema(corpus.schema).parquet(source), checkpoint, **options)
+        _stop_after(query, lambda: sum(p.numInputRows for p in query.recentProgress) >= n)
+
+    held = lambda: sorted(r.id for r in StreamingIndex(spark, root, D.L2).active().collect())
+    rows = lambda low, high: corpus.where((F.col("id") >= low) & (F.col("id") < high))
+    feed(rows(0, 12))  # ids 0 to 4 are known, 2 was deleted
+    assert index.pending().count() == 7 and held() == [0, 1, 3, 4, *range(5, 12)]
+    assert sorted(r.id for r in index.refused().collect()) == [0, 1, 2, 3, 4]
+    assert {(r.id, r.n) for r in index.pending().collect()} == {(i, i if i % 2 == 0 else None) for i in range(5, 12)}
+    with pytest.raises(ConstructionFailed):
+        index.insert(rows(50, 51))
+    feed(rows(10, 14).unionByName(rows(13, 14)))  # started again: 10 and 11 wait, 13 comes twice
+    assert index.pending().count() == 9 and held() == [0, 1, 3, 4, *range(5, 14)]
+    assert sorted(r.id for r in index.refused().collect()) == [0, 1, 2, 3, 4, 10, 11, 13]
+    queries = rows(0, 60).withColumnRenamed("id", "query_id").select("query_id", "embedding")
+    want = {tuple(r) for r in search.knn(queries, corpus.where("id < 14 AND id <> 2").select("id", "embedding"), 3, D.L2).select("query_id", "id").collect()}
+    assert {tuple(r) for r in index.search(queries, 3).select("query_id", "id").collect()} == want
+    # what is told of rows that wait, or deleted among them, holds when they come
+    index.set_metadata(spark.createDataFrame([(4, "d"), (12, "x")], "id long, kind string"))
+    index.delete(corpus.where("id = 13").select("id"))
+    feed(rows(14, 40), hold=8)  # two rows of a bucket are enough
+    assert index.pending().count() <= 4 and held() == [0, 1, 3, 4, *range(5, 13), *range(14, 40)]
+    assert index.merge() and held() == [0, 1, 3, 4, *range(5, 13), *range(14, 40)]
+    feed(rows(30, 44), hold=1)  # a bucket goes on when a row comes to it
+    assert index.pending().count() <= 3
+    with pytest.raises(ConstructionFailed):
+        feed(rows(59, 60), hold=0)
+    assert index.merge() and held() == [0, 1, 3, 4, *range(5, 13), *range(14, 44)]
+    assert {r.id: r.kind for r in index.active().where("kind IS NOT NULL").collect()} == {4: "d", 12: "x"}
+    feed(rows(44, 46).unionByName(rows(13, 14)))
+    index.release()
+    assert index._holding() is None and held() == [0, 1, 3, 4, *range(5, 13), *range(14, 46)]
+    with pytest.raises(ConstructionFailed):
+        feed(rows(46, 47))
+    index.insert(rows(50, 52))
+    assert index.merge() and held() == [0, 1, 3, 4, *range(5, 13), *range(14, 46), 50, 51]
+
+
+def test_rows_wait_no_longer_than_asked(spark, tmp_path):
+    corpus, source = vectors.wave(spark, 6, 8), str(tmp_path / "source")
+    index = StreamingIndex(spark, str(tmp_path / "index"), D.L2)
+    corpus.coalesce(1).write.parquet(source)
+    query = index.start_held(spark.readStream.schema(corpus.schema).parquet(source), str(tmp_path / "checkpoint"), wait=1.0, buckets=2)
+    _stop_after(query, lambda: index.delta() is not None and index.delta().count() == 6)
+    assert index.delta().count() == 6 and index.pending().count() == 0 and index.refused() is None
