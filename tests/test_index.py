@@ -233,6 +233,25 @@ def test_benchmark_file_and_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1 and "recall_at_10" in vectors.report_table([row])
 
 
+def test_merge_while_levels_are_read(spark, tmp_path, monkeypatch):
+    corpus = vectors.wave(spark, 10, 8)
+    index = StreamingIndex(spark, str(tmp_path / "index"), D.L2)
+    index.insert(corpus.where("id < 5"))
+    index.insert(corpus.where("id >= 5"))
+    index.set_metadata(spark.createDataFrame([(3, "a")], "id long, kind string"))
+    read, merges = index.base, []
+
+    def base():
+        rows = read()
+        if not merges:
+            merges.append(True)
+            assert index.merge()
+        return rows
+
+    monkeypatch.setattr(index, "base", base)
+    assert sorted((r.id, r.kind) for r in index.active().collect()) == [(i, "a" if i == 3 else None) for i in range(10)]
+
+
 def _stop_after(query, done):
     """Batches go on without new rows, as timers may run out."""
     until = time.monotonic() + 120
