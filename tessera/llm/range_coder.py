@@ -1,17 +1,19 @@
-"""An adaptive context-mixing range coder for sequences of ids.
+"""A context-mixing range coder for sequences of ids.
 
-Ids are coded in blocks.  A block starts from nothing: its ids get numbers in
-the order in which they first come, and the list of these ids stands in front.
-Before each id three models say what they expect:
+Ids are coded in blocks, and a block starts from nothing.  In front stand its
+ids, most frequent first, with how often each comes.  Then three models say
+what they expect before each id:
 
 * order 2 and order 1: the id that last followed the two ids, the one id,
   before, and how often in a row that was right;
-* order 0: how frequent an id has been in the block.
+* order 0: how frequent an id is in the block.
 
 The id expected by the highest order that knows one is coded as a yes or no.
-Its chance is mixed from all three models in the logistic domain, by weights
-that learn from every outcome.  After a no the id is coded by its frequency
-among those of the block, new ids by an escape.  All is integer arithmetic, so
+Its chance is mixed from what all three models have been worth so far, in the
+logistic domain, by weights that learn from the outcomes; where all of them
+have often said the same, the outcomes of just that case count too.  After a
+no the id is coded by its frequency.  Orders 2 and 1 learn with every id,
+chances and weights in rounds (``_ROUNDS``).  All is integer arithmetic, so
 every machine decodes what any other has coded.
 
 The blocks of a segment are coded side by side: one step codes one id of each,
@@ -27,24 +29,29 @@ import numpy as np
 
 from tessera.errors import CorruptIndex
 
-#: Ids of a block, and blocks that are coded side by side at most.
-BLOCK, LANES = 4096, 1024
+#: Ids of a block (their numbers take 12 bits), and blocks that are coded side by side, about.
+BLOCK, LANES = 4096, 3072
 #: Blocks of a segment, if that leaves blocks of at least ``SHORT`` ids.
 WANTED, SHORT = 256, 512
 
 U = np.uint64
-_TOP, _BOTTOM, _WORD = U(1 << 48), U(1 << 32), U(16)
-#: Steps after which frequencies are summed anew, once a block has so many ids.
-_SUMMED = 128
-#: Bound of a model's weight, so that all products stay within 32 bits.
+#: The width of a coder is of 60 bits at most, 28 at least; 32 bits go out or come in at a time.
+_TOP, _BOTTOM, _WORD, _PART, _KEPT = U((1 << 60) - 1), U(1 << 28), U(32), U(16), U(28)
+#: Ids after which chances and weights learn, and ids that are handled at once.
+_ROUNDS, _STEPS = (32, 128, 256, 512, 1024, 2048), 256
+#: Bound of a model's weight, in 65536.
 _HEAVY = 300_000
+#: Outcomes that the mixed chance of a case weighs.
+_PRIOR = 8
 _HEAD = struct.Struct("<4sQIIB")
-_MAGIC = b"TSB1"
+_MAGIC = b"TSB2"
 
 _DOMAIN = 2047
-_SQUASH = np.clip(65536 / (1 + np.exp(-np.arange(-_DOMAIN - 1, _DOMAIN + 1) / 256.0)), 32, 65504).astype(np.int32)
-_STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -_DOMAIN, _DOMAIN).astype(np.int32)
-_CLASS = np.minimum(15, np.frexp(np.arange(1 << 16))[1]).astype(np.int64)  # bits of a count
+_SQUASH = np.clip(65536 / (1 + np.exp(-np.arange(-_DOMAIN - 1, _DOMAIN + 1) / 256.0)), 32, 65504).astype(np.int64)
+_STRETCH = np.clip(np.round(256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))), -_DOMAIN, _DOMAIN).astype(np.int64)
+
+_SLOT = (np.arange(BLOCK) << 4).astype(np.uint16)
+_FREQUENCY = np.array([((c > 1) + (c > 3) + (c > 15)) << 2 for c in range(BLOCK + 1)], np.uint16)
 
 
 def _tables_crc() -> int:
@@ -52,179 +59,117 @@ def _tables_crc() -> int:
     return zlib.crc32(_SQUASH.astype("<i8").tobytes() + _STRETCH.astype("<i8").tobytes())
 
 
-class _Models:
-    """What all blocks of a segment have learnt; a row of each table per block.
+def _names(slot: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What the models call an id: its number in the block, a class of its frequency, two bits for how often it was right."""
+    return _SLOT.take(slot) | _FREQUENCY.take(count)
+
 
-    Orders 2, 1 and 0 are the rows of one array wherever they are treated alike.
-    """
+class _Models:
+    """What all blocks of a segment have learnt; a row of each table per block."""
 
     def __init__(self, lanes: int, slots: int, block: int):
-        self.slots = slots
-        self.mask = (1 << max(6, (block - 1).bit_length())) - 1
+        self.lanes, self.mask = lanes, (1 << max(6, (block - 1).bit_length() - 1)) - 1
         lane = np.arange(lanes)
-        self.sums = 1 << slots.bit_length()
-        self.at_slot, self.at_upto = lane * slots, lane * self.sums
-        # what followed: by the two ids before, then by the one; an entry is an id and, above 16 bits, how often in a row
-        self.at_next = np.stack([lane * (self.mask + 1), lanes * (self.mask + 1) + lane * slots])
-        self.next = np.zeros(lanes * (self.mask + 1 + slots), np.int32)
-        self.count, self.upto = np.zeros(lanes * slots, np.int32), np.full(lanes * self.sums, np.iinfo(np.int32).max, np.int32)
-        self.upto[self.at_upto] = 0
-        self.at_chance = lane * 64 + np.array([[0], [16], [48]])
-        self.chance = np.full(lanes * 64, 1 << 15, np.int32)
-        self.weight = np.full((3, lanes), 26_000, np.int32)
-        self.fresh = np.full(lanes, 1 << 15, np.int64)
-        self.known, self.settled, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def keep(self, lanes: int) -> None:
-        """Goes on with the first blocks only."""
-        for name in ("fresh", "known", "settled", "total", "before", "last", "at_slot", "at_next", "at_upto", "at_chance", "weight"):
-            setattr(self, name, getattr(self, name)[..., :lanes].copy())
-
-    def expect(self) -> tuple[np.ndarray, np.ndarray]:
-        """The expected id of each block, and the chance in 65536 that it comes."""
-        self.i = self.at_next.copy()
-        self.i[0] += (self.before * 40_503 ^ self.last * 2_531) & self.mask
-        self.i[1] += self.last
-        self.e = self.next.take(self.i)
-        self.k, self.ids = self.e >> 16, self.e & 0xFFFF
-        c = np.where(self.k[0] > 0, self.ids[0], self.ids[1])
-        self.q = self.at_chance.copy()
-        self.q[:2] += self.k
-        self.q[1] += (self.ids[1] == c) << 4
-        self.q[2] += _CLASS.take(self.count.take(self.at_slot + c))
-        self.v = self.chance.take(self.q)
-        self.s = _STRETCH.take(self.v >> 4)
-        dot = (self.weight * self.s).sum(axis=0, dtype=np.int32) >> 16
-        self.p = _SQUASH.take(np.maximum(np.minimum(dot, _DOMAIN), -_DOMAIN) + (_DOMAIN + 1))
-        self.c = c
-        return c, self.p
-
-    def spread(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For blocks m: the weight of the escape, of the ids since frequencies were summed, and both with the rest; where sums begin."""
-        recent = self.known[m] - self.settled[m]
-        rest = recent + self.total[m]
-        escape = 1 + (rest * self.fresh[m] >> 16)
-        return escape, recent, escape + rest, self.at_upto[m]
-
-    def learn(self, slot: np.ndarray, hit: np.ndarray, m: np.ndarray, t: int) -> None:
-        """Takes in the ids that came; m: blocks whose id was not the one expected."""
-        goal = hit * np.int32(65_535)
-        self.chance[self.q] = self.v + ((goal - self.v) >> 4)
-        err = (goal - self.p) * 7 >> 4
-        self.weight += (self.s * err + 0x8000) >> 16
-        np.minimum(np.maximum(self.weight, -_HEAVY), _HEAVY, out=self.weight)
-        new = slot == self.known
-        self.fresh[m] += (new[m] * 65_535 - self.fresh[m]) >> 5
-        self.known += new
-        i = self.at_slot + slot
-        self.count[i] = self.count.take(i) + 1
-        right = self.ids == slot
-        # right: once more, 15 times at most; wrong: half as often, or the new id once
-        self.next[self.i] = np.where(right | (self.k > 1), self.ids | np.where(right, np.minimum(self.k + 1, 15), self.k >> 1) << 16, slot | 1 << 16)
-        self.before, self.last = self.last, slot
-        if (t + 1) % _SUMMED == 0 or t + 1 in (4, 8, 16, 32, 64):
-            n, lanes = int(self.known.max()), len(slot)
-            rows = self.count[: lanes * self.slots].reshape(lanes, self.slots)
-            upto = self.upto[: lanes * self.sums].reshape(lanes, self.sums)
-            np.cumsum(rows[:, :n], axis=1, out=upto[:, 1 : n + 1])
-            self.settled = self.known.copy()
-            self.total = np.full(lanes, t + 1, np.int64)
-
-
-def _numbered(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of ids by first appearance in their row, the ids in that order of all rows, how many each row has."""
+        # what followed: by the two ids before, then by the one
+        self.base = np.stack([lane * (self.mask + 1), lanes * (self.mask + 1) + lane * slots])
+        self.next = np.zeros(lanes * (self.mask + 1 + slots), np.uint16)
+        # a case: agreement of the orders, trust in order 1, frequency, trust in order 2
+        self.at_case = lane * 128
+        self.chance = np.full(lanes * 128, 1 << 15, U)
+        self.seen, self.right = np.zeros(lanes * 128, np.int64), np.zeros(lanes * 128, np.int64)
+        self.weight = np.full((3, lanes), 26_000, np.int64)
+        self.t = 0
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Where stands what followed, after ids of these numbers."""
+        i = np.empty((*last.shape[:-1], 2, self.lanes), np.int64)
+        np.add(last * 2_531, before, out=i[..., 0, :])
+        i[..., 0, :] &= self.mask
+        i[..., 1, :] = last
+        i += self.base
+        return i
+
+    def learn(self, i: np.ndarray, e: np.ndarray, name: np.ndarray) -> None:
+        """Takes in the ids that came where e stood; once they come again, they are trusted more."""
+        self.next[i] = np.where((e ^ name) < 4, name | 3, name | 1)
+
+    def cases(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The expected ids, and the cases they are."""
+        k = e & 3
+        one, k_2, k_1 = e[..., 1, :], k[..., 0, :], k[..., 1, :]
+        x = np.where(k_2, e[..., 0, :], one)
+        k_1 <<= 4
+        k_1 |= k_2
+        k_1 |= x & 12
+        k_1 |= ((x ^ one) < 4).view(np.uint8) << np.uint16(6)
+        return x, self.at_case + k_1
+
+    def round(self, cases: np.ndarray, hits: np.ndarray) -> None:
+        """Counts the outcomes of cases, and learns from all so far where a round ends."""
+        self.t += len(cases)
+        if self.t > _ROUNDS[-1]:
+            return
+        self.seen += np.bincount(cases.ravel(), minlength=len(self.seen))
+        self.right += np.bincount(cases[hits], minlength=len(self.seen))
+        if self.t not in _ROUNDS:
+            return
+        shape = (self.lanes, 2, 4, 4, 4)
+        n, h = self.seen.reshape(shape), self.right.reshape(shape)
+
+        def worth(*over: int) -> np.ndarray:
+            some, good = n.sum(axis=over, keepdims=True), h.sum(axis=over, keepdims=True)
+            return _STRETCH.take((((2 * good + 1) << 15) // (some + 1)) >> 4)
+
+        says = worth(1, 2, 3), worth(3, 4), worth(1, 2, 4)
+        self._mix(says, shape)
+        miss = (h << 16) - n * self.mixed
+        for w, s in zip(self.weight, says, strict=True):
+            w += ((miss * s).sum(axis=(1, 2, 3, 4)) // self.t) >> 9
+        np.clip(self.weight, -_HEAVY, _HEAVY, out=self.weight)
+        self._mix(says, shape)
+        chance = (self.mixed * _PRIOR + (h << 16)) // (n + _PRIOR)
+        self.chance = np.clip(chance, 32, 65_504).astype(U).ravel()
+
+    def _mix(self, says: tuple[np.ndarray, ...], shape: tuple[int, ...]) -> None:
+        a, b, c = (w.reshape(-1, 1, 1, 1, 1) * s for w, s in zip(self.weight, says, strict=True))
+        self.mixed = _SQUASH.take(np.clip((a + b + c) >> 16, -_DOMAIN, _DOMAIN) + (_DOMAIN + 1))
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of ids by step and block, the ids of each block in the order of their numbers, how often each comes, how many a block has."""
     lanes, block = ids.shape
-    column = np.arange(block)
-    order = np.argsort(ids, axis=1, kind="stable")
-    ranked = np.take_along_axis(ids, order, 1)
-    start = np.ones(ids.shape, bool)
-    start[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    lead = np.maximum.accumulate(np.where(start, column, 0), axis=1)
-    first = np.take_along_axis(order, lead, 1)  # in sorted order: where the id comes first
-    is_first = np.zeros(ids.shape, bool)
-    np.put_along_axis(is_first, first, True, 1)
-    number = np.cumsum(is_first, axis=1) - 1
-    slot = np.empty(ids.shape, np.int64)
-    np.put_along_axis(slot, order, np.take_along_axis(number, first, 1), 1)
-    is_first &= column < lengths[:, None]
-    return slot, ids[is_first], is_first.sum(axis=1)
-
-
-class _Coder:
-    """Range coders of all blocks: low and width in 64 bits, 16 bits out or in at a time.
-
-    A step starts with a width of 2**32 at least: a yes or no leaves 2**21, and
-    the frequencies of a block sum to 2**14 at most.
-    """
-
-    def __init__(self, lanes: int):
-        self.low, self.width = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-        self.at = np.zeros(lanes, np.int64)
-
-    def full(self, need: np.ndarray | None) -> np.ndarray:
-        """Of the blocks given, those whose first 16 bits are settled, or must be."""
-        low, width = (self.low, self.width) if need is None else (self.low.take(need), self.width.take(need))
-        settled = (low ^ (low + width)) < _TOP
-        small = width < _BOTTOM
-        cut = small > settled
-        if cut.any():
-            where = np.flatnonzero(cut)
-            self.width[where if need is None else need[where]] = (~low[where] + U(1)) & (_BOTTOM - U(1))
-        at = np.flatnonzero(settled | small)
-        return at if need is None else need.take(at)
-
-    def keep(self, lanes: int) -> None:
-        self.low, self.width = self.low[:lanes].copy(), self.width[:lanes].copy()
-
-
-class _Encoder(_Coder):
-    def __init__(self, lanes: int, block: int):
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, 2 * block + 64), np.uint16)
-
-    def shift(self) -> None:
-        need = self.full(None)
-        while len(need):
-            low = self.low[need]
-            self.words[need, self.at[need]] = (low >> U(48)).astype(np.uint16)
-            self.at[need] += 1
-            self.low[need] = low << _WORD
-            self.width[need] <<= _WORD
-            need = self.full(need)
-
-    def room(self, words: int) -> None:
-        if int(self.at.max()) + words > self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros((len(self.words), self.words.shape[1] + words), np.uint16)], axis=1)
-
-    def finish(self, lanes: np.ndarray) -> None:
-        for part in (48, 32, 16, 0):
-            self.words[lanes, self.at[lanes]] = (self.low[lanes] >> U(part)).astype(np.uint16)
-            self.at[lanes] += 1
-
-
-class _Decoder(_Coder):
-    def __init__(self, words: np.ndarray, start: np.ndarray):
-        super().__init__(len(start))
-        self.words, self.at = words, start.astype(np.int64)
-        self.code = np.zeros(len(start), U)
-        for _ in range(4):
-            self.code = (self.code << _WORD) | self.words[self.at]
-            self.at += 1
-
-    def shift(self) -> None:
-        need = self.full(None)
-        while len(need):
-            at = self.at[need]
-            self.code[need] = (self.code[need] << _WORD) | self.words[at]
-            self.at[need] = at + 1
-            self.low[need] <<= _WORD
-            self.width[need] <<= _WORD
-            need = self.full(need)
-
-    def keep(self, lanes: int) -> None:
-        super().keep(lanes)
-        self.code, self.at = self.code[:lanes].copy(), self.at[:lanes].copy()
+    names, listed, counts, distinct = np.empty((lanes, block), np.uint16), [], [], np.empty(lanes, np.int64)
+    change = np.ones(block + 1, bool)
+    table = np.empty(1 << 16, np.uint16) if ids.dtype == np.uint16 else None
+    for j, row in enumerate(ids):
+        ranked = np.sort(row.astype(np.uint32))  # faster than of 16 bits
+        change[1:block] = ranked[1:] != ranked[:-1]
+        edge = change.nonzero()[0]
+        values, count = ranked.take(edge[:-1]), edge[1:] - edge[:-1]
+        order = np.argsort((block - count).astype(np.uint16), kind="stable")
+        name = np.empty(len(order), np.uint16)
+        count = count[order]
+        name[order] = _SLOT[: len(order)] | _FREQUENCY.take(count)
+        if table is None:
+            names[j] = name[np.searchsorted(values, row)]
+        else:
+            table[values] = name
+            names[j] = table.take(row)
+        listed.append(values[order])
+        counts.append(count)
+        distinct[j] = len(order)
+    return np.ascontiguousarray(names.T), np.concatenate(listed).astype(ids.dtype), np.concatenate(counts), distinct
+
+
+def _shares(counts: np.ndarray, block: int) -> np.ndarray:
+    """Of each listed id, where its share of the block's frequencies starts, and above 16 bits its size."""
+    return ((np.cumsum(counts) - counts) % block | counts << 16).astype(np.uint32)
+
+
+def _rounds(block: int) -> list[tuple[int, int]]:
+    """The parts of a block, from and to."""
+    stops = sorted({*(x for x in _ROUNDS if x < block), *range(_STEPS, block, _STEPS), block})
+    return [*zip([0, *stops[:-1]], stops, strict=True)]
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -234,69 +179,119 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
-    """Ids (at most ``LANES * BLOCK``, below 2**32) as blocks."""
+    """Ids (below 2**32) as blocks; the last one is filled up with its last id."""
     n = len(ids)
-    kind = np.uint16 if not n or ids.max() < 1 << 16 else np.uint32
-    lanes, block = _shape(n)
+    kind = np.dtype("<u2" if not n or ids.max() < 1 << 16 else "<u4")
+    head = lambda block: _HEAD.pack(_MAGIC, n, block, _tables_crc(), kind.itemsize)
     if not n:
-        return _HEAD.pack(_MAGIC, 0, 0, _tables_crc(), np.dtype(kind).itemsize)
-    lengths = np.full(lanes, block, np.int64)
-    lengths[-1] = n - (lanes - 1) * block
+        return head(0)
+    lanes, block = _shape(n)
     padded = np.full(lanes * block, ids[-1], kind)
     padded[:n] = ids
-    slots, listed, distinct = _numbered(padded.reshape(lanes, block), lengths)
-    models, coder = _Models(lanes, int(slots.max()) + 2, block), _Encoder(lanes, block)
-    slots, active, ended = np.ascontiguousarray(slots.T), lanes, []
-    for t in range(block):
-        if t == lengths[-1]:
-            active = lanes - 1
-            ended = [(coder.low[active:].copy(), coder.at[active:].copy())]
-            models.keep(active)
-            coder.keep(active)
-            if not active:
-                break
-        if t % 64 == 0:
-            coder.room(64 * 8)
-        slot = slots[t, :active]
-        c, p = models.expect()
-        hit = slot == c
-        cut = (coder.width >> _WORD) * p.astype(U)
-        coder.low += np.where(hit, U(0), cut)
-        coder.width = np.where(hit, cut, coder.width - cut)
-        m = np.flatnonzero(~hit)
-        if len(m):
-            escape, recent, total, base = models.spread(m)
-            s = slot[m]
-            new, late = s == models.known[m], s >= models.settled[m]
-            i = base + np.minimum(s, models.slots - 1)
-            low, high = models.upto[i].astype(np.int64), models.upto[i + 1].astype(np.int64)
-            start = np.where(new, 0, np.where(late, escape + s - models.settled[m], escape + recent + low))
-            size = np.where(new, escape, np.where(late, 1, high - low))
-            each = coder.width[m] // total.astype(U)
-            coder.low[m] += each * start.astype(U)
-            coder.width[m] = each * size.astype(U)
-        coder.shift()
-        models.learn(slot, hit, m, t)
-    if ended:
-        coder.low = np.concatenate([coder.low, ended[0][0]])
-    coder.room(8)
-    coder.finish(np.arange(lanes))
-    used = coder.at
-    listed_bytes, stop = listed.astype(f"<u{np.dtype(kind).itemsize}").tobytes(), np.cumsum(distinct) * np.dtype(kind).itemsize
-    words = coder.words.astype("<u2", copy=False)
-    parts, crc = [], np.empty(lanes, "<u4")
+    names, listed, counts, distinct = _numbered(padded.reshape(lanes, block))
+    lists = np.append(0, np.cumsum(distinct))
+    share, at_list = _shares(counts, block), lists[:-1]
+    models = _Models(lanes, int(distinct.max()), block)
+    low, width = np.zeros(lanes, U), np.full(lanes, _TOP)
+    room = block * 24 // 32 + 8  # an id takes 11 bits and 12 at most, and what rounding takes
+    words, begin = np.zeros(lanes * room, U), np.arange(lanes) * room
+    at, total = begin.copy(), U(block)
+    number = np.zeros((2, lanes), np.int64)  # of the two ids before a round
+    for a, b in _rounds(block):
+        name = names[a:b]
+        number = np.concatenate([number, name >> 4])
+        i = models.places(number[1:-1], number[:-2])
+        own = share.take(number[2:] + at_list)
+        number = number[-2:]
+        e, once, more = np.empty(i.shape, np.uint16), name | 1, name | 3
+        for t in range(b - a):
+            was = models.next.take(i[t], out=e[t], mode="clip")
+            models.next[i[t]] = np.where((was ^ name[t]) < 4, more[t], once[t])
+        expected, case = models.cases(e)
+        hits, p = (expected ^ name) < 4, models.chance.take(case)
+        models.round(case, hits)
+        # the ids' shares lie below, a hit takes what is above all of them
+        own = np.where(hits, block, own)
+        start, size = (own & 0xFFFF).astype(U), (own >> 16).astype(U)
+        for t in range(b - a):
+            each = width >> _PART
+            each *= p[t]
+            np.subtract(width, each, out=each)
+            each //= total
+            skip = each * start[t]
+            low += skip
+            width -= skip
+            each *= size[t]
+            width = np.where(hits[t], width, each)
+            full = (width < _BOTTOM).nonzero()[0]
+            if len(full):
+                place, out = at[full], low[full]
+                words[place] = out >> _KEPT  # more than 32 bits where it carries
+                at[full] = place + 1
+                low[full] = (out & (_BOTTOM - U(1))) << _WORD
+                width[full] <<= _WORD
+    words[at], words[at + 1] = low >> _KEPT, (low & (_BOTTOM - U(1))) << U(4)
+    used = at + 2 - begin
+    words = words.reshape(lanes, room)
+    while (carry := words >> _WORD).any():
+        words &= U(0xFFFFFFFF)
+        words[:, :-1] += carry[:, 1:]
+    words = words.astype("<u4")
+    # ids of one frequency ascend: steps of a byte, or 255 and the id itself
+    group = np.append(True, counts[1:] != counts[:-1])
+    group[at_list] = True
+    step = np.diff(listed.astype(np.int64), prepend=0)
+    far = group | (step >= 255)
+    steps, whole = np.where(far, 255, step).astype(np.uint8), listed[far]
+    wholes = np.append(0, np.cumsum(far))[lists]
+    heads = np.flatnonzero(group)
+    runs = np.stack([counts[heads], np.diff(heads, append=len(counts))], axis=1).astype("<u2")
+    of_run = np.append(0, np.cumsum(group))[lists]
+    parts = []
     for j in range(lanes):
-        own = words[j, : used[j]].tobytes()
-        crc[j] = zlib.crc32(own, zlib.crc32(listed_bytes[stop[j] - distinct[j] * np.dtype(kind).itemsize : stop[j]]))
-        parts.append(own)
-    index = np.stack([distinct, used], axis=1).astype("<u4").tobytes()
-    return b"".join([_HEAD.pack(_MAGIC, n, block, _tables_crc(), np.dtype(kind).itemsize), index, crc.tobytes(), listed_bytes, *parts])
+        a, b = lists[j], lists[j + 1]
+        parts.append(steps[a:b].tobytes() + whole[wholes[j] : wholes[j + 1]].tobytes() + runs[of_run[j] : of_run[j + 1]].tobytes() + words[j, : used[j]].tobytes())
+    index = np.stack([distinct, used | np.diff(of_run) << 16], axis=1).astype("<u4").tobytes()
+    crc = np.array([zlib.crc32(x) for x in parts], "<u4").tobytes()
+    return b"".join([head(block), index, crc, *parts])
+
+
+def _blocks(data: memoryview, lanes: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of each block by number, how often each comes, how many a block has, all words, and where each block's begin."""
+    at = _HEAD.size
+    if len(data) < at + 12 * lanes:
+        raise CorruptIndex("a segment of coded ids is cut short")
+    index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(lanes, 2).astype(np.int64)
+    crc = np.frombuffer(data, "<u4", lanes, at + 8 * lanes).tolist()
+    at += 12 * lanes
+    steps, wholes, runs, words = [], [], [], []
+    for j, (distinct, sizes) in enumerate(index.tolist()):
+        used, n_runs = sizes & 0xFFFF, sizes >> 16
+        step = np.frombuffer(data[at : at + distinct], np.uint8)
+        far = int(np.count_nonzero(step == 255))
+        stops = np.cumsum([at, distinct, far * width, 4 * n_runs, 4 * used]).tolist()
+        if len(data) < stops[-1]:
+            raise CorruptIndex("a segment of coded ids is cut short")
+        if zlib.crc32(data[at : stops[-1]]) != crc[j]:
+            raise CorruptIndex(f"block {j} of a segment has a wrong checksum")
+        steps.append(step)
+        wholes.append(np.frombuffer(data[stops[1] : stops[2]], f"<u{width}"))
+        runs.append(np.frombuffer(data[stops[2] : stops[3]], "<u2").reshape(-1, 2))
+        words.append(np.frombuffer(data[stops[3] : stops[4]], "<u4"))
+        at = stops[-1]
+    step = np.concatenate(steps)
+    far, run = step == 255, np.concatenate(runs).astype(np.int64)
+    upto = np.cumsum(np.where(far, 0, step).astype(np.int64))
+    origin = np.concatenate(wholes).astype(np.int64) - upto[far]
+    listed = (upto + np.repeat(origin, np.diff(np.flatnonzero(far), append=len(step)))).astype(np.uint32)
+    begin = np.cumsum([len(x) for x in words]) - [len(x) for x in words]
+    return listed, np.repeat(run[:, 0], run[:, 1]), index[:, 0], np.concatenate([*words, np.zeros(4, "<u4")]).astype(U), begin
 
 
 def decode_segment(data: bytes | memoryview) -> np.ndarray:
     """The ids of a segment; raises if a block's checksum is wrong."""
     data = memoryview(data)
-    magic, n, block, tables, width = _HEAD.unpack_from(data)
+    magic, n, block, tables, width_of = _HEAD.unpack_from(data)
     if magic != _MAGIC:
         raise CorruptIndex("not a segment of coded ids")
     if tables != _tables_crc():
@@ -304,64 +299,55 @@ def decode_segment(data: bytes | memoryview) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     lanes = -(-n // block)
-    at = _HEAD.size
-    index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(lanes, 2).astype(np.int64)
-    crc = np.frombuffer(data, "<u4", lanes, at + 8 * lanes)
-    at += 12 * lanes
-    distinct, used = index[:, 0], index[:, 1]
-    listed = np.frombuffer(data, f"<u{width}", int(distinct.sum()), at)
-    lists = np.append(0, np.cumsum(distinct))
-    words_at = at + int(distinct.sum()) * width
-    begin = np.append(0, np.cumsum(used))
-    if len(data) < words_at + 2 * int(begin[-1]):
-        raise CorruptIndex("a segment of coded ids is cut short")
-    for j in range(lanes):
-        own = data[words_at + 2 * int(begin[j]) : words_at + 2 * int(begin[j + 1])]
-        if zlib.crc32(own, zlib.crc32(data[at + int(lists[j]) * width : at + int(lists[j + 1]) * width])) != crc[j]:
-            raise CorruptIndex(f"block {j} of a segment has a wrong checksum")
-    words = np.zeros(int(begin[-1]) + 8, U)
-    words[: begin[-1]] = np.frombuffer(data, "<u2", int(begin[-1]), words_at)
-    models, coder = _Models(lanes, int(distinct.max()) + 1, block), _Decoder(words, begin[:-1])
-    short = n - (lanes - 1) * block
-    out, active = np.zeros((block, lanes), np.int64), lanes
-    for t in range(block):
-        if t == short:
-            active = lanes - 1
-            models.keep(active)
-            coder.keep(active)
-            if not active:
-                break
-        c, p = models.expect()
-        cut = (coder.width >> _WORD) * p.astype(U)
-        hit = (coder.code - coder.low) < cut
-        coder.low += np.where(hit, U(0), cut)
-        coder.width = np.where(hit, cut, coder.width - cut)
-        slot, m = c.astype(np.int64), np.flatnonzero(~hit)
-        if len(m):
-            escape, recent, total, base = models.spread(m)
-            each = coder.width[m] // total.astype(U)
-            v = np.minimum(((coder.code[m] - coder.low[m]) // each).astype(np.int64), total - 1)
-            settled, known = models.settled[m], models.known[m]
-            inner = v - escape
-            new, late = inner < 0, (inner >= 0) & (inner < recent)
-            s = np.where(new, known, settled + inner)
-            start = np.where(new, 0, v)
-            size = np.where(new, escape, 1)
-            old = np.flatnonzero(~(new | late))
-            if len(old):
-                want, b = (inner[old] - recent[old]).astype(np.int32), base[old]
-                place = b.copy()  # the last that is not above what is wanted
-                for k in range(int(settled.max()).bit_length() - 1, -1, -1):
-                    place += (models.upto.take(place + (1 << k)) <= want).astype(np.int64) << k
-                s[old] = place - b
-                low = models.upto.take(place).astype(np.int64)
-                start[old] = escape[old] + recent[old] + low
-                size[old] = models.upto.take(place + 1) - low
-            coder.low[m] += each * start.astype(U)
-            coder.width[m] = each * size.astype(U)
-            slot[m] = s
-        coder.shift()
-        models.learn(slot, hit, m, t)
-        out[t, :active] = slot
-    found = listed[(out.T + lists[:-1, None]).ravel()[:n]]
-    return found.astype(np.uint32)
+    listed, counts, distinct, words, at = _blocks(data, lanes, width_of)
+    at_list = np.cumsum(distinct) - distinct
+    number = np.arange(len(listed)) - np.repeat(at_list, distinct)
+    # by place among a block's shares: name, start and size; one more stands for a hit
+    share = _shares(counts, block).astype(np.int64) << 16 | _names(number, counts)
+    table = np.empty((lanes, block + 1), np.int64)
+    table[:, :block] = np.repeat(share, counts).reshape(lanes, block)
+    table[:, block] = block << 16
+    table, at_table = table.ravel(), np.arange(lanes) * (block + 1)
+    models = _Models(lanes, int(distinct.max()), block)
+    code, width = words[at] << _KEPT | words[at + 1] >> U(4), np.full(lanes, _TOP)
+    words = (words[:-1] & U(15)) << _KEPT | words[1:] >> U(4)
+    at, total = at + 1, U(block)
+    out, keep = np.empty((block, lanes), np.uint16), np.uint16(0xFFFC)
+    last = before = np.zeros(lanes, np.int64)
+    for a, b in _rounds(block):
+        cases, hits = np.empty((b - a, lanes), np.int64), np.empty((b - a, lanes), bool)
+        for t in range(b - a):
+            i = models.places(last, before)
+            e = models.next.take(i)
+            expected, case = models.cases(e)
+            cases[t] = case
+            each = width >> _PART
+            each *= models.chance.take(case)
+            np.subtract(width, each, out=each)
+            each //= total
+            place = np.minimum(code // each, total)
+            hit = np.equal(place, total, out=hits[t])
+            found = table.take(place.view(np.int64) + at_table)
+            name = np.where(hit, expected & keep, found.astype(np.uint16))
+            found >>= 16
+            skip = each * (found & 0xFFFF).view(U)
+            found >>= 16
+            each *= found.view(U)
+            code -= skip
+            width -= skip
+            width = np.where(hit, width, each)
+            need = (width < _BOTTOM).nonzero()[0]
+            if len(need):
+                place = at[need]
+                code[need] = code[need] << _WORD | words[place]
+                at[need] = place + 1
+                width[need] <<= _WORD
+            models.learn(i, e, name)
+            out[a + t] = name
+            before, last = last, (name >> 4).astype(np.int64)
+        models.round(cases, hits)
+    out >>= 4
+    found = np.empty((lanes, block), np.uint32)
+    for own, row, a, b in zip(found, np.ascontiguousarray(out.T), at_list.tolist(), (at_list + distinct).tolist(), strict=True):
+        np.take(listed[a:b], row, out=own, mode="clip")
+    return found.ravel()[:n]

@@ -69,6 +69,7 @@ class Bpe:
             spec = json.load(f)
         model, end = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         vocab, names = model["vocab"], _byte_names()
+        self.vocab = vocab
         self.bytes_of = {name: b for b, name in enumerate(names)}
         self.inner = np.array([vocab[x] for x in names], np.int32)
         self.final = np.array([vocab[x + end] for x in names], np.int32)

@@ -37,6 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from tessera.errors import CorruptIndex
 from tessera.llm import range_coder
+from tessera.llm.piece_table import PieceTable
 from tessera.llm.spark_util import checkpoint_dir
 from tessera.llm.token_counts import Bpe, Remembered, batches_of
 
@@ -71,6 +72,11 @@ def _remembered(path: str) -> Remembered:
     return Remembered(ByteBpe(path), True)
 
 
+@functools.lru_cache(maxsize=2)
+def _pieces(path: str, end: int) -> PieceTable:
+    return PieceTable(ByteBpe(path), end)
+
+
 def encode(docs: DataFrame, tokenizer: str, end: int = END, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, hash of the text, n_tokens and ids (the end mark last) of each document.
 
@@ -79,16 +85,13 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END, id_column: str = "do
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, last = _remembered(tokenizer), np.uint32(end).astype("<u4").tobytes()
-        narrow = max(end, *memory.model.special.values(), int(memory.model.merged.max(initial=0)), int(memory.model.inner.max())) < 1 << 16
+        table = _pieces(tokenizer, end)
+        kind = np.dtype("<u2" if table.widest < 1 << 16 else "<u4")
         for batch in (part for whole in batches for part in batches_of(whole)):
-            documents = [memory.model.pieces(x) if x else [] for x in batch.column("text").to_pylist()]
-            known = memory.learn(documents)
-            ids = [b"".join([*map(known.__getitem__, x), last]) for x in documents]
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            if narrow:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-            yield pa.record_batch([batch.column("id"), batch.column("hash"), n, pa.array(ids, pa.binary())], names=["id", "hash", "n_tokens", "ids"])
+            ids, n = table.encode(batch.column("text"))
+            data, stop = pa.py_buffer(ids.astype(kind)), pa.py_buffer(np.append(0, np.cumsum(n) * kind.itemsize).astype(np.int64))
+            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, stop, data]).cast(pa.binary())
+            yield pa.record_batch([batch.column("id"), batch.column("hash"), pa.array(n, pa.int64()), packed], names=["id", "hash", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("hash", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return rows.mapInArrow(run, schema)
@@ -173,10 +176,12 @@ class _Writer(DataSourceArrowWriter):
                 nonlocal waiting, held
                 ids = np.concatenate(waiting) if waiting else np.zeros(0, "<u2")
                 at = 0
-                while len(ids) - at >= SEGMENT or whole and at < len(ids):
-                    part = range_coder.encode_segment(ids[at : at + SEGMENT])
+                while len(ids) - at >= 2 * SEGMENT or whole and at < len(ids):
+                    # what is left at the end is dealt evenly: a small segment costs as many steps as a large one
+                    size = -(-(len(ids) - at) // max(1, round((len(ids) - at) / SEGMENT))) if whole else SEGMENT
+                    part = range_coder.encode_segment(ids[at : at + size])
                     out.write(struct.pack("<Q", len(part)) + part)
-                    at += SEGMENT
+                    at += size
                 waiting, held = ([ids[at:].copy()] if at < len(ids) else []), max(0, len(ids) - at)
 
             for batch in iterator:
@@ -184,7 +189,7 @@ class _Writer(DataSourceArrowWriter):
                 for x, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist(), strict=True):
                     waiting.append(np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}"))
                     held, total = held + n, total + n
-                if held >= SEGMENT:
+                if held >= 2 * SEGMENT:
                     flush(False)
             flush(True)
             start = out.tell()
@@ -260,8 +265,8 @@ class _Reader(DataSourceReader):
                     parts.append(part)
                     held += len(part)
                 have = np.concatenate(parts) if len(parts) > 1 else parts[0]
-                data, parts, held = have[:need].astype("<u4").tobytes(), [have[need:]], held - need
+                data, parts, held = pa.py_buffer(have[:need].astype("<u4")), [have[need:]], held - need
                 edge = np.append(0, np.cumsum(counts[at:stop]))
-                values = pa.array([data[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                values = pa.Array.from_buffers(pa.large_binary(), stop - at, [None, pa.py_buffer(4 * edge.astype(np.int64)), data]).cast(pa.binary())
                 yield pa.record_batch([ids.slice(at, stop - at), pa.array(start + edge[:-1], pa.int64()), pa.array(counts[at:stop], pa.int64()), values], names=["id", "start", "n_tokens", "ids"])
                 at, start = stop, start + need

@@ -3,11 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import CorruptIndex
-from tessera.llm import range_coder, token_files
+from tessera.llm import piece_table, range_coder, token_files
 from tessera.llm.queries import op12_token_files, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +117,61 @@ def test_string_ids_and_files_not_listed(spark, tmp_path):
     assert [r.id for r in token_files.read(spark, _folder(tmp_path)).orderBy("start").collect()] == ["a", "b"]
     with pytest.raises(Exception, match="no token files"):
         token_files.read(spark, f"file://{tmp_path}/nothing")
+
+
+def _table(remembered=piece_table.REMEMBERED):
+    return piece_table.PieceTable(token_files.ByteBpe(PATH), 0, remembered)
+
+
+def _encoded(table, texts):
+    ids, n = table.encode(pa.array(texts, pa.string()))
+    assert n.sum() == len(ids)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_a_table_of_pieces_gives_the_librarys_ids():
+    rng = np.random.default_rng(12)
+    plain = [*"aB z19'.,-\n\t 'stdr\r\x0b\x0c", "'ll", "'re", "'v", "ve", "s's", "  ", "\n\n", "é", "ſ", "ÿ", "\"'s", " 's", "''t", "'RE", "'m9", "'d "]
+    odd = [*plain, "<|endoftext|>", "×", "÷", "中", "\xa0", "\x1c", "²", "🙂", "\x00", "İ"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for letters, n in ((plain, 5000), (odd, 2000)) for _ in range(n)]
+    texts += ["", None, "'", "'s", " ", "  ", "\n", "'l", "'r", "a'", "a" * 16, "a" * 17, " " + "b" * 64, "c" * 65, "d" * 5000, "it's\n", "x" * 8 + "'ve", None, ""]
+    want = [[*ids, 0] for ids in _library(t or "" for t in texts)]
+    table = _table(3000)
+    assert _encoded(table, texts) == want
+    assert [x for i in range(0, len(texts), 500) for x in _encoded(table, texts[i : i + 500])] == want  # what is remembered is dropped meanwhile
+    sliced = pa.array(texts, pa.string()).slice(100, 50)
+    assert table.encode(sliced)[0].tolist() == [i for x in want[100:150] for i in x]
+
+
+def test_a_table_grows_and_forgets_long_pieces():
+    table = _table()
+    words = [f"w{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760)}" for i in range(20_000)]
+    assert _encoded(table, words) == [[*x, 0] for x in _library(words)]
+    assert table.words == 20_001 and len(table.key) >= 2 * table.words
+    used = table.used
+    assert _encoded(table, words[::-1]) == [[*x, 0] for x in _library(words[::-1])]
+    _encoded(table, ["q" * 100_000])
+    assert table.used == used and table.words == 20_001 and not table.long
+
+
+def test_ids_are_ranks_of_merges():
+    """Every token of the vocabulary is what its own merges make."""
+    model = token_files.ByteBpe(PATH)
+    tokens = [(i, bytes(model.bytes_of[c] for c in name).decode("utf-8", "surrogateescape")) for name, i in model.vocab.items() if name not in model.special]
+    ids, count = model.encode([x for _, x in tokens])
+    assert (count == 1).all() and ids.tolist() == [i for i, _ in tokens]
+
+
+def test_a_file_has_no_small_segment(spark, tmp_path, monkeypatch):
+    """Each segment costs as many steps as its blocks are long, so a file's ids are dealt evenly."""
+    docs = spark.createDataFrame([(i, "some words " * 40) for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = token_files.encode(docs, PATH).select("id", "n_tokens", "ids").orderBy("id").toArrow().to_batches()
+    total = sum(n for b in rows for n in b.column("n_tokens").to_pylist())
+    sizes, code = [], range_coder.encode_segment
+    monkeypatch.setattr(range_coder, "encode_segment", lambda ids: (sizes.append(len(ids)), code(ids))[1])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    for segment, want in ((total, 1), (total * 5 // 6, 1), (total // 3 - 10, 3), (total // 7, 7)):
+        sizes.clear()
+        monkeypatch.setattr(token_files, "SEGMENT", segment)
+        token_files._Writer(_folder(tmp_path), None).write(iter(rows))
+        assert sum(sizes) == total and len(sizes) == want and min(sizes) > segment // 2
