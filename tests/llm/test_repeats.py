@@ -106,3 +106,21 @@ def test_long_text(spark):
     assert got == {1: (120_000, 10_035), 2: (10_000, 10_000), 3: (36, 35)}
     spans = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in remove_repeated_bytes(docs).collect()}
     assert len(spans[2]) == 1 and spans[1] == [] and len(spans[3]) == 1
+
+
+def test_rows_that_move_are_small(spark):
+    from tessera.llm import windows
+
+    for ids in ([7], [-5, -5, 0, 3], [0, 255, 256], [1, 70_000], [-(1 << 62), 4, windows.NO_ID]):
+        assert windows._risen(windows._rising(np.array(ids, np.int64))).tolist() == ids
+    assert len(windows._rising(np.arange(1000))) < 1100
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "of", "the"], k=400)), f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __chunk string").repartition(2)
+    packed, own, _ = windows.dealt(docs)
+    chunks = packed.groupBy(own).applyInArrow(lambda t: windows._chunk(t, own)[1], docs.schema)
+    assert sorted(map(tuple, chunks.collect())) == rows
+    assert sum(len(r.packed) for r in packed.collect()) < 0.6 * sum(len(t) for _, t, _ in rows)
+    # and a row is asked for with 12 bytes or so, not 20
+    asked = packed.groupBy(own).applyInArrow(lambda t: windows._ask(t, windows.Scheme("bytes", 50, 20), 2, own), windows.ASKED).collect()
+    assert sum(len(x) for r in asked for x in (r.key, r["high"], r.low, r.doc)) < 13 * sum(len(r.key) // 4 for r in asked)
