@@ -15,8 +15,9 @@ is lost, and sets without a common element hardly ever share a signature.
    buckets; equal sets send theirs once per batch and count as one *class*.
 2. A bucket sorts its signatures.  Classes that share one are candidates: all
    pairs of a small group; of a larger group, its members with its first.
-3. Sets of candidates are rebuilt from the text of one document per class.
-   Sketches (elements by hash bucket, 260 bytes) drop pairs of small groups
+3. Sets of candidates are rebuilt from the text of one document per class,
+   and again where they are compared: what is stored and moved are compressed
+   texts, which are a fraction of their sets.  Sketches (elements by hash bucket, 260 bytes) drop pairs of small groups
    that differ too much; the others are verified on their sets, in cells.
 4. Larger groups are named by their least member, so that those of one source
    of near copies mostly get few names; groups of one name meet in one *crowd*,
@@ -50,7 +51,7 @@ from pyspark.sql import types as T
 
 from tessera.llm import kernels as K
 from tessera.llm.components import connected_components
-from tessera.llm.spark_util import checkpointed, columns_of, fresh
+from tessera.llm.spark_util import checkpointed, columns_of, compressed, fresh, length_of, restored, sieved
 from tessera.llm.windows import NO_ID
 
 #: Documents of a kernel call; element keys hold their number in ten bits.
@@ -187,7 +188,16 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield piece.slice(i, DOCS)
 
 
-_SENT = "bucket long, ids binary, sizes binary, sets binary, signature binary, owner binary, owner_size binary"
+#: Sizes of sets in a byte: the least size of each step.
+STEPS = np.unique(np.maximum(np.arange(1, 257), np.floor(1.1 ** np.arange(256)))).astype(np.int64)
+
+
+def size_steps(size: np.ndarray) -> np.ndarray:
+    """The step of each size, a byte."""
+    return np.maximum(np.searchsorted(STEPS, size, side="right") - 1, 0).astype(np.uint8)
+
+
+_SENT = "bucket long, ids binary, sizes binary, sets binary, signature binary, owner binary, owner_step binary"
 
 
 def _sender(how: Similarity, buckets: int):
@@ -206,11 +216,11 @@ def _sender(how: Similarity, buckets: int):
             keep = only[doc]
             signature, doc = signature[keep], doc[keep]
             bucket = (signature % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((doc, bucket))  # equal owners stand together
             signature, doc, bucket = (signature[order] >> np.uint64(32)).astype(np.uint32), doc[order], bucket[order]
-            starts = K.group_starts(bucket)
+            starts, step = K.group_starts(bucket), size_steps(size)
             edge = np.append(starts, len(bucket))
-            rows = [(int(bucket[i]), b"", b"", b"", signature[i:j].tobytes(), sets.hashes[doc[i:j]].tobytes(), size[doc[i:j]].astype(np.uint32).tobytes()) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            rows = [(int(bucket[i]), b"", b"", b"", signature[i:j].tobytes(), sets.hashes[doc[i:j]].tobytes(), step[doc[i:j]].tobytes()) for i, j in zip(edge[:-1], edge[1:], strict=True)]
             number += 1
             rows.append(((int(ids[0]) + number) % buckets, ids.tobytes(), size.tobytes(), sets.hashes.tobytes(), b"", b"", b""))
             kinds = [pa.int64(), *[pa.binary()] * 6]
@@ -228,29 +238,31 @@ def _found(kind: int, x, y, z) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(len(x), kind), pa.int32()), "x": column(x), "y": column(y), "z": column(z)})
 
 
-def candidates(signature: np.ndarray, owner: np.ndarray, size: np.ndarray, how: Similarity, most: int) -> list[pa.Table]:
+def candidates(signature: np.ndarray, owner: np.ndarray, step: np.ndarray, how: Similarity, most: int) -> list[pa.Table]:
     """Pairs of classes in small groups, each with the place where to verify it; members of larger groups with their first.
 
+    step: of the size of each owner's set; pairs stay if sizes of their steps allow a link.
     The place is named by the group's first class, so that classes which are
     candidates of each other meet in few places.
     """
     order = np.lexsort((owner, signature))
-    signature, owner, size = signature[order], owner[order], size[order].astype(np.int64)
+    signature, owner, step = signature[order], owner[order], step[order].astype(np.int64)
     once = K.group_starts(signature, owner)
-    signature, owner, size = signature[once], owner[once], size[once]
+    signature, owner, step = signature[once], owner[once], step[once]
     start = K.group_starts(signature)
     many = np.diff(np.append(start, len(signature)))
     group = np.repeat(np.arange(len(start)), many)
     left, right, homes = [], [], []
     small = np.repeat((many > 1) & (many <= most), many)
-    s_owner, s_size, s_group = owner[small], size[small], group[small]
+    s_owner, s_step, s_group = owner[small], step[small], group[small]
+    largest = np.append(STEPS[1:] - 1, 1 << 40)
     s_home = owner[start[s_group]]
     for d in range(1, min(most, len(s_owner))):
         i = np.flatnonzero(s_group[:-d] == s_group[d:])
         if not len(i):
             break
-        low, high = np.minimum(s_size[i], s_size[i + d]), np.maximum(s_size[i], s_size[i + d])
-        i = i[low * how.whole >= high * how.part]
+        low, high = np.minimum(s_step[i], s_step[i + d]), np.maximum(s_step[i], s_step[i + d])
+        i = i[largest[low] * how.whole >= STEPS[high] * how.part]
         left.append(s_owner[i])
         right.append(s_owner[i + d])
         homes.append(s_home[i])
@@ -277,21 +289,45 @@ def _bucket(how: Similarity, most: int):
         joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
         ids, sizes, sets = joined("ids", np.int64), joined("sizes", np.int64), joined("sets", np.uint64)
         parts = [_found(PROFILE, ids, sizes, sets)]
-        parts += candidates(joined("signature", np.uint32), joined("owner", np.uint64), joined("owner_size", np.uint32), how, most)
+        parts += candidates(joined("signature", np.uint32), joined("owner", np.uint64), joined("owner_step", np.uint8), how, most)
         return pa.concat_tables(parts)
 
     return find
 
 
+def _unpacked(packed: pa.ChunkedArray, how: Similarity) -> list[np.ndarray]:
+    """The sets of compressed texts."""
+    out: list[np.ndarray] = []
+    texts: list[bytes] = []
+    held = 0
+
+    def turn() -> None:
+        sets = shingle_sets(*K.text_buffer(pa.array(texts, pa.binary())), how.words)
+        out.extend(sets.elements[a:b] for a, b in zip(sets.bounds[:-1], sets.bounds[1:], strict=True))
+        texts.clear()
+
+    for x in packed.to_pylist():
+        n = length_of(x)
+        if texts and (held + n > SLICE or len(texts) == DOCS):
+            turn()
+            held = 0
+        texts.append(restored(x))
+        held += n
+    if texts:
+        turn()
+    return out
+
+
 def _rebuild(how: Similarity):
-    """Sketches and elements of the sets of documents."""
+    """Sketches and texts, compressed, of the documents that have a set."""
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _parts(whole)):
             sets = shingle_sets(*K.text_buffer(batch.column("text")), how.words)
             _, keep = np.unique(sets.hashes, return_index=True)
             keep = keep[sets.hashes[keep] > 0]
-            packed = [sets.elements[sets.bounds[i] : sets.bounds[i + 1]].tobytes() for i in keep]
+            text = batch.column("text")
+            packed = [compressed(text[int(i)].as_buffer()) for i in keep]
             sketch = [x.tobytes() for x in sketches(sets)[keep]]
             yield pa.record_batch({"node": pa.array(sets.hashes.view(np.int64)[keep]), "sketch": pa.array(sketch, pa.binary()), "packed": pa.array(packed, pa.binary())})
 
@@ -299,9 +335,12 @@ def _rebuild(how: Similarity):
 
 
 def _sets_of(texts: DataFrame, nodes: DataFrame, profiles: DataFrame, how: Similarity) -> DataFrame:
-    """node, sketch, packed of nodes (node, least), from the texts of one document each; others may be among them."""
-    ids = nodes.select(F.col("least").alias("doc_id")).distinct()
-    rebuilt = texts.join(ids, "doc_id", "left_semi").mapInArrow(_rebuild(how), "node long, sketch binary, packed binary")
+    """node, sketch, packed of nodes (node, least), from the texts of one document each; others, and some twice, may be among them.
+
+    Documents are found where they are: no text is moved for it.
+    """
+    ids = checkpointed(nodes.select(F.col("least").alias("doc_id")).distinct())
+    rebuilt = sieved(texts, "doc_id", ids).mapInArrow(_rebuild(how), "node long, sketch binary, packed binary")
     repeated = profiles.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where("n > 1")
     return rebuilt if repeated.isEmpty() else rebuilt.dropDuplicates(["node"])
 
@@ -311,7 +350,7 @@ def _verifier(how: Similarity):
 
     def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
-        elements = {n: np.frombuffer(x, np.uint64) for n, x in zip(sets["node"].to_pylist(), sets["packed"].to_pylist(), strict=True)}
+        elements = dict(zip(sets["node"].to_pylist(), _unpacked(sets["packed"], how), strict=True))
         parent = {n: n for n in elements}
 
         def root(x: int) -> int:
@@ -387,8 +426,7 @@ def _cell(how: Similarity):
     def find(table: pa.Table) -> pa.Table:
         node, block = table["node"].to_numpy(), table["block"].to_numpy()
         node, once = np.unique(node, return_index=True)
-        packed = table["packed"]
-        links = forest([np.frombuffer(packed[int(i)].as_buffer(), np.uint64) for i in once], block[once], how)
+        links = forest(_unpacked(table["packed"].take(pa.array(once)), how), block[once], how)
         at = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[at[:, 0]]), "b": pa.array(node[at[:, 1]])})
 
@@ -429,7 +467,7 @@ def _in_cells(pairs: DataFrame, rows: DataFrame, cells: int, run, schema: str) -
     """``run`` of the pairs (a, b, home) of each cell and the rows (node, packed) that they name."""
     dealt = pairs.select(F.pmod(F.xxhash64("home"), F.lit(cells)).alias("cell"), "a", "b", "home")
     needed = dealt.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = needed.join(rows, "node").select(F.col("cell").alias("at"), "node", "packed")
+    told = needed.join(sieved(rows, "node", needed.select("node")), "node").select(F.col("cell").alias("at"), "node", "packed")
     return dealt.groupBy("cell").cogroup(told.groupBy("at")).applyInArrow(run, schema)
 
 
@@ -516,9 +554,14 @@ def one_of_each(docs: DataFrame, how: Similarity) -> DataFrame:
     several = checkpointed(rows.where("n > 1").select(F.col("doc_id").alias(key)))
     keyed = docs.withColumn(key, _known_id())
     if several.isEmpty():
-        return keyed.join(drop, key, "left_anti").select(*columns_of(docs))
-    plain = keyed.join(several, key, "left_anti").join(drop, key, "left_anti").select(*columns_of(docs))
-    told = _with_node(docs, node, how).withColumn(key, _known_id()).join(several, key, "left_semi")
+        return _without(keyed, key, drop).select(*columns_of(docs))
+    plain = _without(keyed, key, several.unionByName(drop)).select(*columns_of(docs))
+    told = _with_node(sieved(keyed, key, several).select(*columns_of(docs)), node, how).withColumn(key, _known_id()).join(several, key, "left_semi")
     empty = told.where(F.col(node) == 0)
     once = told.join(stay.select(F.col("doc_id").alias(key), F.col("node").alias(node)), [key, node], "left_semi").dropDuplicates([node])
     return plain.unionByName(empty.select(*columns_of(docs))).unionByName(once.select(*columns_of(docs)))
+
+
+def _without(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows whose key is not among keys; only the few that may be are moved."""
+    return sieved(rows, key, keys, inside=False).unionByName(sieved(rows, key, keys).join(keys, key, "left_anti").select(*columns_of(rows)))

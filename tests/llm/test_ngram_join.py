@@ -134,3 +134,34 @@ def test_long_text(spark):
     long = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
     docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long[5:])), (3, " ".join(reversed(long)))], "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(docs).collect())) == [(1, 149_998, 1), (2, 149_993, 1), (3, 149_998, 3)]
+
+
+def test_sizes_in_steps_lose_no_pair():
+    size = np.append(np.arange(1, 3000), [10**5, 10**6, 10**7])
+    step = ngram_join.size_steps(size).astype(int)
+    largest = np.append(ngram_join.STEPS[1:] - 1, 1 << 40)
+    assert (ngram_join.STEPS[step] <= size).all() and (size <= largest[step]).all()
+
+
+def test_texts_and_few_rows_move(spark):
+    import pyarrow as pa
+
+    from tessera.llm.kernels import text_buffer
+    from tessera.llm.spark_util import sieved
+
+    _, texts = _corpus(6)
+    how = Similarity(5, 80, 100)
+    sets = shingle_sets(*text_buffer(pa.array(texts)), how.words)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    rows = pa.Table.from_batches(list(ngram_join._rebuild(how)(iter([batch]))))
+    own = dict(zip(sets.hashes.view(np.int64).tolist(), (sets.elements[a:b].tolist() for a, b in zip(sets.bounds[:-1], sets.bounds[1:], strict=True)), strict=True))
+    assert {n: x.tolist() for n, x in zip(rows["node"].to_pylist(), ngram_join._unpacked(rows["packed"], how), strict=True)} == {n: x for n, x in own.items() if n}
+    # what is stored and moved is less than half of the sets
+    assert sum(len(x) for x in rows["packed"].to_pylist()) < 0.5 * 8 * sum(len(own[n]) for n in rows["node"].to_pylist())
+    # a join with given keys moves the rows that have them, and hardly any others
+    docs, keys = spark.range(20_000).withColumnRenamed("id", "doc_id"), spark.range(100, 200).withColumnRenamed("id", "doc_id")
+    inside = [r.doc_id for r in sieved(docs, "doc_id", keys).collect()]
+    outside = [r.doc_id for r in sieved(docs, "doc_id", keys, inside=False).collect()]
+    assert set(range(100, 200)) <= set(inside) and len(inside) < 130 and sorted(inside + outside) == list(range(20_000))
+    assert sieved(docs, "doc_id", keys.where("false")).count() == 0
+    assert sorted(r.doc_id for r in ngram_join._without(docs, "doc_id", keys).collect()) == [*range(100), *range(200, 20_000)]
