@@ -142,3 +142,31 @@ def test_table_function(spark, metric):
                 assert [tuple(r) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("metric", D.METRICS)
+def test_blocks_measure_as_expressions_do(spark, metric):
+    """Equal vectors, near equal ones, zeros and large numbers: the rows and the last bits of the plain plan."""
+    rng = np.random.default_rng(5)
+    some = rng.standard_normal((40, 24))
+    rows = np.concatenate([some, some, some * (1 + 1e-15), np.zeros((3, 24)), 1e8 * some[:5], 1e8 * some[:5]])[rng.permutation(133)]
+    corpus = vectors.from_rows(spark, rows.tolist(), list(range(len(rows)))).repartition(3)
+    queries = corpus.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    scored = search.pairs(queries, corpus, metric, True)
+    plain = sorted(map(tuple, search.best(scored, 7).collect()))
+    for kernel in ("arrow", "expr"):
+        assert sorted(map(tuple, search.knn(queries, corpus, 7, metric, exclude_self=True, kernel=kernel).collect())) == plain
+    assert sorted(map(tuple, search.knn_join(queries, corpus, 7, metric, exclude_self=True, cell=50).collect())) == plain
+    for bound in (plain[3][2], plain[30][2], 0.5):
+        for limit in (5, 70, 100):
+            within = sorted(map(tuple, search.best(scored.where(F.col("score") <= bound), limit).collect()))
+            assert sorted(map(tuple, search.range_search(queries, corpus, bound, limit, metric, exclude_self=True, kernel="arrow").collect())) == (within if bound >= 0 or metric == D.INNER_PRODUCT else [])
+
+
+def test_no_search_joins_all_pairs(spark):
+    """Plans hold no pair of a query and a row but those found."""
+    corpus = vectors.wave(spark, 60, 8)
+    queries = corpus.where("id < 5").withColumnRenamed("id", "query_id")
+    for frame in (search.range_search(queries, corpus, 0.5, kernel="arrow"), search.range_search(queries, corpus, 0.5, 5, kernel="arrow"), search.knn(queries, corpus, 3, kernel="expr")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
