@@ -170,3 +170,31 @@ def test_no_search_joins_all_pairs(spark):
     for frame in (search.range_search(queries, corpus, 0.5, kernel="arrow"), search.range_search(queries, corpus, 0.5, 5, kernel="arrow"), search.knn(queries, corpus, 3, kernel="expr")):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_all_distances_in_blocks(spark, monkeypatch):
+    """Every pair, as expressions measure it, also by SQL functions with nulls; no pair is shuffled or measured by an expression."""
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(6)
+    corpus = vectors.from_rows(spark, [*rng.standard_normal((50, 9)).tolist(), [0.0] * 9], list(range(51)))
+    queries = corpus.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    pairs = queries.withColumnRenamed("embedding", "q").crossJoin(corpus)
+    plain = sorted(map(tuple, pairs.select("query_id", "id", *[F.round(D.distance(m, F.col("q"), F.col("embedding")), 6) for m in D.METRICS]).collect()))
+    found = search.all_distances(queries, corpus, D.METRICS, 6)
+    assert sorted(map(tuple, found.collect())) == plain
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "zip_with" not in plan
+    assert search.rounded(np.array([0.5, -0.5, 1.25, -1.35]), 0).tolist() == [1.0, -1.0, 1.0, -1.0]
+    D.register(spark)
+    called = pairs.select("query_id", "id", *[F.expr(f"round({m}_distance(q, embedding), 6)") for m in D.METRICS])
+    assert sorted(map(tuple, called.collect())) == plain and "zip_with" not in called._jdf.queryExecution().executedPlan().toString()
+    gone = spark.createDataFrame([([1.0, 2.0], [1.0, 3.0]), (None, [1.0, 2.0]), ([1.0, 2.0], None)], "a array<double>, b array<double>")
+    assert [r[0] for r in gone.select(F.expr("l2_distance(a, b)")).collect()] == [1.0, None, None]
+
+
+def test_table_function_gets_few_candidates(spark, tmp_path):
+    from tessera import queries
+
+    vectors.wave(spark, 1000, 8).select(F.col("id").alias("vec_id"), "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.knn_table_function(spark, str(tmp_path))
+    assert found.count() == 200 and "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
