@@ -305,3 +305,15 @@ def test_evaluation(spark):
     many = np.random.default_rng(3).integers(0, 40, (800, 2)).tolist()
     want = sorted((p for p in many if not any(o[0] >= p[0] and o[1] >= p[1] and o != p for o in many)), reverse=True)
     assert [list(r) for r in evaluate.pareto(spark.createDataFrame(many, "a int, b int").repartition(7), "a", "b").collect()] == want
+
+
+def test_edges_that_meet_are_sent_once_nearer(spark):
+    """What a node's neighbours send: the nearer pairs only, measured as expressions do; the graph of rounds of this is near the exact one."""
+    corpus = vectors.wave(spark, 40, 8)
+    rows = {r.id: r.embedding for r in corpus.collect()}
+    member = lambda i, fresh, far: (i, fresh, far, rows[i])
+    met = spark.createDataFrame([([member(1, True, 1e9), member(2, False, 1e9), member(3, False, 1e9)],), ([member(4, True, -1.0), member(5, True, 1e9)],)], "m array<struct<id:long,fresh:boolean,far:double,embedding:array<float>>>")
+    sent = sorted(map(tuple, met.mapInArrow(graph._meeting(D.L2), "src long, dst long, dist double").collect()))
+    assert [(s, d) for s, d, _ in sent] == [(1, 2), (1, 3), (2, 1), (3, 1), (5, 4)]
+    true = {(r.src, r.dst): r.dist for r in graph._measured(spark.createDataFrame([(s, d) for s, d, _ in sent], "src long, dst long"), corpus, D.L2).collect()}
+    assert {(s, d): x for s, d, x in sent} == true
